@@ -10,8 +10,11 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import contamination, contamination_digest
 from tessera.llm.exact import OP3_SQL, exact_dedup
 from tessera.llm.language import predict_languages
+from tessera.llm.lines import dedup_lines
 from tessera.llm.mixing import OP9_SQL, mix_sources
 from tessera.llm.neardup import near_duplicates
+from tessera.llm.pages import extract_pages, pages_digest
+from tessera.llm.personal import personal_digest, replace_personal
 from tessera.llm.repeats import remove_repeats, repeats_digest
 from tessera.llm.secrets import scan_secrets, secret_digest
 
@@ -28,6 +31,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_digest(extract_pages(table(spark, sf_dir, "pages")))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(replace_personal(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -44,7 +59,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_suffix_dedup, op2_secret_scan, op3_exact_dedup, op7_language_id, op8_decontaminate, op9_mix_sources, op10_near_dedup)
+QUERIES = (
+    op1_suffix_dedup, op2_secret_scan, op3_exact_dedup, op4_page_text, op5_line_dedup,
+    op6_surrogates, op7_language_id, op8_decontaminate, op9_mix_sources, op10_near_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
