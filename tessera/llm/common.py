@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,25 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the workers' path, wherever the session was started."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).parents[2]
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for source in sorted(root.glob("tessera/**/*.py")):
+                z.write(source, source.relative_to(root))
+        path = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera.zip"
+        path.write_bytes(held.getvalue())
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, stage
 from tessera.llm.tokens import ALPHANUMERIC, U, blocks, grams, mix, words
 
 _DOWN = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
@@ -47,7 +47,7 @@ def item_windows(items: DataFrame, window: int, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["item_id", "window", "n", "shingles"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.mapInArrow(run, f"item_id {kind}, window string, n int, shingles array<long>")
+    return map_arrow(items, run, f"item_id {kind}, window string, n int, shingles array<long>")
 
 
 def shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
@@ -65,7 +65,7 @@ def shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
             at = np.concatenate(_probes(batch.column(0).to_numpy(zero_copy_only=False), bits))
             yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).view(np.int64)), pa.array((at & U(63)).view(np.int64))], ["word", "bit"])
 
-    set_bits = shingles.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("mask"))
+    set_bits = map_arrow(shingles, run, "word long, bit long").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("mask"))
     found = set_bits.toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[found["word"].to_numpy()] = found["mask"].to_numpy()
@@ -101,7 +101,7 @@ def shingle_hits(docs: DataFrame, filter_: np.ndarray, bits: int, sizes: list[in
                 yield pa.RecordBatch.from_arrays(arrays, ["_row", "doc_id", "n_words", "hits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {kind}, n_words long, hits array<struct<h:long,pos:int,lead:int,around:array<string>>>")
+    return map_arrow(docs.select("_row", "doc_id", "text"), run, f"_row long, doc_id {kind}, n_words long, hits array<struct<h:long,pos:int,lead:int,around:array<string>>>")
 
 
 HITS = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("lead", pa.int32()), ("around", pa.list_(pa.string()))]))

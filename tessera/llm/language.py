@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, stage
 
 UNKNOWN = "und"
 #: Bound of what is sent to every task: so many languages, each with ``top`` n-grams.
@@ -80,7 +80,7 @@ def learn_profiles(docs: DataFrame, top: int = 400) -> DataFrame:
             yield counted(lang, keys)
 
     known = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.mapInArrow(run, "lang string, key long, count long").groupBy("lang", "key").agg(F.sum("count").alias("count"))
+    counts = map_arrow(known, run, "lang string, key long, count long").groupBy("lang", "key").agg(F.sum("count").alias("count"))
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("key"), F.lit(32))).orderBy(F.col("count").desc(), "key")
     whole = Window.partitionBy("lang").orderBy(F.col("count").desc(), "key")
     some = counts.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= top)
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, profiles: DataFrame, top: int = 400, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in kept])
     fields = [rows.schema[c] for c in ["doc_id", *kept]]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(run, f"{types}, lang_pred string, score double")
+    return map_arrow(rows, run, f"{types}, lang_pred string, score double")
 
 
 def held_out(id_: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, stage
 from tessera.llm.links import components
 from tessera.llm.tokens import NOT_SPACE, U, blocks, mix, shingle_sets
 
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, kind: np.ndarr
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *sums, lists], ["doc_id", "n", "s1", "s2", "bands"])
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, n long, s1 long, s2 long, bands array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind_of_id}, n long, s1 long, s2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, size: int, kind: np.ndarray = NOT_SPACE) -> DataFrame:
@@ -97,7 +97,7 @@ def full_sets(docs: DataFrame, size: int, kind: np.ndarray = NOT_SPACE) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists], ["doc_id", "shingles"])
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, shingles array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind_of_id}, shingles array<long>")
 
 
 def near_duplicates(

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_arrow
+
 # Stop words, block tags, and what the parts that aren't main text are called.
 STOP_WORDS = {
     "en": "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you",
@@ -171,7 +173,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url string, blocks array<string>")
+    return map_arrow(rows, run, f"page_id {kind}, url string, blocks array<string>")
 
 
 def pages_digest(found: DataFrame) -> DataFrame:

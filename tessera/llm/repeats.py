@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import map_arrow, stage
 from tessera.llm.tokens import BASE, BLOCK, U, blocks, mix
 
 #: Bytes of the strings by which contexts find each other.
@@ -76,7 +76,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids, *map(pa.array, longs), *map(pa.array, ints)], RUN)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, c1 long, c2 long, start int, n int, lead int")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, key long, c1 long, c2 long, start int, n int, lead int")
 
 
 RUN = ["doc_id", "key", "c1", "c2", "start", "n", "lead"]
@@ -102,7 +102,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     cut.append(text[a : a + c + length - 1])
                 yield pa.RecordBatch.from_arrays([*(part.field(x) for x in names), pa.array(cut, pa.binary())], [*names, "bytes"])
 
-    return both.mapInArrow(run, "key long, c1 long, c2 long, copy int, n int, lead int, bytes binary")
+    return map_arrow(both, run, "key long, c1 long, c2 long, copy int, n int, lead int, bytes binary")
 
 
 def column_wise(texts: list[bytes], lead: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -235,7 +235,7 @@ def marked(found: DataFrame, length: int) -> DataFrame:
         if size:
             yield from done(held).to_batches()
 
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, c1 long, c2 long, spans array<struct<o:int,l:int>>")
+    return map_arrow(found.repartition("key").sortWithinPartitions("key"), run, "key long, c1 long, c2 long, spans array<struct<o:int,l:int>>")
 
 
 def marked_by_strings(found: DataFrame, length: int) -> DataFrame:
@@ -254,7 +254,7 @@ def marked_by_strings(found: DataFrame, length: int) -> DataFrame:
                 offset = pa.array(np.concatenate([np.arange(n[i], dtype=np.int32) for i in part]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), offset, pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy())], ["key", "c1", "c2", "copy", "o", "w1", "w2"])
 
-    strings = stage(found.mapInArrow(run, "key long, c1 long, c2 long, copy int, o int, w1 long, w2 long"))
+    strings = stage(map_arrow(found, run, "key long, c1 long, c2 long, copy int, o int, w1 long, w2 long"))
     again = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     return strings.filter("copy = 0").join(again, ["w1", "w2"]).groupBy("key", "c1", "c2").agg(F.collect_set(F.struct("o", F.lit(1).alias("l"))).alias("spans"))
 
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), sizes, pa.array(spans, CUT), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return map_arrow(both, cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 CUT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
