@@ -115,10 +115,12 @@ def near_duplicates(
     ``size``-word shingles. Equal sets are one class, whose smallest id stands for it. Classes
     that share a band of their signatures are candidates: at a similarity of 0.75, a pair
     shares none of 40 bands of 5 with probability 2e-5. Pairs are not listed within a
-    bucket: first each member is held against the bucket's smallest id, and confirmed links
-    are joined into components; then only members of one bucket that are still in different
-    components are compared with each other. Every pair that shares a bucket is thus either
-    in one component or verified on its full sets, whatever the size of the bucket.
+    bucket: first each member is held against the bucket's most central one (that which meets
+    most others over all buckets), and confirmed links are joined into components; then only
+    members of one bucket that are still in different components are compared with each
+    other, and of these only pairs that can link: two sets have no more in common than the shingles
+    of either that any other set in question has. Every pair that shares a bucket is thus in one
+    component, ruled out by that bound, or verified on its full sets.
 
     Null texts and texts without words have an empty set and link with nothing. Rows that
     repeat an id get the same component. An empty table gives an empty result. Columns not
@@ -128,8 +130,11 @@ def near_duplicates(
     sig = stage(signatures(rows_in, size, bands, rows))
     classes = stage(sig.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("rep", "n")).alias("hub")).filter("_c > 1").drop("_c")
-    members = stage(buckets.join(shared, "key"))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    found = stage(buckets.join(shared, "key"))
+    central = found.join(found.groupBy("rep").agg(F.sum("_c").alias("_central")), "rep")
+    hubs = central.groupBy("key").agg(F.max(F.struct("_central", "rep", "n")).alias("hub"))
+    members = stage(found.drop("_c").join(hubs, "key"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stage(full_sets(rows_in.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
 
@@ -142,14 +147,20 @@ def near_duplicates(
         both = pairs.join(a, "a").join(b, "b").withColumn("_i", F.size(F.array_intersect("_x", "_y")))
         return both.filter(F.col("_i") * 100 >= (F.size("_x") + F.size("_y") - F.col("_i")) * percent).select("a", "b")
 
-    tried = stage(members.filter((F.col("rep") > F.col("hub.rep")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    others = members.filter((F.col("rep") != F.col("hub.rep")) & fits(F.col("n"), F.col("hub.n")))
+    tried = stage(others.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct())
     links = stage(confirmed(tried))
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
     apart = stage(placed.join(split, "key"))
+    each = apart.select(F.col("rep").alias("doc_id")).distinct().join(sets, "doc_id").select("doc_id", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1").select("s")
+    most = each.join(common, "s").groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("most"))
+    apart = stage(apart.join(most, "rep"))
     x, y = apart.alias("x"), apart.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")))
+    enough = F.least("x.most", "y.most") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")) & enough)
     cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(confirmed(cross))
     if not more.isEmpty():
