@@ -1 +1,18 @@
+"""Registered queries over the operators, family by family."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.plans import audit, cohort, evidence, splits  # noqa: F401  modules register their queries
+from tessera.plans.base import ORACLES, QUERIES
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
