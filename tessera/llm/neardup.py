@@ -15,6 +15,8 @@ from tessera.llm.tokens import NOT_SPACE, U, blocks, mix, shingle_sets
 
 #: Elements whose permutations are held at a time.
 ELEMENTS = 1 << 16
+#: Members of a bucket that are compared in one task.
+TILE = 2048
 
 
 def superminhash(doc: np.ndarray, values: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -100,6 +102,71 @@ def full_sets(docs: DataFrame, size: int, kind: np.ndarray = NOT_SPACE) -> DataF
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind_of_id}, shingles array<long>")
 
 
+def tile_links(members: list[tuple], percent: int, left: set[int], right: set[int]) -> list[tuple]:
+    """Links between (rep, component, shingles) of different components, one for each member and other component.
+
+    ``left`` and ``right`` are the places to compare. Only members outside the largest
+    component are looked up, each over the lists of its shingles, so that most members of a
+    bucket of copies cost nothing.
+    """
+    reps, comps = [m[0] for m in members], {}
+    comp = np.array([comps.setdefault(m[1], len(comps)) for m in members])
+    size = np.array([len(m[2]) for m in members])
+    owner = np.repeat(np.arange(len(members)), size)
+    values = np.concatenate([m[2] for m in members])
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    largest = np.bincount(comp).argmax()
+    found = []
+    for x in np.flatnonzero(comp != largest):
+        others = right if x in left else left
+        lo, hi = (np.searchsorted(values, members[x][2], side=s) for s in ("left", "right"))
+        posts = np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+        common = np.bincount(posts, minlength=len(members))
+        linked = np.flatnonzero((comp != comp[x]) & (common * 100 >= (size[x] + size - common) * percent) & (common > 0))
+        for y in {comp[y]: y for y in linked.tolist() if y in others or (x in right and y in left)}.values():
+            found.append((reps[x], reps[y]))
+    return found
+
+
+def bucket_links(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of links within a bucket between members of different components.
+
+    ``apart`` is (key, _size, rep, component, shingles). A bucket of more than TILE members is cut into
+    chunks, and each two chunks are a task's work of their own; no pairs are listed.
+    """
+    chunks = F.ceil(F.col("_size") / TILE).cast("int")
+    chunk = F.pmod(F.xxhash64("rep"), chunks).cast("int")
+    dealt = apart.withColumn("_c", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("key", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "rep", "component", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def done() -> pa.RecordBatch:
+            left = {k for k, m in enumerate(held) if m[3] == at[1]}
+            right = {k for k, m in enumerate(held) if m[3] == at[2]}
+            links = tile_links(held, percent, left, right) if held else []
+            a, b = zip(*[(min(x), max(x)) for x in links], strict=True) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(4).type
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            for n, key in enumerate(keys):
+                if key != at:
+                    if held:
+                        yield done()
+                    held, at = [], key
+                held.append((batch.column(4)[n].as_py(), batch.column(5)[n].as_py(), batch.column(6)[n].values.to_numpy(), batch.column(3)[n].as_py()))
+        if held:
+            yield done()
+
+    name = apart.schema["rep"].dataType.simpleString()
+    return map_arrow(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, f"a {name}, b {name}")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -118,9 +185,9 @@ def near_duplicates(
     bucket: first each member is held against the bucket's most central one (that which meets
     most others over all buckets), and confirmed links are joined into components; then only
     members of one bucket that are still in different components are compared with each
-    other, and of these only pairs that can link: two sets have no more in common than the shingles
-    of either that any other set in question has. Every pair that shares a bucket is thus in one
-    component, ruled out by that bound, or verified on its full sets.
+    other, in tiles of bounded size that give links and not pairs. Every pair that shares a
+    bucket is thus in one component or verified on its full sets. That last step reads each
+    leftover bucket once for every tile row, so its rows grow with a bucket's size over TILE.
 
     Null texts and texts without words have an empty set and link with nothing. Rows that
     repeat an id get the same component. An empty table gives an empty result. Columns not
@@ -152,17 +219,9 @@ def near_duplicates(
     links = stage(confirmed(tried))
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-    apart = stage(placed.join(split, "key"))
-    each = apart.select(F.col("rep").alias("doc_id")).distinct().join(sets, "doc_id").select("doc_id", F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1").select("s")
-    most = each.join(common, "s").groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("most"))
-    apart = stage(apart.join(most, "rep"))
-    x, y = apart.alias("x"), apart.alias("y")
-    enough = F.least("x.most", "y.most") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")) & enough)
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stage(confirmed(cross))
+    split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_size")).filter("_lo <> _hi")
+    apart = placed.join(split.select("key", "_size"), "key").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    more = stage(bucket_links(apart, percent).distinct())
     if not more.isEmpty():
         groups = components(links.union(more))
     final = classes.select("n", "s1", "s2", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
