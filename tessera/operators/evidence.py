@@ -155,7 +155,7 @@ def literature(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         {
             "volume": F.when(fine, capped(total / 1000)),
             "clinical_score": F.when(fine, capped(clinical / 100)),
-            "recency": F.when(fine, capped(recent / F.greatest(total * 0.4, F.lit(1.0)))),
+            "recency": F.when(fine & total.isNotNull(), capped(recent / F.greatest(total * 0.4, F.lit(1.0)))),
         }
     )
 

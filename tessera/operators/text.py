@@ -90,7 +90,7 @@ def completed_without_results(status: Column, posted: Column) -> Column:
 
 def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     """Lower-cased runs of two or more word characters, without stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b(\w\w+)\b"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
     stops = F.array(*map(F.lit, stop_words))
     return F.filter(words, lambda w: ~F.array_contains(stops, w)) if stop_words else words
 

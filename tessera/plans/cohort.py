@@ -264,17 +264,17 @@ def mechanism_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_]{2,}') AS w FROM documents WHERE lang = 'en'),
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents WHERE lang = 'en'),
     f AS (SELECT doc_id, list_filter(w, lambda x: x NOT IN ('the', 'of', 'and', 'an', 'in')) AS w FROM w),
     t AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM f),
     c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM w),
     v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
     r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (df + 1)) + 1) AS x FROM c JOIN v USING (term), n)
-    SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) * 3, 6) AS weight FROM r"""
+    SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) * 3, 5) AS weight FROM r"""
 )
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     english = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return rounded(T.tfidf(english, "doc_id", "text", top=500, stop_words=["the", "of", "and", "an", "in"], weight=3.0), "weight")
+    return rounded(T.tfidf(english, "doc_id", "text", top=500, stop_words=["the", "of", "and", "an", "in"], weight=3.0), "weight", digits=5)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

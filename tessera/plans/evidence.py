@@ -141,7 +141,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIT = """WITH e AS (SELECT user_id AS target, event_id % 7 AS disease, CASE event_type WHEN 'view' THEN 'total' WHEN 'click' THEN 'clinical_trial' WHEN 'error' THEN 'recent' END AS kind FROM events),
-  g AS (SELECT target, disease, kind, CASE WHEN (target + disease) % 13 <> 0 THEN count(*) * CASE kind WHEN 'total' THEN 20 ELSE 1 END END AS n FROM e WHERE kind IS NOT NULL GROUP BY ALL),
+  g AS (SELECT target, disease, kind, CASE WHEN (target + disease) % 13 <> 0 THEN m * CASE kind WHEN 'total' THEN 20 ELSE 1 END END AS n FROM (SELECT target, disease, kind, count(*) AS m FROM e WHERE kind IS NOT NULL GROUP BY ALL)),
   w AS (SELECT target, disease, max(n) FILTER (kind = 'total') AS total, max(n) FILTER (kind = 'clinical_trial') AS clinical, max(n) FILTER (kind = 'recent') AS recent FROM g GROUP BY ALL),
   s AS (SELECT *, CASE WHEN clinical > total OR recent > total THEN 'inconsistent' WHEN total IS NOT NULL AND clinical IS NOT NULL AND recent IS NOT NULL THEN 'complete' WHEN coalesce(total, clinical, recent) IS NOT NULL THEN 'partial' ELSE 'failed' END AS status FROM w)"""
 
@@ -183,21 +183,21 @@ def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, s AS (SELECT id, drug = 'BUILDING' AS b, 0.6 * coalesce(x1, 0) + 0.4 * x2 AS s, 0.7 * x2 + 0.3 * (1 - coalesce(x3, 0)) AS l FROM c)
-    SELECT id, round(CASE WHEN b THEN 0 ELSE s END, 6) AS small_score, round(CASE WHEN b THEN l ELSE 0 END, 6) AS biologic_score, round(CASE WHEN b THEN l ELSE s END, 6) AS combined_score FROM s"""
+    """, s AS (SELECT id, drug = 'BUILDING' AS b, 0.6::DOUBLE * coalesce(x1, 0) + 0.4::DOUBLE * x2 AS s, 0.7::DOUBLE * x2 + 0.3::DOUBLE * (1 - coalesce(x3, 0)) AS l FROM c)
+    SELECT id, CASE WHEN b THEN 0 ELSE s END AS small_score, CASE WHEN b THEN l ELSE 0 END AS biologic_score, CASE WHEN b THEN l ELSE s END AS combined_score FROM s"""
 )
 def split_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = X.split_score(F.col("drug") == "BUILDING", {"x1": 0.6, "x2": 0.4}, {"x2": 0.7, "x3": 0.3}, inverted=["x3"])
-    return rounded(cohort(spark, sf_dir).select("id", *[c.alias(n) for n, c in cols.items()]), *cols)
+    return cohort(spark, sf_dir).select("id", *[c.alias(n) for n, c in cols.items()])
 
 
 @query(
-    """, s AS (SELECT id, (0.5 * coalesce(x1, 0) + 0.3 * x2 + 0.2 * coalesce(x3, 0)) / 1.0 AS a, (0.4 * x2 + 0.4 * x4) / 0.8 AS b FROM c)
-    SELECT id, round(a, 4) AS s1, round(b, 4) AS s2, round((0.75 * a + 0.25 * b) / 1.0, 4) AS overall FROM s"""
+    """, s AS (SELECT id, (0.5::DOUBLE * coalesce(x1, 0) + 0.3::DOUBLE * x2 + 0.2::DOUBLE * coalesce(x3, 0)) / 1.0::DOUBLE AS a, (0.4::DOUBLE * x2 + 0.4::DOUBLE * x4) / 0.8::DOUBLE AS b FROM c)
+    SELECT id, round(a, 12) AS s1, round(b, 12) AS s2, round((0.75::DOUBLE * a + 0.25::DOUBLE * b) / 1.0::DOUBLE, 12) AS overall FROM s"""
 )
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = {"s1": {"x1": 0.5, "x2": 0.3, "x3": 0.2}, "s2": {"x2": 0.4, "x4": 0.4}}
-    return X.composites(cohort(spark, sf_dir), scores, {"overall": {"s1": 0.75, "s2": 0.25}}).select("id", "s1", "s2", "overall")
+    return X.composites(cohort(spark, sf_dir), scores, {"overall": {"s1": 0.75, "s2": 0.25}}, digits=12).select("id", "s1", "s2", "overall")
 
 
 @query(
@@ -249,10 +249,10 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.scale(c.filter("year <= 1999"), c, ["x2", "price"]).select("id", "x2", "price"), "x2", "price")
 
 
-@query(", s AS (SELECT median(x1) AS m1, median(x2) AS m2, median(x3) AS m3 FROM c WHERE year <= 1999) SELECT id, round(coalesce(x1, m1), 6) AS x1, x2, round(coalesce(x3, m3), 6) AS x3, (x1 IS NULL)::INT AS x1_indicator, (x3 IS NULL)::INT AS x3_indicator FROM c, s")
+@query(", s AS (SELECT median(x1) AS m1, median(x2) AS m2, median(x3) AS m3 FROM c WHERE year <= 1999) SELECT id, coalesce(x1, m1) AS x1, x2, coalesce(x3, m3) AS x3, (x1 IS NULL)::INT AS x1_indicator, (x3 IS NULL)::INT AS x3_indicator FROM c, s")
 def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cohort(spark, sf_dir)
-    return rounded(X.impute(c.filter("year <= 1999"), c, ["x1", "x2", "x3"]).select("id", "x1", "x2", "x3", "x1_indicator", "x3_indicator"), "x1", "x3")
+    return X.impute(c.filter("year <= 1999"), c, ["x1", "x2", "x3"]).select("id", "x1", "x2", "x3", "x1_indicator", "x3_indicator")
 
 
 @query(""" SELECT id, (drug = 'AUTOMOBILE')::INT AS "drug=AUTOMOBILE", (drug = 'BUILDING')::INT AS "drug=BUILDING", (drug = 'FURNITURE')::INT AS "drug=FURNITURE" FROM c""")
@@ -261,10 +261,10 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.one_hot(c.filter("drug IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')"), c.select("id", "drug"), "drug").drop("drug")
 
 
-@query(""" SELECT id, round(x1 * x2, 6) AS "x1*x2", round(x1 * x4, 6) AS "x1*x4", round(x2 * x4, 6) AS "x2*x4" FROM c""")
+@query(""" SELECT id, x1 * x2 + 0 AS "x1*x2", x1 * x4 + 0 AS "x1*x4", x2 * x4 + 0 AS "x2*x4" FROM c""")
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.interactions(cohort(spark, sf_dir).select("id", "x1", "x2", "x4"), ["x1", "x2", "x4"]).drop("x1", "x2", "x4")
-    return out.select("id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c != "id"])
+    return out.select("id", *[(F.col(f"`{c}`") + 0).alias(c) for c in out.columns if c != "id"])
 
 
 @query(", g AS (SELECT x3, region, drug, count(*) AS n, count(DISTINCT label) AS k FROM c WHERE label >= 0 GROUP BY ALL) SELECT sum(n)::BIGINT AS rows, count(*) AS distinct_vectors, count(*) FILTER (k > 1) AS mixed_vectors, coalesce(sum(n) FILTER (k > 1), 0)::BIGINT AS rows_in_mixed FROM g")
