@@ -138,7 +138,7 @@ def column_wise(texts: list[bytes], lead: np.ndarray) -> Iterator[tuple[int, np.
         for column in range(width - 1, -1, -1):
             if leaves[column + 1] and len(order):
                 kept = np.flatnonzero(begin[order] <= column)
-                common = np.minimum.reduceat(common, np.append(0, kept[:-1] + 1)) if len(kept) else common[:0]
+                common = np.minimum.reduceat(common[: kept[-1] + 1], np.append(0, kept[:-1] + 1)) if len(kept) else common[:0]
                 order = order[kept]
             if len(enters[column + 1]):
                 order = np.concatenate((enters[column + 1], order))
