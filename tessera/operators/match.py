@@ -1,8 +1,9 @@
 """Free text to canonical entities by ordered dictionaries.
 
 Dictionaries are the user's: lists of (pattern, value...) in order of preference. Up to
-``INLINE`` entries they become a literal array and the match stays in the scan's stage;
-larger ones are joined as a table in a broadcast whose size the caller answers for.
+``INLINE`` entries they become a literal array and the match stays in the scan's stage.
+Tables of patterns are broadcast up to ``SMALL`` rows, which are counted; larger ones are
+joined on the first characters of what is contained.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import any_of
 
 INLINE = 1000
+SMALL = 50_000
+GRAM = 3
 
 
 def _entries(patterns: Sequence[str], values: Sequence[str]) -> Column:
@@ -35,17 +38,35 @@ def longest_match(text: Column, patterns: Sequence[str], values: Sequence[str] |
     return first_match(text, [p for p, _ in pairs], [v for _, v in pairs], default)
 
 
+def containing(a: DataFrame, text: str, b: DataFrame, part: str) -> DataFrame:
+    """Rows of ``a`` and ``b`` where ``text`` contains ``part``; no column name may be in both.
+
+    A small ``b`` is broadcast. Otherwise the first GRAM characters of ``part`` (all of a shorter
+    one) meet the distinct grams of ``text`` in an equi-join.
+    """
+    held = F.contains(text, part)
+    if b.limit(SMALL + 1).count() <= SMALL:
+        return a.join(F.broadcast(b), held)
+
+    def grams(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
+
+    every = F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))
+    headed = b.withColumn("_head", F.left(F.col(part), F.lit(GRAM)))
+    return a.withColumn("_gram", F.explode(every)).join(headed, (F.col("_gram") == F.col("_head")) & held).drop("_gram", "_head")
+
+
 def match_table(df: DataFrame, id_: str, text: str, patterns: DataFrame) -> DataFrame:
     """(id, value) by a dictionary table (pos, pattern, value): the first pattern contained."""
-    small = F.broadcast(patterns.select("pos", F.lower("pattern").alias("_p"), "value"))
-    hits = df.select(id_, F.lower(F.coalesce(text, F.lit(""))).alias("_t")).join(small, F.contains("_t", "_p"))
+    named = patterns.select("pos", F.lower("pattern").alias("_p"), "value")
+    hits = containing(df.select(id_, F.lower(F.coalesce(text, F.lit(""))).alias("_t")), "_t", named, "_p")
     best = hits.groupBy(id_).agg(F.min(F.struct("pos", "value")).alias("_b")).select(id_, F.col("_b.value").alias("value"))
     return df.select(id_).join(best, id_, "left")
 
 
 def mixed_match(df: DataFrame, rules: DataFrame, on: str, text: str, out: str, default: float) -> DataFrame:
     """``df`` with ``out``: score of the first rule (pos, on, keyword, score) equal on ``on`` whose keyword the text holds."""
-    hits = df.join(F.broadcast(rules.select(on, "pos", "keyword", "score")), on, "left")
+    hits = df.join(rules.select(on, "pos", "keyword", "score"), on, "left")
     held = F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lower("keyword"))
     best = hits.groupBy(*df.columns).agg(F.min(F.when(held, F.struct("pos", "score"))).alias("_b"))
     return best.withColumn(out, F.coalesce("_b.score", F.lit(default))).drop("_b")
@@ -53,7 +74,7 @@ def mixed_match(df: DataFrame, rules: DataFrame, on: str, text: str, out: str, d
 
 def list_exists(df: DataFrame, approvals: DataFrame, on: str, text: str, out: str) -> DataFrame:
     """``df`` with ``out``: whether any item approved for ``on`` (on, items array) is contained in the text."""
-    joined = df.join(F.broadcast(approvals), on, "left")
+    joined = df.join(approvals, on, "left")
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     return joined.withColumn(out, F.coalesce(F.exists("items", lambda d: F.contains(lower, F.lower(d))), F.lit(False))).drop("items")
 
@@ -69,8 +90,12 @@ def canonical_list(df: DataFrame, id_: str, names: str, dictionary: DataFrame) -
     ``unmapped``, 0.10. ``dictionary`` is (pos, pattern, canonical). Empty names never match.
     """
     each = df.select(id_, F.posexplode(names).alias("_n", "_name")).withColumn("_name", F.lower(F.trim("_name"))).filter("_name <> ''")
-    small = F.broadcast(dictionary.select("pos", F.lower("pattern").alias("_p"), "canonical"))
-    hits = each.join(small, F.contains("_name", "_p") | F.contains("_p", "_name"))
+    words = dictionary.select("pos", F.lower("pattern").alias("_p"), "canonical")
+    columns = [id_, "_n", "_name", "pos", "_p", "canonical"]
+    if words.limit(SMALL + 1).count() <= SMALL:
+        hits = each.join(F.broadcast(words), F.contains("_name", "_p") | F.contains("_p", "_name"))
+    else:
+        hits = containing(each, "_name", words, "_p").select(columns).union(containing(words, "_p", each, "_name").select(columns))
     tier = F.when(F.col("_name") == F.col("_p"), 0).otherwise(1)
     best = hits.groupBy(id_).agg(F.min(F.struct("_n", tier.alias("tier"), "pos", "canonical")).alias("_b"))
     confidence = F.when(F.col("_b.tier") == 0, 0.95).when(F.col("_b.tier") == 1, 0.85).otherwise(0.10)

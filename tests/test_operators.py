@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, bootstrap, checks, cohort, evidence, features, labels, metrics, models, splits, text
+from tessera.operators import audit, bootstrap, checks, cohort, evidence, features, labels, match, metrics, models, splits, text
 from tessera.operators.prefix import cumulative, ordinal
 from tessera.sources import io
 
@@ -177,3 +177,17 @@ def test_nested_records_read_from_json(spark, tmp_path):
 def test_labels_name_their_rule(spark):
     df = spark.createDataFrame([("COMPLETED", "positive", True, False, False, False), ("COMPLETED", "neutral", False, True, False, False)], "status string, signal string, has_results boolean, approved boolean, unmapped boolean, efficacy_stop boolean")
     assert rows(labels.rule_labels(df).select("label_strict", "label_permissive", "label_provenance")) == [(1, 1, "completed+positive_text+results"), (-1, 1, "completed+approved_indication")]
+
+
+def test_large_dictionaries_match_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["Red ring", ""]), (2, ["xx", "bolt"]), (3, ["ri"]), (4, ["none"]), (5, ["a"])], "id int, names array<string>")
+    words = spark.createDataFrame([(0, "ring", "RING"), (1, "bolts", "BOLT"), (2, "a", "A")], "pos int, pattern string, canonical string")
+    joined = df.withColumn("t", F.array_join("names", " "))
+
+    def found():
+        return sorted(rows(match.canonical_list(df, "id", "names", words))), sorted(rows(match.match_table(joined, "id", F.col("t"), words.withColumnRenamed("canonical", "value"))), key=str)
+
+    plain = found()
+    monkeypatch.setattr(match, "SMALL", 1)
+    assert found() == plain
+    assert plain[0] == [(1, "RING", 0.85), (2, "BOLT", 0.85), (3, "RING", 0.85), (4, "unmapped", 0.1), (5, "A", 0.95)]
