@@ -276,7 +276,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     every = runs(rows, length)
-    twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    # a table of its own, so that both sides of the join are plain exchanges, which Spark splits at a hot anchor
+    twice = stage(every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"))
     shared = stage(every.join(twice, "key"))
     where = F.struct("doc_id", "start", "n", "lead")
     distinct = stage(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("_n"), F.min(where).alias("_a"), F.max(where).alias("_b")))
