@@ -7,54 +7,38 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
-_CHUNK = "struct<start:int,n:int,text:string>"
 
-
-def line_chunks(text: Column, divisor: int) -> Column:
-    """array<struct<start,n,text>>: runs of lines; ``start`` is the number of the first line.
+def line_chunks(rows: DataFrame, divisor: int) -> DataFrame:
+    """(doc_id, start, n, text) of (doc_id, text): runs of lines; ``start`` is the number of the first line.
 
     A chunk ends after a line where a rolling hash over the hashes of that line and the one
     before it is a multiple of ``divisor``. A boundary thus depends on two lines alone, and
-    lines put in or taken out elsewhere do not move it.
+    lines put in or taken out elsewhere do not move it. No step reads a line more than
+    twice, so the work grows with a text's length alone.
     """
+    lines = rows.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    hashed = lines.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
 
-    def struct(at, start, n, cur, prev, out) -> Column:  # noqa: ANN001
-        return F.struct(at.alias("at"), start.alias("start"), n.alias("n"), cur.alias("cur"), prev.alias("prev"), out.alias("out"))
-
-    zero = struct(F.lit(0), F.lit(0), F.lit(0), F.lit(""), F.lit(0).cast("long"), F.array().cast(f"array<{_CHUNK}>"))
-
-    def chunk(s: Column, n: Column, cur: Column) -> Column:
-        return F.array(F.struct(s["start"].alias("start"), n.alias("n"), cur.alias("text")))
-
-    def step(s: Column, line: Column) -> Column:
-        h = F.xxhash64(line)
-        cur = F.when(s["n"] == 0, line).otherwise(F.concat(s["cur"], F.lit("\n"), line))
-        ends = F.pmod(F.xxhash64(s["prev"], h), F.lit(divisor)) == 0
-        at, n = s["at"] + 1, s["n"] + 1
-        closed = struct(at, at, F.lit(0), F.lit(""), h, F.concat(s["out"], chunk(s, n, cur)))
-        return F.when(ends, closed).otherwise(struct(at, s["start"], n, cur, h, s["out"]))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["n"] > 0, F.concat(s["out"], chunk(s, s["n"], s["cur"]))).otherwise(s["out"])
+    def last(_: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("h", i - 1), F.lit(0).cast("long"))
+        return (F.pmod(F.xxhash64(before, F.get("h", i)), F.lit(divisor)) == 0) | (i == F.size("h") - 1)
 
-    return F.aggregate(F.split(text, "\n", -1), zero, step, finish)
+    numbered = hashed.withColumn("at", F.sequence(F.lit(0), F.size("h") - 1))
+    ends = numbered.select("doc_id", "lines", F.filter("at", last).alias("ends"))
+    spans = F.transform("ends", lambda e, k: F.struct(F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)).alias("start"), e.alias("end")))
 
+    def cut(s: Column) -> Column:
+        n = s["end"] - s["start"] + 1
+        return F.struct(s["start"].alias("start"), n.alias("n"), F.array_join(F.slice("lines", s["start"] + 1, n), "\n").alias("text"))
 
-def without_lines(text: Column, gone: Column) -> Column:
-    """``text`` without the lines of ``gone``, a sorted array<struct<start,n>>."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
+    return ends.select("doc_id", F.explode(F.transform(spans, cut)).alias("c")).select("doc_id", "c.*")
 
-    def step(s: Column, line: Column) -> Column:
-        span = F.get(gone, s["k"])
-        inside = F.coalesce(s["at"] >= span["start"], F.lit(False))
-        last = F.coalesce(s["at"] == span["start"] + span["n"] - 1, F.lit(False))
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(last, s["k"] + 1).otherwise(s["k"]).alias("k"),
-            F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(line))).alias("out"),
-        )
 
-    return F.array_join(F.aggregate(F.split(text, "\n", -1), zero, step)["out"], "\n")
+def without_lines(lines: Column, gone: Column) -> Column:
+    """The text of ``lines`` without those of ``gone``, an array<struct<start,n>>."""
+    out = F.flatten(F.transform(gone, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = 4, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +55,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, least_lines: int = 2, id_col:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    chunks = rows.select("doc_id", F.explode(line_chunks(F.col("text"), divisor)).alias("c")).select("doc_id", "c.*").filter(F.col("n") >= least_lines)
+    chunks = line_chunks(rows, divisor).filter(F.col("n") >= least_lines)
     hashed = chunks.withColumn("h", F.unhex(F.md5("text")))
     place = F.struct("doc_id", "start")
     classes = hashed.groupBy("h", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_found"))
@@ -84,11 +68,12 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, least_lines: int = 2, id_col:
         thin = thin.union(apart.select("doc_id", "start", "n"))
     gone = thin.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("gone"))
     both = rows.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("gone")))
+    both = both.select("d.doc_id", "text", "gone", F.split("text", "\n", -1).alias("lines"))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("lines"), F.col("gone")))
     removed = F.coalesce("gone", F.array().cast("array<struct<start:int,n:int>>"))
     return both.select(
-        F.col("d.doc_id").alias("doc_id"),
-        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
+        "doc_id",
+        F.size("lines").cast("long").alias("n_lines"),
         F.aggregate(removed, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_removed"),
         removed.alias("removed"),
         left.alias("text"),
