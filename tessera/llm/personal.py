@@ -29,6 +29,8 @@ SYLLABLES = {
 ENDINGS = {"latin": ("a", "o"), "cyrillic": ("а", "ий"), "greek": ("α", "ος")}
 #: Rounds in which colliding units try the next surrogate before the job gives up.
 ROUNDS = 64
+#: Rounds after which names and local parts of addresses get longer, and octets any length.
+WIDEN = 4
 
 
 def kind_of(found: Column) -> Column:
@@ -86,18 +88,27 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(reverse, weigh), F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a unit; see ``units_of`` for what ``value`` is of each kind."""
-    stream = hex_stream(value, kind, attempt, key)
+def surrogate(kind: Column, value: Column, attempt: int, key: str) -> Column:
+    """The surrogate of a unit; see ``units_of`` for what ``value`` is of each kind.
+
+    Every WIDEN attempts names get one more syllable and local parts of addresses one more
+    letter, and from the first time on octets may have any length, so that a corpus with
+    more names or short addresses than there are surrogates of their length has enough.
+    Numbers keep their digits.
+    """
+    stream = hex_stream(value, kind, F.lit(attempt), key)
+    more = attempt // WIDEN
     plain = substitute(value, stream)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     labels = F.split(domain, r"\.")
     host = F.when(F.size(labels) > 2, F.concat(substitute(F.array_join(F.slice(labels, 1, F.size(labels) - 2), "."), F.reverse(stream)), F.lit("."))).otherwise("")
     top = F.element_at(labels, -1)
-    email = F.concat(substitute(local, stream), F.lit("@"), host, F.lit("example."), F.when(top.isin("com", "org", "net"), top).otherwise("com"))
+    email = F.concat(substitute(F.concat(local, F.lit("x" * more)), stream), F.lit("@"), host, F.lit("example."), F.when(top.isin("com", "org", "net"), top).otherwise("com"))
 
     def octet(o: Column, i: Column) -> Column:
         n = _number(stream, i)
+        if more:
+            return (F.pmod(n, F.lit(254)) + 1).cast("string")
         return F.when(F.length(o) == 1, F.pmod(n, F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(156)) + 100).cast("string")
 
     ip = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
@@ -108,7 +119,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
     def invented(script: str, ending: Column) -> Column:
         pool = F.array(*map(F.lit, SYLLABLES[script]))
-        return F.initcap(F.concat(*[F.element_at(pool, F.pmod(_number(stream, i), F.lit(16)) + 1) for i in range(4)], ending))
+        return F.initcap(F.concat(*[F.element_at(pool, F.pmod(_number(stream, i), F.lit(16)) + 1) for i in range(4 + more)], ending))
 
     def name(place: int | None) -> Column:
         by_script = {s: invented(s, F.lit(ENDINGS[s][place] if place is not None else "")) for s in SYLLABLES}
@@ -169,7 +180,7 @@ def assign_surrogates(units: DataFrame, key: str) -> DataFrame:
     real = units.select("kind", F.col("value").alias("surrogate"))
     left, done = units, None
     for attempt in range(ROUNDS):
-        tried = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
+        tried = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), attempt, key))
         free = tried.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")

@@ -16,7 +16,7 @@ from tessera.llm.links import components
 from tessera.llm.mixing import mix_sources
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pages import extract_pages, main_text, pages_digest
-from tessera.llm.personal import personal_digest, replace_personal
+from tessera.llm.personal import assign_surrogates, personal_digest, replace_personal
 from tessera.llm.repeats import remove_repeats, repeats_digest
 from tessera.llm.secrets import scan_secrets, secret_digest
 
@@ -253,6 +253,14 @@ def test_lines(spark):
         assert (r.n_removed > 20) == (r.doc_id == 2)
 
 
+def test_many_lines(spark):
+    lines = [f"r {i}" for i in range(30000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join([*lines[:9000], "new", *lines[9000:]]))]
+    first, second = sorted(dedup_lines(table(spark, [(i, t, "s") for i, t in docs])).collect())
+    assert (first.n_lines, first.n_removed, first.text) == (30000, 0, docs[0][1])
+    assert second.n_lines == 30001 and "new" in second.text.split("\n") and 0 < len(second.text.split("\n")) == 30001 - second.n_removed < 12000
+
+
 def test_personal(spark):
     docs = [
         (1, "Mr. John Smith met Mrs Anna Smith. Mail JOHN@X.COM or john@x.com."), (2, "Call +1 (323) 555-9830, card 4111 1111 1111 1111, ip 10.0.0.1"),
@@ -275,6 +283,14 @@ def test_personal(spark):
     assert given["Mr. John Smith"].split()[-1] == given["Mrs Anna Smith"].split()[-1]
 
 
+def test_surrogates_outnumber_short_forms(spark):
+    units = [("email", f"{c}@d{i}.com") for c in "abcdefghij" for i in range(12)] + [("ip", f"{a}.{b}.{c}.1") for a in range(1, 10) for b in range(10) for c in range(10)]
+    got = assign_surrogates(spark.createDataFrame(units, "kind string, value string"), "k").collect()
+    assert sorted((r.kind, r.value) for r in got) == sorted(units)
+    given = {(r.kind, r.surrogate) for r in got}
+    assert len(given) == len(units) and not given & set(units)
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><a href=x>Home</a></nav><div class="ad">Buy the thing that is on the list of all.</div>
 <article><h1>A title</h1><p><b>It is the first &amp; longest of   all the paragraphs that we have in here.<br><p>Short.</p><p><a href=y>only a link to it</a></p></article>
 <div class="comments"><p>I think that this is the best of all the things that were said.</p></div><footer>&copy; all the rest</footer></body></html>"""
