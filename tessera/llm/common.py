@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of every contract here: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -20,7 +21,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package on the workers' path, wherever the session was started."""
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:

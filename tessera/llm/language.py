@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessera.llm.common import map_arrow, stage
 
@@ -94,7 +95,8 @@ def identify(docs: DataFrame, profiles: DataFrame, top: int = 400, id_col: str =
     two ranks are apart; an n-gram that the profile lacks counts as ``top``. The language of
     the smallest distance wins, the first by name among equals. ``score`` is 1 less the
     distance over the largest one possible. Null texts, texts without a letter, and any text when nothing
-    was learned, get ``und`` and 0. Rows are judged alone, so repeated rows agree.
+    was learned, get ``und`` and 0. Rows are judged alone, so repeated rows agree. Columns
+    named ``lang_pred`` or ``score`` are not kept; put a row in a struct to keep all of it.
     """
     if profiles.select("lang").distinct().count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; are these labels languages?")
@@ -128,8 +130,7 @@ def identify(docs: DataFrame, profiles: DataFrame, top: int = 400, id_col: str =
     names = ["doc_id", *kept, "lang_pred", "score"]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in kept])
     fields = [rows.schema[c] for c in ["doc_id", *kept]]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_arrow(rows, run, f"{types}, lang_pred string, score double")
+    return map_arrow(rows, run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_: Column) -> Column:
