@@ -19,18 +19,18 @@ ORACLE_SQL = None
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with an id in ``ids``, columns as they are; a null id matches a null id."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """Rows of ``docs`` with an id in ``ids``, whatever their columns; a null id matches a null id."""
+    ids = ids.select(F.col("doc_id").alias("id")).distinct()
+    return docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.id")), "left_semi")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the labelled rows; others and those without letters go."""
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     profiles = stage(learn_profiles(docs.filter(~out)))
-    # the decision travels with the row, so that nothing is joined
-    judged = identify(docs.withColumn("_all_text", F.col("text")), profiles, keep=[c for c in docs.columns if c not in ("doc_id", "text")] + ["_all_text"])
-    return judged.filter(F.col("lang_pred") != UNKNOWN).withColumnRenamed("_all_text", "text").select(*docs.columns)
+    # the decision travels with the row, so that nothing is joined; as a struct, so that no name clashes
+    judged = identify(docs.select("doc_id", "text", F.struct("*").alias("row")), profiles, keep=["row"])
+    return judged.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def first_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
