@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
@@ -20,28 +20,30 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "identifier", "material", "endpoint")
 
 
-def match_spans(text: Column, pattern: str, value_group: int = 0, least: int = 0) -> Column:
-    """array<struct<start,end>> of the leftmost non-overlapping matches, in code points.
+#: What a match of the kind does in a linked credential, and its fewest characters of the value group.
+ROLES = {"assign": "m", "access": "i", "hex": "m", "identifier": "i", "material": "m", "endpoint": "e"}
+PATTERNS = {
+    "assign": (ASSIGN, 2, 8),
+    "access": (ACCESS, 0, 0),
+    "hex": (HEX, 0, 0),
+    "identifier": (IDENTIFIER, 0, 0),
+    "material": (MATERIAL, 0, 0),
+    "endpoint": (ENDPOINT, 0, 0),
+}
 
-    ``split`` gives what stands between matches and ``regexp_extract_all`` the matches;
-    their lengths add up to the positions. Matches whose group ``value_group`` has fewer
-    than ``least`` characters are dropped after they were consumed.
-    """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), F.length) if value_group else whole
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["whole"]
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("size")))
-        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+def match_lengths(text: Column, pattern: str, value_group: int, least: int) -> Column:
+    """array<struct<gap,size,counts>> of the leftmost non-overlapping matches, in code points.
 
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    found = F.aggregate(zipped, start, step)["found"]
-    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    ``gap`` is what stands between a match and the one before it. ``counts`` is false where
+    group ``value_group`` has fewer than ``least`` characters: such a match is consumed all
+    the same. ``split`` gives the gaps and ``regexp_extract_all`` the matches.
+    """
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), lambda v: F.length(v) >= least)
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(size)).alias("gap"), size.alias("size"), value.alias("counts"))
+    return F.when(text.rlike(pattern), zipped).otherwise(F.array().cast("array<struct<gap:int,size:int,counts:boolean>>"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,32 +54,31 @@ def scan_secrets(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text
     other: material or an identifier needs the other one (a base access key counts as
     identifier, a base assign or hex match as material), an endpoint needs both. Parts meet
     in an interval join on (row, block of the scope); a block holds few parts since parts
-    do not overlap within a kind, so a long document spreads over many blocks.
+    do not overlap within a kind, so a long document spreads over many blocks. Positions are
+    running sums over a row's matches, so the work grows with their number alone.
 
     Null text counts as empty and has no spans. Rows that repeat an id are scanned each on
     its own. An empty table gives an empty result. Columns not named are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), text.alias("_text"))
-    found = {
-        "assign": match_spans(F.col("_text"), ASSIGN, 2, 8),
-        "access": match_spans(F.col("_text"), ACCESS),
-        "hex": match_spans(F.col("_text"), HEX),
-        "identifier": match_spans(F.col("_text"), IDENTIFIER),
-        "material": match_spans(F.col("_text"), MATERIAL),
-        "endpoint": match_spans(F.col("_text"), ENDPOINT),
-    }
-    rows = stage(rows.select("_row", "doc_id", *[v.alias(k) for k, v in found.items()]))
-    role = {"assign": "m", "access": "i", "hex": "m", "identifier": "i", "material": "m", "endpoint": "e"}
-
-    def tag(n: int, k: str) -> Column:
-        return F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), x["end"].alias("end"), F.lit(role[k]).alias("role")))
-
-    tagged = [tag(n, k) for n, k in enumerate(KINDS)]
-    parts = rows.select("_row", F.explode(F.concat(*tagged)).alias("p")).select("_row", "p.*")
+    rows = stage(rows.select("_row", "doc_id", *[match_lengths(F.col("_text"), *PATTERNS[k]).alias(k) for k in KINDS]))
+
+    def tagged(n: int, k: str) -> Column:
+        return F.transform(F.col(k), lambda x, i: F.struct(F.lit(n).alias("kind"), F.lit(ROLES[k]).alias("role"), i.alias("at"), x["gap"].alias("gap"), x["size"].alias("size"), x["counts"].alias("counts")))
+
+    matches = rows.select("_row", F.inline(F.concat(*[tagged(n, k) for n, k in enumerate(KINDS)]))).repartition("_row")
+    upto = Window.partitionBy("_row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = matches.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")).filter("counts")
+    placed = placed.select("_row", "kind", "role", (F.col("end") - F.col("size")).alias("start"), "end")
+    # a weak part inside a base match says nothing new; of equal starts base kinds come first
+    before = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weak = F.col("kind") >= len(BASE)
+    inside = weak & F.coalesce(F.max(F.when(~weak, F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+    parts = stage(placed.withColumn("inside", inside))
     first, last = F.floor(F.col("start") / scope), F.floor((F.col("end") + scope) / scope)
     blocked = parts.withColumn("_block", F.explode(F.sequence(first, last)))
-    mine, other = blocked.filter(f"kind >= {len(BASE)}").alias("a"), blocked.alias("b")
+    mine, other = blocked.filter(weak & ~F.col("inside")).alias("a"), blocked.alias("b")
     near = (
         (F.col("a._row") == F.col("b._row"))
         & (F.col("a._block") == F.col("b._block"))
@@ -93,15 +94,13 @@ def scan_secrets(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text
         .groupBy("a._row", "a.start", "a.kind", "a.end", "a.role")
         .agg(F.max(F.col("b.role") == "i").alias("_i"), F.max(F.col("b.role") == "m").alias("_m"))
         .filter("CASE role WHEN 'i' THEN _m WHEN 'm' THEN _i ELSE _i AND _m END")
-        .groupBy("_row")
-        .agg(F.collect_list(F.struct("start", "kind", "end")).alias("_weak"))
     )
-    base = F.concat(*[F.transform(t, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))) for t in tagged[: len(BASE)]])
-    weak = F.coalesce(F.col("_weak"), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    # a weak part inside a base match says nothing new
-    fresh = F.filter(weak, lambda w: ~F.exists(F.col("_base"), lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
-    named = F.transform(F.array_sort(F.concat("_base", fresh)), lambda x: F.struct(x["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("kind"), x["end"].alias("end")))
-    return rows.withColumn("_base", base).join(linked, "_row", "left").select("doc_id", named.alias("spans"))
+    found = parts.filter(~weak).select("_row", "start", "kind", "end").unionByName(linked.select("_row", "start", "kind", "end"))
+    per_row = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
+    names = F.array(*map(F.lit, KINDS))
+    named = F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.element_at(names, x["kind"] + 1).alias("kind"), x["end"].alias("end")))
+    empty = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    return rows.select("_row", "doc_id").join(per_row, "_row", "left").select("doc_id", F.coalesce(named, empty).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 from tests_support import corpus
 
@@ -24,3 +25,22 @@ def test_stages_keep_their_promises(spark, tmp_path):
     text = {d[0]: d[1] or "" for d in docs}
     assert gone[0] == {i for i, t in text.items() if not re.search(r"[^\W\d_]", t)}
     assert gone[1] == {301} and gone[2] == {302} and gone[3] == {303} and gone[4] == set()
+
+
+def test_stages_pass_other_columns_on(spark, tmp_path):
+    docs, bench = corpus()
+    folder = str(tmp_path)
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    plain = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    more = plain
+    for name in ("score", "lang_pred", "held_out", "id", "_id", "_all_text", "row", "kept", "d", "k", "a.b", "n_hit", "size"):
+        more = more.withColumn(name, F.concat(F.lit(name), F.lit(" of "), F.col("doc_id").cast("string")))
+    now = more
+    for _, step in P.STAGES[:-1]:
+        now = step(spark, now, folder)
+        assert now.columns == more.columns
+        now = now.cache()
+    assert all(r["score"] == f"score of {r['doc_id']}" and r["lang_pred"] == f"lang_pred of {r['doc_id']}" for r in now.collect())
+    mixed = {tuple(r) for r in P.mixed(spark, now, folder).collect()}
+    left = plain.join(now.select("doc_id"), "doc_id", "left_semi").select(plain.columns)
+    assert mixed == {tuple(r) for r in P.mixed(spark, left, folder).collect()} and len(mixed) > 50

@@ -182,6 +182,14 @@ def test_secrets(spark):
             assert r.spans == ""
 
 
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdefgh12 user: bob Zx9aB8cD7eF6gH5iJ4kL\n" * 30_000
+    got = secret_digest(scan_secrets(table(spark, [(1, text, "s")]))).collect()
+    base = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=[a-z0-9]+", text))
+    assert [(r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got] == [(30_000, 0, 0, hashlib.sha256(base.encode()).hexdigest())]
+    assert got[0].spans.count("identifier:") == got[0].spans.count("material:") == 30_000
+
+
 def test_decontamination(spark, rows):
     items = [(1, " ".join(words(80, 3)[20:45]), None), (2, "one two", None), (3, None, None), (4, "", None), (5, "Ünï!!☃", None), (11, "ONE two", None), (6, " ".join(words(150, 2)), None)]
     bench = table(spark, items).withColumnRenamed("doc_id", "item_id")
