@@ -1,4 +1,4 @@
-"""Removal of repeated line chunks whose boundaries follow the content."""
+"""Removal of repeated runs of lines, found by overlapping chunks of a few lines."""
 
 from __future__ import annotations
 
@@ -8,73 +8,68 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage
 
 
-def line_chunks(rows: DataFrame, divisor: int) -> DataFrame:
-    """(doc_id, start, n, text) of (doc_id, text): runs of lines; ``start`` is the number of the first line.
+def line_chunks(rows: DataFrame, n: int) -> DataFrame:
+    """(doc_id, row, start, text) of (doc_id, row, text): every ``n`` lines that follow each other, from each line on.
 
-    A chunk ends after a line where a rolling hash over the hashes of that line and the one
-    before it is a multiple of ``divisor``. A boundary thus depends on two lines alone, and
-    lines put in or taken out elsewhere do not move it. No step reads a line more than
-    twice, so the work grows with a text's length alone.
+    A chunk depends on its own lines alone, so lines put in or taken out elsewhere change no
+    other chunk, and a run of ``n`` lines or more gives the same chunks wherever it stands.
     """
-    lines = rows.select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    hashed = lines.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
+    lines = rows.select("doc_id", "row", F.split("text", "\n", -1).alias("lines")).filter(F.size("lines") >= n)
 
-    def last(_: Column, i: Column) -> Column:
-        before = F.coalesce(F.get("h", i - 1), F.lit(0).cast("long"))
-        return (F.pmod(F.xxhash64(before, F.get("h", i)), F.lit(divisor)) == 0) | (i == F.size("h") - 1)
+    def cut(i: Column) -> Column:
+        return F.struct(i.alias("start"), F.array_join(F.slice("lines", i + 1, n), "\n").alias("text"))
 
-    numbered = hashed.withColumn("at", F.sequence(F.lit(0), F.size("h") - 1))
-    ends = numbered.select("doc_id", "lines", F.filter("at", last).alias("ends"))
-    spans = F.transform("ends", lambda e, k: F.struct(F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)).alias("start"), e.alias("end")))
+    return lines.select("doc_id", "row", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - n), cut)).alias("c")).select("doc_id", "row", "c.*")
 
-    def cut(s: Column) -> Column:
-        n = s["end"] - s["start"] + 1
-        return F.struct(s["start"].alias("start"), n.alias("n"), F.array_join(F.slice("lines", s["start"] + 1, n), "\n").alias("text"))
 
-    return ends.select("doc_id", F.explode(F.transform(spans, cut)).alias("c")).select("doc_id", "c.*")
+def runs(lines: Column) -> Column:
+    """The array<struct<start,n>> of maximal runs in ``lines``, increasing numbers."""
+    starts = F.filter(lines, lambda x, k: (k == 0) | (F.get(lines, k - 1) < x - 1))
+    ends = F.filter(lines, lambda x, k: (k == F.size(lines) - 1) | (F.get(lines, k + 1) > x + 1))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
 
 
-def without_lines(lines: Column, gone: Column) -> Column:
-    """The text of ``lines`` without those of ``gone``, an array<struct<start,n>>."""
-    out = F.flatten(F.transform(gone, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
-    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-
-
-def dedup_lines(docs: DataFrame, divisor: int = 4, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_lines``, ``n_removed`` (lines), ``removed`` spans, ``text``.
 
-    A chunk of ``least_lines`` lines or more that occurs again anywhere, the same document included,
-    stays where it occurs first (by id, then line) and goes elsewhere. Chunks are grouped by
-    (128-bit hash, bytes), which compares the bytes and sends one row for each chunk and task;
-    per document only hashes and places are joined back.
-
-    Null text counts as empty and stays so. Texts of one line never lose it. A document may end empty when all its chunks occur
-    earlier. Rows that repeat an id with the same text keep and lose the same chunks. An empty
-    table gives an empty result. Columns not named are not read.
+    A run of ``least_lines`` lines or more that occurs again anywhere, the same document included,
+    stays where it occurs first (by id, then line) and goes elsewhere. All chunks of ``least_lines``
+    lines are compared, from each line on, and those that go are merged into maximal runs, so a
+    repeated run goes up to its ends. A chunk that overlaps its own first occurrence stays. Of each
+    line that goes, an equal one stays further ahead. Chunks are grouped by (128-bit hash, bytes),
+    which compares the bytes and sends one row for each chunk and task; per document only hashes
+    and places are joined back.
+
+    Null text counts as empty and stays so. Texts of one line never lose it. A document may end empty when all its lines occur
+    earlier. Rows that repeat an id with the same text keep and lose the same lines; with other texts,
+    or without an id, each is a document of its own. An empty table gives an empty result. Columns
+    not named are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    chunks = line_chunks(rows, divisor).filter(F.col("n") >= least_lines)
-    hashed = chunks.withColumn("h", F.unhex(F.md5("text")))
-    place = F.struct("doc_id", "start")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("row"), text.alias("text"))
+    hashed = line_chunks(rows, least_lines).withColumn("h", F.unhex(F.md5("text")))
+    place = F.struct("doc_id", "row", "start")
     classes = hashed.groupBy("h", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_found"))
     per_hash = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first").alias("first"), F.sum("n_found").alias("n_found")).filter("n_found > 1"))
-    later = ~place.eqNullSafe(F.col("first"))
-    thin = hashed.drop("text").join(per_hash.filter("n_texts = 1"), "h").filter(later).select("doc_id", "start", "n")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    later = ~(same & (F.col("start") < F.col("first.start") + least_lines))
+    thin = hashed.drop("text").join(per_hash.filter("n_texts = 1"), "h").filter(later).select("doc_id", "row", "start")
     shared = per_hash.filter("n_texts > 1").select("h")
     if not shared.isEmpty():
         apart = hashed.join(shared, "h", "left_semi").join(classes, ["h", "text"]).filter(later)
-        thin = thin.union(apart.select("doc_id", "start", "n"))
-    gone = thin.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("gone"))
-    both = rows.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    both = both.select("d.doc_id", "text", "gone", F.split("text", "\n", -1).alias("lines"))
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("lines"), F.col("gone")))
-    removed = F.coalesce("gone", F.array().cast("array<struct<start:int,n:int>>"))
+        thin = thin.union(apart.select("doc_id", "row", "start"))
+    covered = F.flatten(F.transform(F.sort_array(F.collect_set("start")), lambda s: F.sequence(s, s + (least_lines - 1))))
+    gone = thin.groupBy("doc_id", "row").agg(F.array_distinct(covered).alias("gone"))
+    gone = gone.select("doc_id", "row", "gone", runs(F.col("gone")).alias("removed"))
+    match = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row"))
+    both = rows.alias("d").join(gone.alias("g"), match, "left")
+    both = both.select("d.doc_id", "text", "gone", "removed", F.split("text", "\n", -1).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     return both.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
-        F.aggregate(removed, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_removed"),
-        removed.alias("removed"),
-        left.alias("text"),
+        F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<struct<start:int,n:int>>")).alias("removed"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
     )

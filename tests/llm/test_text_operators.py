@@ -261,6 +261,27 @@ def test_lines(spark):
         assert (r.n_removed > 20) == (r.doc_id == 2)
 
 
+def test_short_passages_go_whole(spark):
+    passage = [[f"passage {k} line {j}" for j in range(2 + k % 4)] for k in range(40)]
+    docs = [(k, [f"own {k} a", f"own {k} b", *passage[k], f"own {k} c"]) for k in range(40)]
+    docs += [(100 + k, [f"other {k} a", *passage[k], f"other {k} b", *passage[(k + 7) % 40], f"other {k} c"]) for k in range(40)]
+    docs += [(200, ["same"] * 5), (201, ["single", "own 1 a"])]
+    got = {r.doc_id: r for r in dedup_lines(table(spark, [(i, "\n".join(t), "s") for i, t in docs])).collect()}
+    for i, t in docs:
+        kept = [x for x in t if not x.startswith("passage")] if 100 <= i < 200 else t[:2] if i == 200 else t
+        assert got[i].text.split("\n") == kept and got[i].n_removed == len(t) - len(kept)
+        assert all(a.start + a.n < b.start for a, b in zip(got[i].removed, got[i].removed[1:], strict=False))
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    block = "\n".join(f"line {i} of the block" for i in range(6))
+    docs = [(None, "a\n" + block), (None, "b 1\nb 2\nb 3\n" + block + "\nb 4"), (7, block + "\nc"), (7, "d 1\nd 2\n" + block)]
+    got = sorted(r.text for r in dedup_lines(table(spark, [(i, t, "s") for i, t in docs])).collect())
+    first = [t for t in ("a\n" + block, "b 1\nb 2\nb 3\n" + block + "\nb 4") if t in got]
+    assert len(first) == 1
+    assert got == sorted([*first, "b 1\nb 2\nb 3\nb 4" if first[0].startswith("a") else "a", "c", "d 1\nd 2"])
+
+
 def test_many_lines(spark):
     lines = [f"r {i}" for i in range(30000)]
     docs = [(1, "\n".join(lines)), (2, "\n".join([*lines[:9000], "new", *lines[9000:]]))]
