@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stage, table
 from tessera.llm.decontaminate import contamination
-from tessera.llm.exact import exact_dedup
+from tessera.llm.exact import one_of_equal, smallest
 from tessera.llm.language import UNKNOWN, held_out, identify, learn_profiles
 from tessera.llm.mixing import mix_sources
 from tessera.llm.neardup import near_duplicates
@@ -18,10 +18,11 @@ from tessera.llm.neardup import near_duplicates
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with an id in ``ids``, whatever their columns; a null id matches a null id."""
-    ids = ids.select(F.col("doc_id").alias("id")).distinct()
-    return docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.id")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, text, order, row) of ``docs``; equal texts, and they alone, share a key, whatever their ids."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    return docs.select(key.alias("key"), text.alias("text"), smallest(F.col("doc_id")).alias("order"), F.struct("*").alias("row"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +36,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def first_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id."""
-    return _only(docs, exact_dedup(docs).filter("kept"))
+    return one_of_equal(docs)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return _only(docs, near_duplicates(docs).filter("kept"))
+    """Of each group of near duplicates, or of rows with the same text, the row with the smallest id."""
+    rows = _keyed(docs)
+    groups = near_duplicates(rows.select("key", "text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = rows.groupBy("key").agg(F.min("order").alias("order"))
+    chosen = groups.join(first, "key").groupBy("component_id").agg(F.min_by("key", F.struct("order", "key")).alias("key")).select("key")
+    return rows.join(chosen, "key", "left_semi").groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    return _only(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0"))
+    rows = _keyed(docs)
+    judged = contamination(rows.select("key", "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    return rows.join(judged.filter("n_hit = 0").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def smallest(id_: Column) -> Column:
+    """What to order rows by so that the smallest id comes first and nulls last; never null."""
+    return F.struct(id_.isNull().alias("none"), id_.alias("id"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -45,6 +50,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 
 
+def one_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows of ``docs``, one of each group of texts that ``exact_dedup`` calls equal.
+
+    The row with the smallest id stays, one without an id only where no row has one. The
+    decision is made on rows and not on ids, so repeated and null ids give one row as well.
+    """
+    norm = normalised(F.col(text_col))
+    rows = docs.select(F.unhex(F.md5(norm)).alias("_h"), norm.alias("_norm"), smallest(F.col(id_col)).alias("_order"), F.struct("*").alias("_row"))
+    return rows.groupBy("_h", "_norm").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+
+
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

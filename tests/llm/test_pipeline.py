@@ -44,3 +44,28 @@ def test_stages_pass_other_columns_on(spark, tmp_path):
     mixed = {tuple(r) for r in P.mixed(spark, now, folder).collect()}
     left = plain.join(now.select("doc_id"), "doc_id", "left_semi").select(plain.columns)
     assert mixed == {tuple(r) for r in P.mixed(spark, left, folder).collect()} and len(mixed) > 50
+
+
+def test_decisions_go_with_rows_and_not_with_ids(spark, tmp_path):
+    docs, bench = corpus()
+    folder = str(tmp_path)
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    text = {d[0]: d[1] for d in docs}
+    clean, base = text[20], text[10]
+    near, leak = text[12], text[303]
+    rows = [(10, base), (10, base), (10, base), (12, near), (None, clean), (None, base.replace(" ", "  ")), (None, near + " tail"), (None, leak), (40, leak.replace(" ", "\n")), (12, text[30]), (12, near + " end"), (None, text[32]), (None, text[32])]
+    now = spark.createDataFrame([(i, t, "aa", "s1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {
+        "exact_dedup": [(10, base), (12, near), (None, clean), (None, near + " tail"), (40, leak.replace(" ", "\n")), (12, text[30]), (12, near + " end"), (None, text[32])],
+        "decontamination": [(10, base), (None, clean), (12, text[30]), (None, text[32])],
+    }
+    for name, step in P.STAGES[1:4]:
+        now = step(spark, now, folder).cache()
+        got = sorted(((r.doc_id, r.text) for r in now.collect()), key=repr)
+        if name in want:
+            left = sorted(want[name], key=repr)
+            assert [x for x in got if near not in x[1]] == [x for x in left if near not in x[1]]
+        assert sum(near in t for _, t in got) == (3 if name == "exact_dedup" else 1)
+    assert all(i == 12 for i, t in got if near in t)
+    whole = P.one_of_near(spark, spark.createDataFrame([(1, base), (1, base), (None, base), (None, clean), (None, clean)], "doc_id long, text string"), folder)
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted([(1, base), (None, clean)], key=repr)
