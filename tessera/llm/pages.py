@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,6 +25,7 @@ STOP_WORDS = {
 }
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = set("head script style noscript template iframe object svg math canvas audio video map datalist".split())
+VERBATIM = set("pre table".split())
 ZONES = set("nav footer aside form menu button select textarea fieldset dialog".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = set("article main".split())
@@ -40,12 +42,15 @@ _stops = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 LONG, STOPS, LINKS, SHORT = 70, 0.12, 0.33, 200
 
 
+Block = tuple[str, int, bool, int, bool]
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page in order: [text, characters in links, zone, content part]."""
+    """Blocks of a page in order: [text, characters in links, zone, content part, code or table]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, int, bool, int]] = []
+        self.out: list[Block] = []
         self.open: list[tuple[str, bool, bool, int]] = []  # tag, skipped, zone, content part
         self.text: list[str] = []
         self.linked = 0
@@ -58,7 +63,8 @@ class Blocks(HTMLParser):
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.out.append((text, min(self.linked, len(text)), *self.state()[1:]))
+            verbatim = any(x[0] in VERBATIM for x in self.open)
+            self.out.append((text, min(self.linked, len(text)), *self.state()[1:], verbatim))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -108,25 +114,46 @@ class Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
-def labels(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
+def width(text: str) -> int:
+    """Characters of ``text``, those of double width twice."""
+    return len(text) if text.isascii() else len(text) + sum(unicodedata.east_asian_width(c) in "WF" for c in text)
+
+
+def labels(blocks: list[Block]) -> list[bool]:
     """Whether each block is main text.
 
     First pass: parts that are named as something else and blocks that are mostly links are
     not; blocks with enough stop words are, if long, or if they stand in an article; long
-    blocks outside any article without stop words are not. What is left is ambiguous. Second
-    pass: an ambiguous block takes the label of the nearest decided block of its article, or
+    blocks outside any article without stop words are not, unless they are code or a table. What
+    is left is ambiguous.
+
+    Where less than half of the long text outside such parts has enough stop words, the page is in a
+    language without a list, and length decides in their place: long blocks are main text, and
+    so are the short ones of an article that has no long one.
+
+    Second pass: an ambiguous block takes the label of the nearest decided block of its article, or
     outside articles of the page; of two equally near ones the one before. Where nothing is
     decided, blocks of an article are main text and others are not.
     """
-    first: list[bool | None] = []
-    for text, linked, zone, part in blocks:
+    apart = [zone or linked > LINKS * len(text) for text, linked, zone, _, _ in blocks]
+    stopped = []
+    for text, *_ in blocks:
         words = [w.lower() for w in WORD.findall(text)]
-        stops = max((sum(w in s for w in words) for s in _stops.values()), default=0) / max(1, len(words))
-        if zone or linked > LINKS * len(text):
+        stopped.append(max((sum(w in s for w in words) for s in _stops.values()), default=0) / max(1, len(words)) >= STOPS)
+    size = [width(b[0]) for b in blocks]
+    prose = [i for i, b in enumerate(blocks) if not apart[i] and not b[4]]
+    known = sum(size[i] for i in prose if stopped[i])
+    listed = 2 * known >= sum(size[i] for i in prose if stopped[i] or size[i] >= LONG) > 0
+    with_long = {blocks[i][3] for i in range(len(blocks)) if not apart[i] and size[i] >= LONG}
+    first: list[bool | None] = []
+    for i, (text, _, _, part, verbatim) in enumerate(blocks):
+        if apart[i]:
             first.append(False)
-        elif stops >= STOPS and (len(text) >= LONG or part):
+        elif stopped[i] and (len(text) >= LONG or part):
+            first.append(True)
+        elif not listed and (size[i] >= LONG or (part and part not in with_long)):
             first.append(True)
-        elif len(text) >= SHORT and not part:
+        elif len(text) >= SHORT and not part and not verbatim:
             first.append(False)
         else:
             first.append(None)
@@ -140,7 +167,7 @@ def labels(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
     return out
 
 
-def _decided_near(first: list[bool | None], blocks: list[tuple[str, int, bool, int]], i: int, part: int) -> Iterator[int]:
+def _decided_near(first: list[bool | None], blocks: list[Block], i: int, part: int) -> Iterator[int]:
     for step in (-1, 1):
         j = i + step
         while 0 <= j < len(first):

@@ -338,6 +338,33 @@ def test_plain_page_neighbours():
     assert main_text("<body><p>Brief words</p></body>") == []
 
 
+PROSE = {
+    "ru": "Утром над рекой поднялся густой туман, поэтому паром долго стоял у причала, пассажиры пили чай, смотрели вдаль, ждали солнца. Капитан обещал отплыть через час.",
+    "pl": "Rano nad rzeką pojawiła się gęsta mgła, dlatego prom długo stał przy brzegu, pasażerowie pili herbatę, patrzyli przed siebie, czekali słońca. Kapitan obiecał odpłynąć wkrótce.",
+    "zh": "清晨河面上升起了浓雾，因此渡船在码头停留了很久，乘客们喝着茶望着远方，等待太阳出来。船长答应一小时之内启航，大家都很高兴，孩子们在甲板上跑来跑去。",
+    "sv": "Tidigt morgonen steg dimman över floden, därför låg färjan länge vid kajen, passagerarna drack kaffe, tittade bort, väntade solen. Kaptenen lovade avgång inom timmen.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_pages_in_languages_without_stop_words(lang):
+    text = PROSE[lang]
+    more = text + " " + text[::-1]
+    links = "<p><a href=a>" + text + "</a></p>"
+    nav, foot = "<nav><a href=x>" + text[:20] + "</a></nav>", "<footer>It is the best of all that we have in here for you and for the others.</footer>"
+    assert main_text(f"<body>{nav}<p>{more}</p><p>{text[:12]}</p><p>{text}</p>{links}{foot}</body>") == [more, text[:12], text]
+    assert main_text(f"<body>{nav}<article><h1>{text[:10].strip()}</h1><p>{text}</p><p>{more}</p>{links}</article>{foot}</body>") == [text[:10].strip(), text, more]
+    brief = [text[:30].strip(), text[5:30].strip()]
+    assert main_text(f"<body><article><p>{brief[0]}</p>{links}<p>{brief[1]}</p></article></body>") == brief
+
+
+def test_long_code_outside_an_article():
+    prose = "<p>This is the one that was said to be in the long form of all of these texts, as it is.</p>"
+    code = "x = call(y, z); " * 20
+    junk = "keyword list filler " * 20
+    assert [t[:9] for t in main_text(f"<body>{prose}<pre>{code}</pre>{prose}{prose}{prose}{prose}<p>{junk}</p></body>")] == ["This is t", "x = call(", *["This is t"] * 4]
+
+
 def test_empty_tables(spark):
     empty = table(spark, []).filter("false")
     items = empty.withColumnRenamed("doc_id", "item_id")
