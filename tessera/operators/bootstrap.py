@@ -2,8 +2,9 @@
 
 Scores are first reduced to (cluster, score) histograms; a replicate multiplies a cluster's
 counts by how often it was drawn. Draw j of replicate r hits cluster md5(seed, r, j) mod K,
-which is an exact multinomial; for more than ``EXACT`` clusters a cluster's count is a
-Poisson(1) number of md5(seed, r, cluster), so that work stays in proportion to clusters x replicates.
+which is an exact multinomial (``kind`` "multinomial", up to ``EXACT`` clusters, an error beyond). With
+``kind`` "poisson" a cluster's count is a Poisson(1) number of md5(seed, r, cluster): another
+estimator, for any number of clusters. Which one is drawn is never chosen by size.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ def _hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 8), 16, 10).cast("long")
 
 
-def draws(clusters: DataFrame, replicates: int, seed: str) -> DataFrame:
+def draws(clusters: DataFrame, replicates: int, seed: str, kind: str = "multinomial") -> DataFrame:
     """(replicate, cluster, times) for a table of distinct ``cluster``; clusters never drawn are absent."""
+    if kind not in ("multinomial", "poisson"):
+        raise ValueError(f"draws are multinomial or poisson, not {kind}")
     spark = clusters.sparkSession
-    k = clusters.count()
-    if k <= EXACT:
+    if kind == "multinomial":
+        k = clusters.count()
+        if k > EXACT:
+            raise ValueError(f"{k} clusters are more than {EXACT}, the most for multinomial draws; use kind='poisson'")
         numbered = ordinal(clusters.withColumn("_h", _hash("order", F.col("cluster"))), [], "_h", "_i", ties=["cluster"])
         each = spark.range(replicates * k).select(F.floor(F.col("id") / k).alias("replicate"), F.pmod("id", F.lit(k)).alias("j"))
         hit = each.select("replicate", (F.pmod(_hash(seed, F.col("replicate"), F.col("j")), F.lit(k)) + 1).alias("_i"))
@@ -58,32 +63,32 @@ def _weighted_hist(df: DataFrame, label: str, scores: Sequence[str], cluster: st
     return mine.groupBy("replicate", *extra, "which", "score").agg(F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
 
 
-def bootstrap_auc(df: DataFrame, label: str, score: str, cluster: str, replicates: int = 2000, seed: str = "boot") -> DataFrame:
+def bootstrap_auc(df: DataFrame, label: str, score: str, cluster: str, replicates: int = 2000, seed: str = "boot", kind: str = "multinomial") -> DataFrame:
     """One row: n, positives, auc, ci_low, ci_high, valid_replicates, repeats. Replicates of one class are skipped."""
-    drawn = draws(df.select(F.col(cluster).alias("cluster")).distinct(), replicates, seed)
-    per = auc_of(_weighted_hist(df, label, [score], cluster, drawn), ["replicate"])
+    drawn = draws(df.select(F.col(cluster).alias("cluster")).distinct(), replicates, seed, kind)
+    per = auc_of(_weighted_hist(df, label, [score], cluster, drawn), ["replicate"], blocks=1)
     whole = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("positives"))
     return totals.crossJoin(auc_of(whole)).crossJoin(_interval(per, "auc", [], replicates))  # one row each
 
 
-def paired_bootstrap(df: DataFrame, label: str, a: str, b: str, cluster: str, replicates: int = 2000, seed: str = "boot") -> DataFrame:
+def paired_bootstrap(df: DataFrame, label: str, a: str, b: str, cluster: str, replicates: int = 2000, seed: str = "boot", kind: str = "multinomial") -> DataFrame:
     """(which, ci_low, ci_high, valid_replicates, repeats) of both scores and ``difference`` (a - b), on the same draws."""
-    drawn = draws(df.select(F.col(cluster).alias("cluster")).distinct(), replicates, seed)
-    per = auc_of(_weighted_hist(df, label, [a, b], cluster, drawn), ["replicate", "which"])
+    drawn = draws(df.select(F.col(cluster).alias("cluster")).distinct(), replicates, seed, kind)
+    per = auc_of(_weighted_hist(df, label, [a, b], cluster, drawn), ["replicate", "which"], blocks=1)
     wide = per.groupBy("replicate").agg(F.max(F.when(F.col("which") == a, F.col("auc"))).alias("_a"), F.max(F.when(F.col("which") == b, F.col("auc"))).alias("_b"))
     pairs = F.array(F.struct(F.lit(a).alias("which"), F.col("_a").alias("x")), F.struct(F.lit(b).alias("which"), F.col("_b").alias("x")), F.struct(F.lit("difference").alias("which"), (F.col("_a") - F.col("_b")).alias("x")))
     return _interval(wide.select(F.explode(pairs).alias("p")).select("p.*"), "x", ["which"], replicates)
 
 
-def fold_bootstrap(df: DataFrame, label: str, score: str, reference: str, fold: str, cluster: str, replicates: int = 2000, seed: str = "boot", by: Sequence[str] = ()) -> DataFrame:
+def fold_bootstrap(df: DataFrame, label: str, score: str, reference: str, fold: str, cluster: str, replicates: int = 2000, seed: str = "boot", by: Sequence[str] = (), kind: str = "multinomial") -> DataFrame:
     """(by, ci_low, ci_high, ...) of the mean over folds of score's AUC less the reference's.
 
     A replicate counts only if every fold of its group has both classes.
     """
-    drawn = draws(df.select(F.col(cluster).alias("cluster")).distinct(), replicates, seed)
+    drawn = draws(df.select(F.col(cluster).alias("cluster")).distinct(), replicates, seed, kind)
     keys = [*by, fold]
-    per = auc_of(_weighted_hist(df, label, [score, reference], cluster, drawn, keys), ["replicate", *keys, "which"])
+    per = auc_of(_weighted_hist(df, label, [score, reference], cluster, drawn, keys), ["replicate", *keys, "which"], blocks=1)
     wide = per.groupBy("replicate", *keys).agg(F.max(F.when(F.col("which") == score, F.col("auc"))).alias("_a"), F.max(F.when(F.col("which") == reference, F.col("auc"))).alias("_b"))
     folds = df.select(*keys).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_folds"))
     means = wide.groupBy("replicate", *by).agg(F.avg(F.col("_a") - F.col("_b")).alias("x"), F.count(F.col("_a") - F.col("_b")).alias("_got"))

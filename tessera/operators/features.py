@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import capped
 from tessera.operators.evidence import validated_join
+from tessera.operators.prefix import medians, ordinal
 
 
 def missing_flags(real: Mapping[str, str]) -> dict[str, Column]:
@@ -100,13 +101,10 @@ def coverage(df: DataFrame, sources: Mapping[str, Column]) -> DataFrame:
 
 
 def vocabulary(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, token, code) of the distinct trimmed, lower-cased values; codes from 2 in order of the token.
-
-    One row per distinct value, so the numbering is small beside the table.
-    """
+    """(column, token, code) of the distinct trimmed, lower-cased values; codes from 2 in order of the token."""
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lower(F.trim(F.col(c))).alias("token")) for c in columns])).alias("x")).select("x.*")
     distinct = long.filter("token IS NOT NULL AND token <> ''").distinct()
-    return distinct.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("token")) + 1)
+    return ordinal(distinct, ["column"], "token", "_n").select("column", "token", (F.col("_n") + 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, vocabulary_: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -125,9 +123,12 @@ def scale(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact train medians for missing values, and ``<column>_indicator`` for columns that train lacks somewhere."""
-    stats = train.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in columns], *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in columns]).first()
-    flags = {f"{c}_indicator": F.col(c).isNull().cast("int") for c in columns if stats[f"n_{c}"]}
-    return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(stats[f"m_{c}"]).cast("double")) for c in columns})
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = train.select(F.explode(pairs).alias("x")).select("x.*")
+    middle = {r["column"]: r["median"] for r in medians(long, ["column"], "value").collect()}  # one row per column
+    lacks = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    flags = {f"{c}_indicator": F.col(c).isNull().cast("int") for c in columns if lacks[c]}
+    return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle.get(c)).cast("double")) for c in columns})
 
 
 def one_hot(train: DataFrame, df: DataFrame, column: str, most: int = 1000) -> DataFrame:

@@ -16,9 +16,9 @@ def histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = (), wei
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("neg"))
 
 
-def auc_of(hist: DataFrame, by: Sequence[str] = (), undefined: float | None = None) -> DataFrame:
-    """(by, auc): ties count half; ``undefined`` where a class is absent."""
-    run = cumulative(hist, list(by), "score", {"upto": "neg"})
+def auc_of(hist: DataFrame, by: Sequence[str] = (), undefined: float | None = None, blocks: int = 64) -> DataFrame:
+    """(by, auc): ties count half; ``undefined`` where a class is absent. ``blocks`` as in ``cumulative``."""
+    run = cumulative(hist, list(by), "score", {"upto": "neg"}, blocks=blocks)
     area = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     both = F.sum("pos") * F.sum("neg")
     return run.groupBy(*by).agg(F.when(both > 0, area / F.when(both > 0, both)).otherwise(F.lit(undefined).cast("double")).alias("auc"))

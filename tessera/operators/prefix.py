@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+#: Rows of the sample that cut points are taken from, in each group.
+SAMPLE = 512
+
+
+def _cut_points(base: DataFrame, group: list[str], order: Sequence[str], blocks: int) -> DataFrame:
+    """(group, _cuts): up to ``blocks`` - 1 increasing places of the order (an array of structs).
+
+    One row of each of SAMPLE buckets of a hash, that of the smallest second hash, is a sample of a
+    group that depends on its rows alone.
+    """
+    place = F.struct(*order)
+    bucket, draw = F.pmod(F.xxhash64(*order), F.lit(SAMPLE)), F.xxhash64(F.lit("cut"), *order)
+    each = base.groupBy(*group, bucket.alias("_b")).agg(F.min_by(place, draw).alias("_s"))
+    cuts = each.groupBy(*group).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    step = F.size("_s") / F.lit(float(blocks))
+    at = F.transform(F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: F.get("_s", F.floor(i * step).cast("int")))
+    return cuts.select(*group, F.array_distinct(at).alias("_cuts"))
+
+
+def _matches(left: str, right: str, columns: Sequence[str]) -> list[Column]:
+    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
 
 
 def cumulative(df: DataFrame, by: list[str], key: str, sums: dict[str, str], descending: bool = False, ties: list[str] | None = None, blocks: int = 64) -> DataFrame:
     """``df`` with running sums ``{new: column}`` in order of ``key`` (then ``ties``) in each group of ``by``.
 
-    Each group is cut at quantiles of ``key``, which is numeric, into up to ``blocks`` ranges; a range is summed on
-    its own and starts from the totals of those before it. So a group that holds most rows,
-    or the whole table where ``by`` is empty, is spread over tasks. Nulls come first.
+    Each group is cut into up to ``blocks`` ranges of its order; a range is summed on its own and
+    starts from the totals of those before it. So a group that holds most rows, or the whole
+    table where ``by`` is empty, is spread over tasks. A numeric key without ties is cut at its
+    quantiles; any other key (text, a struct) and ties at places of a sample of rows, so rows that
+    share a key are spread as well where ties tell them apart. Nulls come first. ``descending`` is for
+    numeric keys. With ``blocks`` 1 a group is summed in one task: for many groups of a bounded size.
     """
     group = [*by, "_group"]
-    base = df.withColumn("_group", F.lit(0)).withColumn("_k", F.col(key).cast("double") * (-1 if descending else 1))
-    cuts = base.groupBy(*group).agg(F.percentile_approx("_k", [i / blocks for i in range(1, blocks)], 10000).alias("_cuts"))
-    left, right = base.alias("l"), cuts.alias("r")
-    cut = left.join(right, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group], "left").select("l.*", "_cuts")
-    below = F.size(F.filter("_cuts", lambda x: x < F.col("_k")))
-    cut = cut.withColumn("_block", F.when(F.col("_k").isNull() | F.col("_cuts").isNull(), -1).otherwise(below)).drop("_cuts")
-    order = [F.col("_k").asc_nulls_first(), *[F.col(t) for t in ties or []]]
-    inside = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numeric = isinstance(df.schema[key].dataType, NumericType)
+    if descending and not numeric:
+        raise ValueError("a descending order needs a numeric key")
+    base = df.withColumn("_group", F.lit(0)).withColumn("_k", -F.col(key) if descending else F.col(key))
+    order = ["_k", *(ties or [])]
+    sorting = [F.col(c).asc_nulls_first() for c in order]
+    if blocks == 1:
+        alone = Window.partitionBy(*by).orderBy(*sorting).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return base.withColumns({n: F.sum(c).over(alone) for n, c in sums.items()}).drop("_group", "_k")
+    if numeric and not ties:
+        quantiles = F.percentile_approx(F.col("_k").cast("double"), [i / blocks for i in range(1, blocks)], 10000)
+        cuts, place = base.groupBy(*group).agg(quantiles.alias("_cuts")), F.col("_k").cast("double")
+    else:
+        cuts, place = _cut_points(base, group, order, blocks), F.struct(*order)
+    cut = base.alias("l").join(cuts.alias("r"), _matches("l", "r", group), "left").select("l.*", "_cuts")
+    below = F.size(F.filter("_cuts", lambda x: x < place))
+    cut = cut.withColumn("_block", F.when(place.isNull() | F.col("_cuts").isNull(), -1).otherwise(below)).drop("_cuts")
+    inside = Window.partitionBy(*group, "_block").orderBy(*sorting).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = cut.groupBy(*group, "_block").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     running = cut.withColumns({f"_s_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    left, right = running.alias("l"), offsets.alias("r")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_block"]]
-    out = left.join(right, same).select("l.*", *[f"_o_{n}" for n in sums])
+    out = running.alias("l").join(offsets.alias("r"), _matches("l", "r", [*group, "_block"])).select("l.*", *[f"_o_{n}" for n in sums])
     out = out.withColumns({n: F.col(f"_s_{n}") + F.col(f"_o_{n}") for n in sums})
     return out.drop("_group", "_k", "_block", *[f"_s_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
@@ -36,3 +72,21 @@ def cumulative(df: DataFrame, by: list[str], key: str, sums: dict[str, str], des
 def ordinal(df: DataFrame, by: list[str], key: str, name: str, descending: bool = False, ties: list[str] | None = None) -> DataFrame:
     """``df`` with ``name``, the place (from 1) of each row in its group's order."""
     return cumulative(df.withColumn("_one", F.lit(1).cast("long")), by, key, {name: "_one"}, descending, ties).drop("_one")
+
+
+def medians(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, median) of the non-null values of ``column``: exact, the mean of the middle two of an even number.
+
+    Values are counted first, so no task holds the values of a group.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cumulative(counts, by, "_v", {"_upto": "_n"}).withColumn("_all", F.lit(0))
+    keys = [*by, "_all"]
+    totals = counts.withColumn("_all", F.lit(0)).groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    both = placed.alias("l").join(totals.alias("r"), _matches("l", "r", keys)).select("l.*", "_total")
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)  # places from 0
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_v")))
+
+    return both.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median")).drop("_all")

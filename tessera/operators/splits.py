@@ -42,12 +42,13 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: str) -> Dat
     """(group, fold): no group is split, classes and sizes near even.
 
     Groups are dealt within their majority class by size, large first, forth and back over
-    the folds. One row per group, so the order is small beside the table.
+    the folds.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("positives"))
     sizes = sizes.withColumn("stratum", (F.col("positives") * 2 > F.col("n")).cast("int"))
-    w = Window.partitionBy("stratum").orderBy(F.col("n").desc(), hash_order(F.col(group), seed), group)
-    i = F.row_number().over(w) - 1
+    ranked = sizes.withColumn("_o", F.struct((-F.col("n")).alias("n"), hash_order(F.col(group), seed).alias("h"), F.col(group).alias("g")))
+    sizes = ordinal(ranked, ["stratum"], "_o", "_i")
+    i = F.col("_i") - 1
     forth, place = F.pmod(F.floor(i / k), F.lit(2)) == 0, F.pmod(i, F.lit(k))
     return sizes.select(group, "stratum", "n", F.when(forth, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
@@ -82,8 +83,16 @@ def chronological_split(df: DataFrame, id_: str, year: str, label: str, share: f
 
 
 def class_limit(df: DataFrame, id_: str, label: str, n: int) -> DataFrame:
-    """At most ``n`` rows, half of them of each class, the first by id."""
-    return ordinal(df, [label], id_, "_n").filter(F.col("_n") <= n // 2).drop("_n")
+    """The first ``n`` rows by id where these hold two classes, else the first ``n`` / 2 of each class.
+
+    All rows where that gives no two classes either. Ids may be text. Nulls are no class.
+    """
+    first = ordinal(df, [], id_, "_n").filter(F.col("_n") <= n).drop("_n")
+    if first.agg(F.count_distinct(label)).first()[0] > 1 or df.count() <= n:
+        return first
+    if n < 2 or df.agg(F.count_distinct(label)).first()[0] < 2:
+        return df
+    return ordinal(df.filter(F.col(label).isNotNull()), [label], id_, "_n").filter(F.col("_n") <= n // 2).drop("_n")
 
 
 def review_sample(df: DataFrame, id_: str, by: Sequence[str], each: int, total: int, seed: str) -> DataFrame:
@@ -113,8 +122,11 @@ def training_frame(df: DataFrame, id_: str, year: str, label: str, last_year: in
     return cleaned.withColumn("pair", pair_key(*[F.col(k) for k in keys[:2]]))
 
 
-def violations(manifest: DataFrame, rows: DataFrame, id_: str, year: str | None = None, group: str | None = None, held_out: DataFrame | None = None) -> DataFrame:
-    """(mode, fold, problem, n) of a split manifest; empty when all holds."""
+def violations(manifest: DataFrame, rows: DataFrame, id_: str, year: str | None = None, group: str | None = None, held_out: DataFrame | None = None, outer: DataFrame | None = None) -> DataFrame:
+    """(mode, fold, problem, n) of a split manifest; empty when all holds.
+
+    ``outer`` are the (id) of the outer train rows, to which the folds of an inner manifest must keep.
+    """
     parts = []
 
     def add(found: DataFrame, problem: str) -> None:
@@ -135,6 +147,8 @@ def violations(manifest: DataFrame, rows: DataFrame, id_: str, year: str | None
         add(shared.groupBy("mode", "fold").agg(F.count(F.lit(1)).alias("n")), "groups overlap")
     if held_out is not None:
         add(manifest.join(held_out.select(F.col(id_).alias("id")), "id", "left_semi").groupBy("mode", "fold").agg(F.count(F.lit(1)).alias("n")), "held-out rows used")
+    if outer is not None:
+        add(manifest.join(outer.select("id"), "id", "left_anti").groupBy("mode", "fold").agg(F.count(F.lit(1)).alias("n")), "outside the outer train rows")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

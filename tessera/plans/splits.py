@@ -60,23 +60,33 @@ def chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chronological_split(cohort(spark, sf_dir), "id", "year", "label").select("id", "role")
 
 
-@query(" SELECT id, label FROM c WHERE label >= 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) <= 100")
+@query(
+    """, t AS (SELECT 'any' AS ids, 'NCT' || id AS id, label FROM c WHERE label >= 0 UNION ALL SELECT 'by class', label || 'NCT' || id, label FROM c WHERE label >= 0),
+    f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY ids ORDER BY id) <= 200), k AS (SELECT ids, count(DISTINCT label) AS k FROM f GROUP BY ids),
+    h AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY ids, label ORDER BY id) <= 100)
+    SELECT f.* FROM f JOIN k USING (ids) WHERE k > 1 UNION ALL SELECT h.* FROM h JOIN k USING (ids) WHERE k = 1"""
+)
 def class_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.class_limit(_known(spark, sf_dir).select("id", "label"), "id", "label", 200)
+    c = _known(spark, sf_dir)
+    kinds = {"any": F.concat(F.lit("NCT"), F.col("id").cast("string")), "by class": F.concat(F.col("label").cast("string"), F.lit("NCT"), F.col("id").cast("string"))}
+    a, b = (X.class_limit(c.select(F.lit(k).alias("ids"), i.alias("id"), "label"), "id", "label", 200) for k, i in kinds.items())
+    return a.unionByName(b)
+
+
+_SAMPLE = """, h AS (SELECT id, label, drug, ('0x' || substr(md5('r:' || id::VARCHAR), 1, 8))::BIGINT AS h FROM c), f AS (SELECT id, label, drug FROM h QUALIFY row_number() OVER (PARTITION BY label, drug ORDER BY h, id) <= 20),
+    r AS (SELECT id, label, drug FROM h WHERE id NOT IN (SELECT id FROM f) ORDER BY h, id LIMIT greatest(0, (SELECT 500 - count(*) FROM f))) """
 
 
 @query(
-    """, h AS (SELECT id, label, drug, ('0x' || substr(md5('r:' || id::VARCHAR), 1, 8))::BIGINT AS h FROM c), f AS (SELECT id, label, drug FROM h QUALIFY row_number() OVER (PARTITION BY label, drug ORDER BY h, id) <= 5),
-    r AS (SELECT id, label, drug FROM h WHERE id NOT IN (SELECT id FROM f) ORDER BY h, id LIMIT (SELECT 150 - count(*) FROM f)) SELECT * FROM f UNION ALL SELECT * FROM r"""
+    _SAMPLE + "SELECT * FROM f UNION ALL SELECT * FROM r"
 )
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.review_sample(cohort(spark, sf_dir).select("id", "label", "drug"), "id", ["label", "drug"], 5, 150, "r")
+    return X.review_sample(cohort(spark, sf_dir).select("id", "label", "drug"), "id", ["label", "drug"], 20, 500, "r")
 
 
-@query(" SELECT id, drug, 'https://example.org/' || id AS url, '' AS reviewer, '' AS verdict FROM c WHERE id % 100 = 0")
+@query(_SAMPLE + "SELECT id, drug, 'https://example.org/' || id AS url, '' AS reviewer, '' AS verdict FROM (SELECT * FROM f UNION ALL SELECT * FROM r)")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = cohort(spark, sf_dir).filter("id % 100 = 0").select("id", "drug", "label", "label_b")
-    return X.review_queue(sample, ["label", "label_b"], "id", "https://example.org/", ["reviewer", "verdict"])[0]
+    return X.review_queue(review_sample(spark, sf_dir), ["label"], "id", "https://example.org/", ["reviewer", "verdict"])[0]
 
 
 @query(" SELECT id, label, CASE WHEN drug = 'unmapped' THEN 'unknown' ELSE lower(drug) END AS drug, lower(target) AS target, CASE WHEN drug = 'unmapped' THEN 'unknown' ELSE lower(drug) END || ' | ' || lower(target) AS pair FROM c WHERE year <= 1999 AND label >= 0")
@@ -89,14 +99,16 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """, m AS (SELECT id, customer, year, CASE WHEN year <= 1998 OR id % 1000 = 0 THEN 'train' ELSE 'validation' END AS role FROM c WHERE year IS NOT NULL), g AS (SELECT customer FROM m GROUP BY 1 HAVING count(DISTINCT role) > 1)
     SELECT 'temporal' AS mode, 0 AS fold, 'groups overlap' AS problem, count(*) AS n FROM g
     UNION ALL SELECT 'temporal', 0, 'years overlap', 1 WHERE (SELECT max(year) FROM m WHERE role = 'train') >= (SELECT min(year) FROM m WHERE role = 'validation')
-    UNION ALL SELECT 'temporal', 0, 'unknown id', 1 UNION ALL SELECT 'temporal', 0, 'held-out rows used', count(*) FROM m WHERE id % 500 = 1 HAVING count(*) > 0"""
+    UNION ALL SELECT 'temporal', 0, 'unknown id', 1 UNION ALL SELECT 'temporal', 0, 'held-out rows used', count(*) FROM m WHERE id % 500 = 1 HAVING count(*) > 0
+    UNION ALL SELECT 'temporal', 0, 'outside the outer train rows', 1 + count(*) FROM m WHERE year > 1999 AND id % 1000 <> 0"""
 )
 def split_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cohort(spark, sf_dir)
     role = F.when((F.col("year") <= 1998) | (F.col("id") % 1000 == 0), "train").otherwise("validation")
     m = c.filter("year IS NOT NULL").select(F.lit("temporal").alias("mode"), F.lit(0).alias("fold"), role.alias("role"), "id")
     odd = spark.createDataFrame([("temporal", 0, "train", -1)], "mode string, fold int, role string, id long")
-    return X.violations(m.unionByName(odd), c.select("id", "customer", "year"), "id", "year", "customer", c.filter("id % 500 = 1"))
+    late = c.filter("year <= 1998 OR id % 1000 = 0 OR year = 1999").select("id")
+    return X.violations(m.unionByName(odd), c.select("id", "customer", "year"), "id", "year", "customer", c.filter("id % 500 = 1"), late)
 
 
 @query(" SELECT DISTINCT customer FROM c WHERE year <= 1995 INTERSECT SELECT DISTINCT customer FROM c WHERE year > 1999")
@@ -187,7 +199,7 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("fold", "candidate", "roc_auc", "reference_roc_auc", "roc_auc_difference"), "roc_auc_difference")
 
 
-R = 60
+R = 2000
 _DRAWS = f""", cl AS (SELECT target, row_number() OVER (ORDER BY ('0x' || substr(md5('order:' || target), 1, 8))::BIGINT, target) AS i, count(*) OVER () AS k FROM (SELECT DISTINCT target FROM c WHERE label >= 0)),
   dr AS (SELECT r, ('0x' || substr(md5('boot:' || r || ':' || j), 1, 8))::BIGINT % 25 + 1 AS i FROM range({R}) a(r), range(25) b(j)), ti AS (SELECT r, i, count(*) AS times FROM dr GROUP BY ALL),
   dw AS (SELECT r, target, times FROM ti JOIN cl USING (i)) """

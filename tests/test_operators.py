@@ -37,13 +37,18 @@ def test_auc_and_intervals(spark):
         checks.require_scores(spark.createDataFrame([(1, float("nan"))], "y int, p double"), "y", ["p"])
 
 
-def test_draws_sum_to_clusters_and_poisson_is_near(spark, monkeypatch):
+def test_kind_of_draws_is_a_parameter(spark, monkeypatch):
     clusters = spark.range(50).select(F.col("id").cast("string").alias("cluster"))
     per = bootstrap.draws(clusters, 8, "s").groupBy("replicate").agg(F.sum("times")).collect()
     assert [r[1] for r in per] == [50] * 8
-    monkeypatch.setattr(bootstrap, "EXACT", 1)
-    total = bootstrap.draws(clusters, 40, "s").agg(F.sum("times")).first()[0]
+    total = bootstrap.draws(clusters, 40, "s", "poisson").agg(F.sum("times")).first()[0]
     assert 1800 < total < 2200
+    monkeypatch.setattr(bootstrap, "EXACT", 49)
+    with pytest.raises(ValueError, match="poisson"):
+        bootstrap.draws(clusters, 8, "s")
+    assert bootstrap.draws(clusters, 40, "s", "poisson").agg(F.sum("times")).first()[0] == total
+    with pytest.raises(ValueError):
+        bootstrap.draws(clusters, 8, "s", "other")
 
 
 def test_metrics_do_not_depend_on_partitions(spark, cohort160):
@@ -164,8 +169,11 @@ def test_sources_and_sinks(spark, tmp_path):
     prints = io.fingerprint(spark, [at("pq")])
     saved = spark.createDataFrame(prints.collect(), prints.schema)
     assert io.changed_files(io.fingerprint(spark, [at("pq")]), saved).isEmpty()
-    (tmp_path / "h.csv").write_text("a,b,a\n1,2,3\n")
+    (tmp_path / "h.csv").write_text('a,b,a,"x,y","x,z"\n1,2,3,4,5\n')
     assert rows(io.duplicate_headers(spark, at("h.csv"))) == [("a", 2)]
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="PARQUET|parquet|SCHEMA"):
+        io.read_parquet_or_csv(spark, at("bad.parquet"), at("csv")).collect()
 
 
 def test_nested_records_read_from_json(spark, tmp_path):
@@ -181,7 +189,7 @@ def test_labels_name_their_rule(spark):
 
 def test_large_dictionaries_match_alike(spark, monkeypatch):
     df = spark.createDataFrame([(1, ["Red ring", ""]), (2, ["xx", "bolt"]), (3, ["ri"]), (4, ["none"]), (5, ["a"])], "id int, names array<string>")
-    words = spark.createDataFrame([(0, "ring", "RING"), (1, "bolts", "BOLT"), (2, "a", "A")], "pos int, pattern string, canonical string")
+    words = spark.createDataFrame([(-1, "", "EMPTY"), (0, "ring", "RING"), (1, "bolts", "BOLT"), (2, "a", "A"), (3, None, "NONE")], "pos int, pattern string, canonical string")
     joined = df.withColumn("t", F.array_join("names", " "))
 
     def found():
