@@ -3,7 +3,7 @@
 Dictionaries are the user's: lists of (pattern, value...) in order of preference. Up to
 ``INLINE`` entries they become a literal array and the match stays in the scan's stage.
 Tables of patterns are broadcast up to ``SMALL`` rows, which are counted; larger ones are
-joined on the first characters of what is contained.
+joined on the first characters of what is contained. Empty patterns match nothing.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import any_of
 
 INLINE = 1000
-SMALL = 50_000
+SMALL = 500
 GRAM = 3
 
 
 def _entries(patterns: Sequence[str], values: Sequence[str]) -> Column:
     if len(patterns) > INLINE:
         raise ValueError(f"more than {INLINE} patterns: use match_table")
-    return F.array(*[F.struct(F.lit(p.lower()).alias("k"), F.lit(v).alias("v")) for p, v in zip(patterns, values, strict=True)])
+    kept = [F.struct(F.lit(p.lower()).alias("k"), F.lit(v).alias("v")) for p, v in zip(patterns, values, strict=True) if p]
+    return F.array(*kept) if kept else F.array().cast("array<struct<k:string,v:string>>")
 
 
 def first_match(text: Column, patterns: Sequence[str], values: Sequence[str] | None = None, default: str | None = None) -> Column:
@@ -39,12 +40,13 @@ def longest_match(text: Column, patterns: Sequence[str], values: Sequence[str] |
 
 
 def containing(a: DataFrame, text: str, b: DataFrame, part: str) -> DataFrame:
-    """Rows of ``a`` and ``b`` where ``text`` contains ``part``; no column name may be in both.
+    """Rows of ``a`` and ``b`` where ``text`` contains ``part``, which is not empty; no column name may be in both.
 
     A small ``b`` is broadcast. Otherwise the first GRAM characters of ``part`` (all of a shorter
     one) meet the distinct grams of ``text`` in an equi-join.
     """
     held = F.contains(text, part)
+    b = b.filter(F.col(part) != "")
     if b.limit(SMALL + 1).count() <= SMALL:
         return a.join(F.broadcast(b), held)
 
@@ -65,11 +67,14 @@ def match_table(df: DataFrame, id_: str, text: str, patterns: DataFrame) -> Data
 
 
 def mixed_match(df: DataFrame, rules: DataFrame, on: str, text: str, out: str, default: float) -> DataFrame:
-    """``df`` with ``out``: score of the first rule (pos, on, keyword, score) equal on ``on`` whose keyword the text holds."""
-    hits = df.join(rules.select(on, "pos", "keyword", "score"), on, "left")
-    held = F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lower("keyword"))
-    best = hits.groupBy(*df.columns).agg(F.min(F.when(held, F.struct("pos", "score"))).alias("_b"))
-    return best.withColumn(out, F.coalesce("_b.score", F.lit(default))).drop("_b")
+    """``df`` with ``out``: score of the first rule (pos, on, keyword, score) equal on ``on`` whose keyword the text holds.
+
+    The rules of a key come as one list, in order, so each row of ``df`` meets one row and none is grouped.
+    """
+    lists = rules.groupBy(on).agg(F.array_sort(F.collect_list(F.struct("pos", "keyword", "score"))).alias("_rules"))
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hit = F.get(F.filter("_rules", lambda r: F.contains(lower, F.lower(r["keyword"]))), F.lit(0))
+    return df.join(lists, on, "left").withColumn(out, F.coalesce(hit["score"], F.lit(default))).select(*df.columns, out)
 
 
 def list_exists(df: DataFrame, approvals: DataFrame, on: str, text: str, out: str) -> DataFrame:
@@ -90,7 +95,7 @@ def canonical_list(df: DataFrame, id_: str, names: str, dictionary: DataFrame) -
     ``unmapped``, 0.10. ``dictionary`` is (pos, pattern, canonical). Empty names never match.
     """
     each = df.select(id_, F.posexplode(names).alias("_n", "_name")).withColumn("_name", F.lower(F.trim("_name"))).filter("_name <> ''")
-    words = dictionary.select("pos", F.lower("pattern").alias("_p"), "canonical")
+    words = dictionary.select("pos", F.lower("pattern").alias("_p"), "canonical").filter("_p <> ''")
     columns = [id_, "_n", "_name", "pos", "_p", "canonical"]
     if words.limit(SMALL + 1).count() <= SMALL:
         hits = each.join(F.broadcast(words), F.contains("_name", "_p") | F.contains("_p", "_name"))
@@ -104,7 +109,7 @@ def canonical_list(df: DataFrame, id_: str, names: str, dictionary: DataFrame) -
 
 def canonical_text(text: Column, dictionary: Sequence[tuple[str, str, str]]) -> Column:
     """struct(drug, target, modality, mapped) of the first (drug, target, modality) whose name the text holds."""
-    entries = F.array(*[F.struct(F.lit(d.lower()).alias("drug"), F.lit(t).alias("target"), F.lit(m).alias("modality")) for d, t, m in dictionary])
+    entries = F.array(*[F.struct(F.lit(d.lower()).alias("drug"), F.lit(t).alias("target"), F.lit(m).alias("modality")) for d, t, m in dictionary if d])
     hit = F.get(F.filter(entries, lambda e: F.contains(F.lower(F.coalesce(text, F.lit(""))), e["drug"])), F.lit(0))
     return F.struct(
         F.coalesce(hit["drug"], F.lit("unmapped")).alias("drug"),
@@ -116,7 +121,7 @@ def canonical_text(text: Column, dictionary: Sequence[tuple[str, str, str]]) ->
 
 def priority_match(text: Column, rules: Sequence[tuple[str, str, float]], default: tuple[str, float]) -> Column:
     """struct(value, confidence) of the first (pattern, value, confidence) in order."""
-    entries = F.array(*[F.struct(F.lit(p.lower()).alias("k"), F.lit(v).alias("value"), F.lit(float(c)).alias("confidence")) for p, v, c in rules])
+    entries = F.array(*[F.struct(F.lit(p.lower()).alias("k"), F.lit(v).alias("value"), F.lit(float(c)).alias("confidence")) for p, v, c in rules if p])
     hit = F.get(F.filter(entries, lambda e: F.contains(F.lower(F.coalesce(text, F.lit(""))), e["k"])), F.lit(0))
     return F.struct(F.coalesce(hit["value"], F.lit(default[0])).alias("value"), F.coalesce(hit["confidence"], F.lit(default[1])).alias("confidence"))
 
