@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audit, cohort, evidence, models, splits  # noqa: F401  modules register their queries
+from tessera.plans import audit, cohort, evidence, files, models, splits  # noqa: F401  modules register their queries
 from tessera.plans.base import ORACLES, QUERIES
 
 

@@ -24,9 +24,12 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def read_parquet_or_csv(spark: SparkSession, parquet: str, csv: str, schema: StructType | str | None = None) -> DataFrame:
+    """The Parquet table if its path exists, otherwise the CSV; a damaged Parquet table is an error."""
     try:
         return spark.read.parquet(parquet)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return read_csv(spark, csv, schema)
 
 
@@ -57,7 +60,10 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def fingerprint(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, sha256, bytes, modified) of every file under the paths, hashed where it is read."""
+    """(path, sha256, bytes, modified) of every file under the paths, hashed where it is read.
+
+    A file is one row, so files are at most 2 GB, as tables written by Spark have them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
@@ -69,9 +75,9 @@ def changed_files(now: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def duplicate_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(column, n) of names that a CSV header holds more than once, from its raw first line."""
-    first = spark.read.text(path).limit(1)
-    names = first.select(F.explode(F.split("value", ",")).alias("column"))
+    """(column, n) of names that a CSV header holds more than once, from its first line; quotes count as in CSV."""
+    first = spark.read.option("header", False).csv(path).limit(1)
+    names = first.select(F.explode(F.array(*first.columns)).alias("column"))
     return names.groupBy("column").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
