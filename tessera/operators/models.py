@@ -1,10 +1,11 @@
 """Model fits with Spark ML, their grids, validation and explanations.
 
-Candidates are fitted in a driver loop over one cached table; every fit is distributed.
+Candidates are fitted in a driver loop over tables written once; every fit is distributed.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators.features import impute, scale
 from tessera.operators.metrics import metric_bundle
+from tessera.operators.prefix import medians
 from tessera.operators.splits import stratified_folds
+from tessera.sources.scratch import written
 
+log = logging.getLogger(__name__)
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
@@ -51,13 +55,13 @@ def logistic(df: DataFrame, label: str, c: float = 1.0, balanced: bool = False,
     return LogisticRegression(labelCol=label, weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-8).fit(train)
 
 
-def forest(df: DataFrame, label: str, trees: int = 50, depth: int = 5, balanced: bool = True, seed: int = 42) -> Model:
+def forest(df: DataFrame, label: str, trees: int = 200, depth: int = 5, least: int = 8, balanced: bool = True, seed: int = 42) -> Model:
     train = class_weights(df, label) if balanced else df.withColumn("weight", F.lit(1.0))
-    return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(train)
+    return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed).fit(train)
 
 
-def boosted(df: DataFrame, label: str, rounds: int = 20, depth: int = 3, step: float = 0.1, subsample: float = 0.8, seed: int = 42) -> Model:
-    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed).fit(df)
+def boosted(df: DataFrame, label: str, rounds: int = 100, depth: int = 3, step: float = 0.05, least: int = 10, subsample: float = 0.8, seed: int = 42) -> Model:
+    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, minInstancesPerNode=least, subsamplingRate=subsample, seed=seed).fit(df)
 
 
 def ridge(df: DataFrame, label: str, alpha: float = 1.0) -> Model:
@@ -75,13 +79,12 @@ def regression_scores(df: DataFrame, label: str, prediction: str = "prediction")
 def calibrated(df: DataFrame, label: str, id_: str, folds: int = 3, c: float = 1.0, seed: str = "cal") -> Callable[[DataFrame], DataFrame]:
     """Mean of ``folds`` logistic models, each put through an isotonic fit on the fold it did not see."""
     parts = stratified_folds(df, id_, label, folds, seed).select(id_, "fold")
-    rows = df.join(parts, id_).cache()
+    rows = written(df.join(parts, id_))
     pairs = []
     for k in range(folds):
         base = logistic(rows.filter(F.col("fold") != k), label, c)
         held = scored(base, rows.filter(F.col("fold") == k))
         pairs.append((base, IsotonicRegression(labelCol=label, featuresCol="probability").fit(held)))
-    rows.unpersist()
 
     def apply(new: DataFrame) -> DataFrame:
         out = new
@@ -145,19 +148,22 @@ def trainable(train: DataFrame, test: DataFrame, label: str, least_train: int =
 def grid(train: DataFrame, test: DataFrame, labels: Sequence[str], sets: Mapping[str, Sequence[str]], models: Mapping[str, tuple[Callable[..., Model], dict]]) -> DataFrame:
     """(label, features, model, metrics) of every combination that has rows and classes enough.
 
-    A combination whose fit fails is left out, and named in the log by Spark.
+    A combination whose fit or scores fail is left out and named in the log; an error only if none is left.
     """
     rows = []
     for label in labels:
-        a, b = (df.filter(F.col(label).isin(0, 1)) for df in (train, test))
+        a, b = (written(df.filter(F.col(label).isin(0, 1))) for df in (train, test))
         if not trainable(a, b, label):
             continue
         for set_name, columns in sets.items():
             for name, (make, options) in models.items():
-                out = fitter(make, columns, label, **options)(a)(b)
-                rows.append(metric_bundle(out, label, "probability").select(F.lit(label).alias("label"), F.lit(set_name).alias("features"), F.lit(name).alias("model"), "*"))
+                try:
+                    found = metric_bundle(fitter(make, columns, label, **options)(a)(b), label, "probability")
+                    rows.append(written(found.select(F.lit(label).alias("label"), F.lit(set_name).alias("features"), F.lit(name).alias("model"), "*")))
+                except Exception as e:  # a fit may fail in many ways; the others go on
+                    log.warning("left out %s, %s, %s: %s", label, set_name, name, str(e).partition("\n")[0])
     if not rows:
-        raise ValueError("no label has rows and classes enough")
+        raise ValueError("no label has rows and classes enough, or all fits failed")
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -172,7 +178,7 @@ def by_auc(auc: str = "auc", brier: str = "brier", name: str = "candidate") -> l
 
 def out_of_fold(df: DataFrame, id_: str, label: str, fit: Fit, folds: int = 5, seed: str = "oof") -> DataFrame:
     """``df`` with ``probability`` of a model that did not see the row."""
-    rows = df.join(stratified_folds(df, id_, label, folds, seed).select(id_, "fold"), id_).cache()
+    rows = written(df.join(stratified_folds(df, id_, label, folds, seed).select(id_, "fold"), id_))
     parts = [fit(rows.filter(F.col("fold") != k).drop("fold"))(rows.filter(F.col("fold") == k).drop("fold")) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -207,7 +213,7 @@ def cross_validate(df: DataFrame, manifest: DataFrame, id_: str, label: str, can
     for mode, fold in folds:
         here = manifest.filter((F.col("mode") == mode) & (F.col("fold") == fold))
         ids = {role: here.filter(F.col("role") == role).select(F.col("id").alias(id_)) for role in ("train", "validation")}
-        train, held = (df.join(ids[r], id_, "left_semi") for r in ("train", "validation"))
+        train, held = (written(df.join(ids[r], id_, "left_semi")) for r in ("train", "validation"))
         for name, fit in candidates.items():
             out = fit(train)(held).select(F.lit(mode).alias("mode"), F.lit(fold).alias("fold"), F.lit(name).alias("candidate"), F.col(id_).alias("id"), F.col(label).alias("label"), "probability")
             parts.append(out)
@@ -256,6 +262,14 @@ def importance(model: Model, columns: Sequence[str], spark, flagged: Sequence[st
     return spark.createDataFrame([(*r, r[1] / total) for r in rows], "feature string, importance double, flagged boolean, share double")
 
 
+def top_coefficients(model: Model, columns: Sequence[str], spark, n: int = 15) -> DataFrame:  # noqa: ANN001
+    """(sign, rank, feature, coefficient): the ``n`` lowest and the ``n`` highest coefficients, ties by the column's place."""
+    values = [float(x) for x in model.coefficients]
+    order = sorted(range(len(columns)), key=lambda i: (values[i], i))
+    rows = [(sign, k + 1, columns[i], values[i]) for sign, part in (("negative", order[:n]), ("positive", order[::-1][:n])) for k, i in enumerate(part)]
+    return spark.createDataFrame(rows, "sign string, rank int, feature string, coefficient double")
+
+
 def linear_attribution(df: DataFrame, model: Model, columns: Sequence[str]) -> DataFrame:
     """(feature, mean_abs): mean |coefficient x (value - mean)| over the rows."""
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
@@ -281,10 +295,12 @@ def counterfactual(df: DataFrame, id_: str, levers: Mapping[str, Sequence[str]],
 
     after = score(long.withColumns({c: moved(c) for c in columns})).select(id_, "lever", F.col("probability").alias("_after"))
     both = after.join(score(df).select(id_, F.col("probability").alias("_before")), id_).withColumn("d", F.col("_after") - F.col("_before"))
-    return both.groupBy("lever").agg(
-        F.avg("d").alias("mean_delta_p"), F.percentile("d", F.lit(0.5)).alias("median_delta_p"), F.stddev_pop("d").alias("std_delta_p"),
-        F.max("d").alias("max_delta_p"), (100 * F.avg((F.col("d") > 0).cast("double"))).alias("pct_positive"),
-    )
+    both = written(both.select("lever", "d"))
+    middle = medians(both, ["lever"], "d").withColumnRenamed("median", "median_delta_p")
+    found = both.groupBy("lever").agg(
+        F.avg("d").alias("mean_delta_p"), F.stddev_pop("d").alias("std_delta_p"), F.max("d").alias("max_delta_p"), (100 * F.avg((F.col("d") > 0).cast("double"))).alias("pct_positive")
+    )
+    return found.join(middle, "lever").select("lever", "mean_delta_p", "median_delta_p", "std_delta_p", "max_delta_p", "pct_positive")
 
 
 def sensitivity(train: DataFrame, test: DataFrame, labels: Sequence[str], sets: Mapping[str, Sequence[str]], masks: Mapping[str, Column], model: tuple[Callable[..., Model], dict]) -> DataFrame:

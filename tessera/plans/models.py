@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tessera.operators import models as M
 from tessera.operators.splits import expanding_folds, stratified_folds
 from tessera.plans.base import cohort, query
+from tessera.sources.scratch import written
 
 _X = ["p", "x1", "x2", "x3", "x4"]
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = cohort(spark, sf_dir).filter("label >= 0").select("id", "customer", "region", "year", "drug", "target", "label", "label_b", *_X)
-    c = c.persist()
+    c = written(c)
     return c.filter("year <= 1999"), c.filter("year > 1999")
 
 
@@ -30,12 +31,12 @@ def logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, M.forest, trees=20)
+    return _scored(spark, sf_dir, M.forest)
 
 
 @query()
 def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, M.boosted, rounds=10)
+    return _scored(spark, sf_dir, M.boosted)
 
 
 @query()
@@ -74,10 +75,10 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", F.round("w", 9).alias("weight"), F.round("weight", 9).alias("ratio"))
 
 
-@query(" SELECT id, 0.5 * p + 0.5 * q AS probability FROM c WHERE id % 3 = 0")
+@query(" SELECT id, 0.5 * p + 0.5 * q AS probability FROM c")
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cohort(spark, sf_dir)
-    return M.ensemble(c.select("id", F.col("p").alias("probability")), c.filter("id % 3 = 0").select("id", F.col("q").alias("probability")), "id")
+    return M.ensemble(c.select("id", F.col("p").alias("probability")), c.select("id", F.col("q").alias("probability")), "id")
 
 
 @query(
@@ -89,7 +90,7 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best(r, ["drug"], M.by_auc())
 
 
-_MODELS = {"logistic": (M.logistic, {}), "forest": (M.forest, {"trees": 10})}
+_MODELS = {"logistic": (M.logistic, {}), "forest": (M.forest, {})}
 _SETS = {"composite": ["p", "x2"], "hybrid": _X}
 
 
@@ -150,7 +151,13 @@ def holdout_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _parts(spark, sf_dir)
-    return M.importance(M.forest(M.assembled(train, _X), "label", trees=10), _X, spark, flagged=["x1", "x3"])
+    return M.importance(M.forest(M.assembled(train, _X), "label"), _X, spark, flagged=["x1", "x3"])
+
+
+@query()
+def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _parts(spark, sf_dir)
+    return M.top_coefficients(M.logistic(M.assembled(train, _X), "label"), _X, spark)
 
 
 @query()
