@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import any_of, count_of
@@ -99,16 +99,17 @@ def tfidf(df: DataFrame, id_: str, text: str, min_df: int = 2, top: int = 5000,
     """(id, term, weight) of uni- and bigrams: (1 + ln tf) x (ln((1 + n) / (1 + df)) + 1), each row of length ``weight``.
 
     Terms need ``min_df`` rows; of these the ``top`` most frequent stay, ties by the term.
-    The vocabulary is the one thing broadcast, and ``top`` bounds it.
+    The vocabulary is the one thing broadcast, and ``top`` bounds it. Counts are exchanged by (id, term) once, for
+    the vocabulary and the weights alike.
     """
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
     rows = df.select(id_, tokens(F.col(text), stops).alias("_w"))
     pairs = F.transform(F.arrays_zip(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))).alias("a"), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
     counts = rows.select(id_, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(id_, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.count()
+    n = df.count()  # of the scan's metadata alone
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     vocabulary = vocabulary.orderBy(F.col("total").desc(), "term").limit(top)
     idf = F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1
     raw = counts.join(F.broadcast(vocabulary.select("term", idf.alias("_idf"))), "term").withColumn("_x", (1 + F.log("tf")) * F.col("_idf"))
-    norms = raw.groupBy(id_).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_l"))
-    return raw.join(norms, id_).select(id_, "term", (F.col("_x") / F.col("_l") * weight).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(id_)))
+    return raw.select(id_, "term", (F.col("_x") / norm * weight).alias("weight"))

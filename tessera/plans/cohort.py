@@ -263,18 +263,31 @@ def mechanism_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The default English stop words of Spark ML, for the SQL.
+_STOPS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after above below to from up down in out on off over under "
+    "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t "
+    "can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've "
+    "we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't "
+    "cannot could here's how's let's ought that's there's what's when's where's who's why's would "
+).split()
+_STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in _STOPS)
+
+
 @query(
-    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents WHERE lang = 'en'),
-    f AS (SELECT doc_id, list_filter(w, lambda x: x NOT IN ('the', 'of', 'and', 'an', 'in')) AS w FROM w),
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM documents),
+    e AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM w),
+    f AS (SELECT doc_id, list(w ORDER BY i) AS w FROM e WHERE w NOT IN ({_STOP_LIST}) GROUP BY doc_id),
     t AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM f),
     c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM w),
-    v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
+    v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 5000),
     r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (df + 1)) + 1) AS x FROM c JOIN v USING (term), n)
     SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) * 3, 5) AS weight FROM r"""
 )
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return rounded(T.tfidf(english, "doc_id", "text", top=500, stop_words=["the", "of", "and", "an", "in"], weight=3.0), "weight", digits=5)
+    return rounded(T.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", weight=3.0), "weight", digits=5)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,10 +60,9 @@ def override_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.override_join(c, fresh, "customer", "x1", "x1_missing", "x4").select("id", "x1", "x1_missing", "x4")
 
 
-@query("WITH x AS (SELECT l.doc_id, l.quality, coalesce(d.text, 'missingprotocol') AS text, (d.text IS NULL)::INT AS text_missing FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d USING (doc_id)) SELECT doc_id, quality, md5(text) AS h, text_missing FROM x")
+@query("WITH x AS (SELECT l.doc_id, l.quality, coalesce(d.text, 'missingprotocol') AS text, (d.text IS NULL)::INT AS text_missing FROM labels l LEFT JOIN documents d USING (doc_id)) SELECT doc_id, quality, md5(text) AS h, text_missing FROM x")
 def attach_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0")
-    return V.attach_texts(table(spark, sf_dir, "labels"), texts, "doc_id", "text").select("doc_id", "quality", F.md5("text").alias("h"), "text_missing")
+    return V.attach_texts(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "quality", F.md5("text").alias("h"), "text_missing")
 
 
 @query(" SELECT id, target FROM c WHERE customer IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
