@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,18 +45,53 @@ LONG, STOPS, LINKS, SHORT = 70, 0.12, 0.33, 200
 
 Block = tuple[str, int, bool, int, bool]
 
+# One token from "<" on: a comment, what browsers treat as one, or a tag with its attributes. No part of
+# a match is given back, so a page is read in time linear in its length.
+TOKEN = re.compile(
+    r"""<(?:!--(?:-?>|[\s\S]*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/[^a-zA-Z>][^>]*+(?:>|\Z)|/>
+    |(/?)([a-zA-Z][^\s/>]*+)((?>[^>"'=]++|=\s*+(?>"[^"]*+"|'[^']*+')|["'=])*+)(?:>|\Z))""",
+    re.X,
+)
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+RAW = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in ("script", "style")}
+#: Decimal references of more digits than Python turns into a number; no character has such a one.
+ENDLESS = re.compile(r"&#[0-9]{4000,};?")
+
+
+def decoded(text: str) -> str:
+    return unescape(ENDLESS.sub("\ufffd", text)) if "&" in text else text
+
 
-class Blocks(HTMLParser):
+class Blocks:
     """Blocks of a page in order: [text, characters in links, zone, content part, code or table]."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str) -> None:
         self.out: list[Block] = []
         self.open: list[tuple[str, bool, bool, int]] = []  # tag, skipped, zone, content part
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.text: list[str] = []
         self.linked = 0
-        self.in_link = 0
         self.parts = 0
+        at = 0
+        while found := TOKEN.search(html, at):
+            self.data(html[at : found.start()])
+            at = found.end()
+            close, tag, attributes = found.groups()
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if close:
+                self.end(tag)
+                continue
+            self.start(tag, attributes)
+            if tag in RAW:
+                raw = RAW[tag].search(html, at)
+                at = raw.start() if raw else len(html)
+            last = (attributes.split() or [""])[-1]
+            if tag not in VOID and last.endswith("/") and ("=" not in last or last[-2:-1] in ("'", '"')):
+                self.end(tag)
+        self.data(html[at:])
+        self.end_block()
 
     def state(self) -> tuple[bool, bool, int]:
         return self.open[-1][1:] if self.open else (False, False, 0)
@@ -63,21 +99,23 @@ class Blocks(HTMLParser):
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            verbatim = any(x[0] in VERBATIM for x in self.open)
+            verbatim = any(self.count[x] for x in VERBATIM)
             self.out.append((text, min(self.linked, len(text)), *self.state()[1:], verbatim))
         self.text, self.linked = [], 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def start(self, tag: str, attributes: str) -> None:
         if tag in ("br", "hr"):
             self.text.append(" ")
         if tag in BLOCKS:
             self.end_block()
         if tag in VOID:
             return
-        if tag == "p" and self.open and any(x[0] == "p" for x in self.open[-3:]):
+        if tag == "p" and any(x[0] == "p" for x in self.open[-3:]):
             self.leave("p")
         skipped, zone, part = self.state()
-        have = {k: v or "" for k, v in attrs}
+        have: dict[str, str] = {}
+        for name, *value in ATTRIBUTE.findall(attributes):
+            have.setdefault(name.lower(), decoded("".join(value)))
         named = f"{have.get('class', '')} {have.get('id', '')}".strip()
         hidden = "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "").lower()
         if tag in CONTENT or (not part and CONTENT_NAME.search(named) and not ZONE_NAME.search(named)):
@@ -87,31 +125,27 @@ class Blocks(HTMLParser):
         if tag not in ("html", "body", *CONTENT):
             zone = zone or out_of_place or bool(named and ZONE_NAME.search(named))
         self.open.append((tag, skipped or hidden or tag in SKIPPED, zone, part))
-        self.in_link += tag == "a"
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        self.count[tag] += 1
 
     def leave(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.in_link -= sum(x[0] == "a" for x in self.open[i:])
-                del self.open[i:]
-                return
-
-    def handle_endtag(self, tag: str) -> None:
+        """Close the last open ``tag`` and what is open in it; nothing if none is open."""
+        if self.count[tag]:
+            inner = ""
+            while inner != tag:
+                inner = self.open.pop()[0]
+                self.count[inner] -= 1
+
+    def end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_block()
         self.leave(tag)
 
-    def handle_data(self, data: str) -> None:
-        if self.state()[0]:
-            return
-        self.text.append(data)
-        if self.in_link > 0:
-            self.linked += len(data.strip())
+    def data(self, text: str) -> None:
+        if text and not self.state()[0]:
+            text = decoded(text)
+            self.text.append(text)
+            if self.count["a"]:
+                self.linked += len(text.strip())
 
 
 def width(text: str) -> int:
@@ -157,40 +191,44 @@ def labels(blocks: list[Block]) -> list[bool]:
             first.append(False)
         else:
             first.append(None)
+    before, after = nearest_decided(first, blocks, 1), nearest_decided(first, blocks, -1)
     out = []
     for i, label in enumerate(first):
         if label is None:
-            part = blocks[i][3]
-            near = [(abs(j - i), j, first[j]) for j in _decided_near(first, blocks, i, part)]
-            label = min(near)[2] if near else part > 0
+            near = [(abs(j - i), j) for j in (before.get(i), after.get(i)) if j is not None]
+            label = first[min(near)[1]] if near else blocks[i][3] > 0
         out.append(bool(label))
     return out
 
 
-def _decided_near(first: list[bool | None], blocks: list[Block], i: int, part: int) -> Iterator[int]:
-    for step in (-1, 1):
-        j = i + step
-        while 0 <= j < len(first):
-            if first[j] is not None and (not part or (blocks[j][3] == part and not blocks[j][2])):
-                yield j
-                break
-            j += step
+def nearest_decided(first: list[bool | None], blocks: list[Block], step: int) -> dict[int, int]:
+    """Of each ambiguous block, the last decided one that is met before it in steps of ``step``, of its part or, outside parts, of all."""
+    seen: dict[int, int] = {}
+    out = {}
+    for i in range(len(first))[::step]:
+        part, zone = blocks[i][3], blocks[i][2]
+        if first[i] is not None:
+            seen[0] = i
+            if not zone:
+                seen[part] = i
+        elif part in seen:
+            out[i] = seen[part]
+    return out
 
 
 def main_text(html: str) -> list[str]:
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.end_block()
-    return [b[0] for b, kept in zip(parser.out, labels(parser.out), strict=True) if kept]
+    blocks = Blocks(html).out
+    return [b[0] for b, kept in zip(blocks, labels(blocks), strict=True) if kept]
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: ``page_id``, ``url``, ``blocks`` (main text in page order).
 
-    Character references are decoded and white space inside a block is one space. Null and empty pages, and
-    pages without main text, have no blocks. Rows are judged alone, so repeated rows agree. An
-    empty table gives an empty result. Columns not named are not read.
+    Character references are decoded and white space inside a block is one space. Any text is a page: a comment or
+    script that is not closed, and a tag without its end, go on to the page's end, as in browsers; marked
+    sections are comments. The time is linear in a page's length, however its elements are nested. Null and empty
+    pages, and pages without main text, have no blocks. Rows are judged alone, so repeated rows
+    agree. An empty table gives an empty result. Columns not named are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
