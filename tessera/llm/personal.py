@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
-# What is detected, in order of preference where two start alike.
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# What is detected, in order of preference where two start alike. Repeats are bounded or give nothing
+# back, and most start outside words, so a long run of letters or labels is left after a few steps at each place.
+START = r"(?<![\p{L}\p{N}])"
+EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,30}[A-Za-z]{2,63}"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
@@ -16,10 +20,15 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])"
 MALE = r"Mr\.?|Mister|Sir|Herrn?|Monsieur|Señor|Sr\.|Господин|Κύριος"
 FEMALE = r"Mrs\.?|Ms\.?|Miss|Madam|Frau|Madame|Mme\.?|Mademoiselle|Señora|Señorita|Sra\.|Госпожа|Κυρία"
-TITLE = rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE})"
-NAME = rf"{TITLE}\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
+TITLE = rf"(?<![\p{{L}}])(?=[MHSFГΚ])(?:{FEMALE}|{MALE})"
+NAMED = r"\p{Lu}[\p{L}'’-]+"
+NAME = rf"{TITLE}\x20{NAMED}(?:\x20{NAMED})?"
 KINDS = {"email": EMAIL, "iban": IBAN, "ip": IPV4, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+ANY = rf"{START}(?:{EMAIL}|{IBAN})|(?=[0-9])(?:{IPV4}|{SSN})|{START}(?:(?=[0-9+(])(?:{CARD}|{PHONE})|{NAME})"
+#: In texts with a titled name every capitalised word is looked at; those that are no part of one stay.
+ANY_WORD = rf"{ANY}|{START}{NAMED}"
+#: What a text must have to hold any of these.
+HINT = rf"[0-9@]|{NAME}"
 # Syllables of invented names, and how given names end, by script and gender.
 SYLLABLES = {
     "latin": ("ba", "del", "fin", "gar", "hol", "kem", "lor", "mi", "nar", "pel", "ras", "sol", "tam", "ver", "win", "zel"),
@@ -38,7 +47,7 @@ def kind_of(found: Column) -> Column:
     for kind, pattern in KINDS.items():
         test = found.rlike(f"^(?:{pattern})$")
         out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out
+    return out.otherwise("word")
 
 
 def hex_stream(value: Column, kind: Column, attempt: Column, key: str) -> Column:
@@ -150,8 +159,9 @@ def units_of(kind: Column, found: Column) -> Column:
 
     surname = unit(F.lit("surname"), F.element_at(parts, -1))
     names = F.when(F.size(parts) > 1, F.array(unit(gender, F.element_at(parts, 1)), surname)).otherwise(F.array(surname))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
     single = F.when(kind == "email", F.lower(found)).when(kind == "ip", found).when(kind == "iban", F.regexp_replace(found, " ", "")).otherwise(digits)
-    return F.when(kind == "name", names).otherwise(F.array(unit(kind, single)))
+    return F.when(kind == "word", none).when(kind == "name", names).otherwise(F.array(unit(kind, single)))
 
 
 def rendered(kind: Column, found: Column, given: Column) -> Column:
@@ -168,7 +178,7 @@ def rendered(kind: Column, found: Column, given: Column) -> Column:
     title = F.regexp_extract(found, rf"^({TITLE}\x20)", 1)
     email = F.when(found == F.upper(found), F.upper(only)).otherwise(only)
     spaced = F.when(found.contains(" "), F.regexp_replace(only, "(.{4})(?=.)", "$1 ")).otherwise(only)
-    return F.when(kind == "name", F.concat(title, F.array_join(given, " "))).when(kind == "email", email).when(kind == "ip", only).when(kind == "iban", spaced).otherwise(numbers)
+    return F.when(kind == "word", found).when(kind == "name", F.concat(title, F.array_join(given, " "))).when(kind == "email", email).when(kind == "ip", only).when(kind == "iban", spaced).otherwise(numbers)
 
 
 def assign_surrogates(units: DataFrame, key: str) -> DataFrame:
@@ -199,26 +209,39 @@ def replace_personal(docs: DataFrame, key: str = "surrogates", id_col: str = "do
     and runs, and different units have different ones (``assign_surrogates``). Format, digit
     count, Luhn validity, country codes, gender of a title and script are kept.
 
+    A name is found by a title; its words are then replaced wherever they stand capitalised in the same
+    text, with the title or without. Names that never have a title are not found.
+
     Null text stays null and has no entities; other texts without personal data stay as they are. Rows that repeat an
     id with the same text get the same result. An empty table gives an empty result. Columns
     not named are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    digest = F.xxhash64("text")
-    some = rows.filter(F.col("text").rlike(ANY)).select("doc_id", digest.alias("_d"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "found"))
-    detected = stage(some.distinct().withColumn("kind", kind_of(F.col("found"))).withColumn("units", units_of(F.col("kind"), F.col("found"))))
+    digest, named = F.xxhash64("text"), F.col("text").rlike(NAME)
+
+    def by_names(f: Callable[[str], Column]) -> Column:
+        return F.when(named, f(ANY_WORD)).otherwise(f(ANY))
+
+    hits = F.posexplode(by_names(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0)))).alias("at", "found")
+    some = rows.filter(F.col("text").rlike(HINT)).select("doc_id", digest.alias("_d"), hits)
+    found = stage(some.distinct().withColumn("kind", kind_of(F.col("found"))).withColumn("units", units_of(F.col("kind"), F.col("found"))))
+    titled = found.filter("kind = 'name'").select("doc_id", "_d", F.explode("units").alias("u")).groupBy("doc_id", "_d", F.col("u.value").alias("word")).agg(F.min("u").alias("u"))
+    same = F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f._d") == F.col("t._d")) & (F.col("found") == F.col("word"))
+    words = found.filter("kind = 'word'").alias("f").join(titled.alias("t"), same, "left")
+    words = words.select("f.doc_id", "f._d", "at", "found", F.when(F.col("u").isNull(), "word").otherwise("name").alias("kind"), F.when(F.col("u").isNull(), F.col("units")).otherwise(F.array("u")).alias("units"))
+    detected = stage(found.filter("kind <> 'word'").unionByName(words))
     units = stage(detected.select(F.explode("units").alias("u")).select("u.kind", "u.value").distinct())
     table = assign_surrogates(units, key)
-    each = detected.select("doc_id", "_d", "at", "found", "kind", F.posexplode("units").alias("part", "u"))
-    joined = each.join(table.withColumnRenamed("kind", "_k"), (F.col("u.kind") == F.col("_k")) & (F.col("u.value") == F.col("value")))
+    each = detected.select("doc_id", "_d", "at", "found", "kind", F.posexplode_outer("units").alias("part", "u"))
+    joined = each.join(table.withColumnRenamed("kind", "_k"), (F.col("u.kind") == F.col("_k")) & (F.col("u.value") == F.col("value")), "left")
     whole = joined.groupBy("doc_id", "_d", "at", "found", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "surrogate"))), lambda x: x["surrogate"]).alias("given"))
     put = whole.withColumn("surrogate", rendered(F.col("kind"), F.col("found"), F.col("given")))
     per_doc = put.groupBy("doc_id", "_d").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "found", "surrogate"))).alias("put"))
     both = rows.withColumn("_d", digest).alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._d") == F.col("p._d")), "left")
-    gaps = F.split("text", ANY, -1)
+    gaps = by_names(lambda p: F.split("text", p, -1))
     ends = F.concat(F.transform("put", lambda x: x["surrogate"]), F.array(F.lit("")))
     new = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), ends.alias("end")), lambda x: F.concat(x["gap"], x["end"])), "")
-    entities = F.transform("put", lambda x: F.struct(x["kind"].alias("kind"), x["found"].alias("found"), x["surrogate"].alias("surrogate")))
+    entities = F.transform(F.filter("put", lambda x: x["kind"] != "word"), lambda x: F.struct(x["kind"].alias("kind"), x["found"].alias("found"), x["surrogate"].alias("surrogate")))
     return both.select(
         F.col("d.doc_id").alias("doc_id"),
         F.coalesce(entities, F.array().cast("array<struct<kind:string,found:string,surrogate:string>>")).alias("entities"),
