@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, stage
@@ -16,8 +17,8 @@ from tessera.llm.tokens import BASE, BLOCK, U, blocks, mix
 
 #: Bytes of the strings by which contexts find each other.
 ANCHOR = 128
-#: Contexts of one construction, and of one group at most; larger groups are told apart by whole strings.
-COLLECTION, GROUP = 4096, 16384
+#: Contexts of one construction, about, and different ones of one group at most; larger groups are split by longer anchors.
+COLLECTION, GROUP = 4096, 8192
 
 
 def anchor_runs(text: bytes, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,20 +47,37 @@ def anchor_runs(text: bytes, length: int, anchor: int = ANCHOR) -> tuple[np.ndar
     return first, count, place[first], h[place[first]]
 
 
+def run_keys(docs: DataFrame, length: int) -> DataFrame:
+    """(key) of the runs of (text), once for each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in blocks(batch.column(0)):
+                keys = [anchor_runs(piece, length)[3] for text in texts for _, piece in pieces(text, length)]
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
+
+    return map_arrow(docs.select("text"), run, "key long")
+
+
+def pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+    """(first byte, bytes) of pieces that overlap so that each string of ``length`` bytes is in one; so memory does not grow with a text."""
+    for at in range(0, len(text) - length + 1, BLOCK):
+        yield at, text[at : at + BLOCK + length - 1]
+
+
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, key, c1, c2, start, n, lead) of (doc_id, text); c1 and c2 are the context's hash.
+    """(doc_id, row, key, c1, c2, start, n, lead) of (doc_id, row, text); c1 and c2 are the context's hash.
 
-    A context is a run's bytes: its starts and the strings from them. Long texts are taken
-    in pieces that overlap, so memory does not grow with a text.
+    A context is a run's bytes: its starts and the strings from them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row0, texts in blocks(batch.column(1)):
+            for row0, texts in blocks(batch.column(2)):
                 rows, key, ctx, start, n, lead = [], [], [], [], [], []
                 for i, text in enumerate(texts):
-                    for at in range(0, len(text) - length + 1, BLOCK):
-                        piece = text[at : at + BLOCK + length - 1]
+                    for at, piece in pieces(text, length):
                         first, count, place, hashed = anchor_runs(piece, length)
                         view = memoryview(piece)
                         ctx += [xxhash.xxh3_128_digest(view[a : a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist(), strict=True)]
@@ -72,23 +90,30 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                     c = np.frombuffer(b"".join(ctx), np.int64).reshape(-1, 2)
                     longs = [np.concatenate(key).view(np.int64), c[:, 0].copy(), c[:, 1].copy()]
                     ints = [np.concatenate(x).astype(np.int32) for x in (start, n, lead)]
-                    ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-                    yield pa.RecordBatch.from_arrays([ids, *map(pa.array, longs), *map(pa.array, ints)], RUN)
+                    at = pa.array(np.concatenate(rows))
+                    ids = [batch.column(c).take(at) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, longs), *map(pa.array, ints)], RUN)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, key long, c1 long, c2 long, start int, n int, lead int")
+    return map_arrow(docs.select(*ROW, "text"), run, f"doc_id {kind}, row long, key long, c1 long, c2 long, start int, n int, lead int")
 
 
-RUN = ["doc_id", "key", "c1", "c2", "start", "n", "lead"]
+#: What tells rows apart: the id and a hash of the text, so a repeated or missing id may have several texts.
+ROW = ("doc_id", "row")
+RUN = [*ROW, "key", "c1", "c2", "start", "n", "lead"]
+
+
+def same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, c1, c2, copy, n, lead, bytes) of the runs ``wanted``, cut from their texts."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c1", "c2", "copy", "start", "n", "lead")).alias("runs"))
-    both = docs.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("text", "runs")
+    """(key, c1, c2, times, n, lead, bytes) of the contexts ``wanted``, cut from the text in which each stands first."""
+    per_doc = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("key", "c1", "c2", "times", "start", "n", "lead")).alias("runs"))
+    both = docs.alias("d").join(per_doc.alias("p"), same_row("d", "p")).select("text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "c1", "c2", "copy", "n", "lead"]
+        names = ["key", "c1", "c2", "times", "n", "lead"]
         for batch in batches:
             lists = batch.column(1)
             flat, parent = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -102,52 +127,68 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     cut.append(text[a : a + c + length - 1])
                 yield pa.RecordBatch.from_arrays([*(part.field(x) for x in names), pa.array(cut, pa.binary())], [*names, "bytes"])
 
-    return map_arrow(both, run, "key long, c1 long, c2 long, copy int, n int, lead int, bytes binary")
+    return map_arrow(both, run, CONTEXT)
+
+
+CONTEXT = "key long, c1 long, c2 long, times long, n int, lead int, bytes binary"
+
+
+class Columns:
+    """Texts side by side with their ``lead``-th bytes in one column; ``begin`` and ``end`` are their first and last columns."""
+
+    def __init__(self, texts: list[bytes], lead: np.ndarray) -> None:
+        self.texts = texts
+        self.shift = int(lead.max())
+        self.begin = self.shift - lead
+        self.end = self.begin + np.array([len(x) for x in texts])
+        self.width = int(self.end.max())
+        self._leaves = np.bincount(self.begin, minlength=self.width + 1)
+        by_end = np.argsort(self.end, kind="stable")
+        self._enters = [np.zeros(0, np.int64)] * (self.width + 1)
+        for e, part in zip(*_split(self.end[by_end], by_end), strict=True):
+            self._enters[e] = part
+
+    def symbols(self, to: BinaryIO) -> None:
+        """Write the texts' symbols column by column, the last column first."""
+        grid = np.zeros((len(self.texts), self.width), np.uint8)
+        for i, x in enumerate(self.texts):
+            grid[i, self.begin[i] : self.end[i]] = np.frombuffer(x, np.uint8)
+        np.ascontiguousarray(grid.T[::-1]).tofile(to)
+        to.seek(0)
+
+    def turn(self, column: int, order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order and common prefixes of the suffixes from ``column + 1`` that go on into ``column``.
+
+        Texts that begin at ``column + 1`` leave; texts that end there enter, as empty suffixes before all others.
+        """
+        if self._leaves[column + 1] and len(order):
+            kept = np.flatnonzero(self.begin[order] <= column)
+            common = np.minimum.reduceat(common[: kept[-1] + 1], np.append(0, kept[:-1] + 1)) if len(kept) else common[:0]
+            order = order[kept]
+        fresh = self._enters[column + 1]
+        if len(fresh):
+            order = np.concatenate((fresh, order))
+            common = np.concatenate((np.zeros(len(fresh), common.dtype), common))
+        if len(order):
+            common[0] = 0
+        return order, common
 
 
-def column_wise(texts: list[bytes], lead: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(column, order, preceding symbols, common prefixes) of the suffixes that start in each column.
-
-    The texts stand side by side with their ``lead``-th bytes in one column. From the last column to
-    the first, each round puts one symbol in front of every text's suffix: the suffixes of
-    the last round are in order, so a stable sort by the new symbol alone orders the new
-    ones, and the common prefix of neighbours that got the same symbol is one more than the least
-    one that lay between them. Symbols come from a file in column order and the
-    transform's column (the symbols that precede the ordered suffixes) goes to another;
-    both are used front to back, and only the order and common prefixes of one column are in memory.
+def construct(columns: Columns, transform: BinaryIO, prefixes: BinaryIO) -> None:
+    """Write the collection's transform and common prefixes, column by column from the last to the first.
+
+    Each round puts one symbol in front of every text's suffix. The symbols that precede the
+    ordered suffixes of the last round are the transform's column; suffixes of the last round are in
+    order, so a stable sort by the new symbol alone orders the new ones, and the common prefix of neighbours
+    that got the same symbol is one more than the least one that lay between them. Symbols come
+    from a file in column order; all files are used front to back, and only one column is in memory.
     """
-    m = len(texts)
-    size = np.array([len(x) for x in texts])
-    shift = int(lead.max())
-    begin = shift - lead
-    end = begin + size
-    width = int(end.max())
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as transform:
-        grid = np.zeros((m, width), np.uint8)
-        for i, x in enumerate(texts):
-            grid[i, begin[i] : end[i]] = np.frombuffer(x, np.uint8)
-        np.ascontiguousarray(grid.T[::-1]).tofile(symbols)
-        del grid
-        symbols.seek(0)
-        enters = [np.zeros(0, np.int64)] * (width + 1)
-        by_end = np.argsort(end, kind="stable")
-        for e, part in zip(*_split(end[by_end], by_end), strict=True):
-            enters[e] = part
-        leaves = np.bincount(begin, minlength=width + 1)
+    with tempfile.TemporaryFile() as symbols:
+        columns.symbols(symbols)
         order, common = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        for column in range(width - 1, -1, -1):
-            if leaves[column + 1] and len(order):
-                kept = np.flatnonzero(begin[order] <= column)
-                common = np.minimum.reduceat(common[: kept[-1] + 1], np.append(0, kept[:-1] + 1)) if len(kept) else common[:0]
-                order = order[kept]
-            if len(enters[column + 1]):
-                order = np.concatenate((enters[column + 1], order))
-                common = np.concatenate((np.zeros(len(enters[column + 1]), np.int32), common))
-            symbol = np.fromfile(symbols, np.uint8, m)
-            if not len(order):
-                continue
-            common[0] = 0
-            before = symbol[order]
+        for column in range(columns.width - 1, -1, -1):
+            order, common = columns.turn(column, order, common)
+            before = np.fromfile(symbols, np.uint8, len(columns.texts))[order]
             before.tofile(transform)
             rank = np.argsort(before, kind="stable")
             placed = before[rank]
@@ -155,7 +196,32 @@ def column_wise(texts: list[bytes], lead: np.ndarray) -> Iterator[tuple[int, np.
             after = np.zeros(len(order), np.int32)
             after[same] = 1 + _least_between(common, rank[same - 1] + 1, rank[same])
             order, common = order[rank], after
-            yield column, order, placed, common
+            common.tofile(prefixes)
+    transform.seek(0)
+    prefixes.seek(0)
+
+
+def walk(columns: Columns, transform: BinaryIO, prefixes: BinaryIO) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(column, order, symbols, common prefixes) of the suffixes that start in each column, from the files of ``construct``.
+
+    Which text stands where follows from the transform: a suffix's place in the next column is the
+    number of smaller symbols in the transform's column, and of equal ones before it.
+    """
+    order = np.zeros(0, np.int64)
+    for column in range(columns.width - 1, -1, -1):
+        order, _ = columns.turn(column, order, np.zeros(len(order), np.int32))
+        before = np.fromfile(transform, np.uint8, len(order))
+        rank = np.argsort(before, kind="stable")
+        order = order[rank]
+        yield column, order, before[rank], np.fromfile(prefixes, np.int32, len(order))
+
+
+def column_wise(texts: list[bytes], lead: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``walk`` over the transform and common prefixes of the texts."""
+    columns = Columns(texts, lead)
+    with tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as prefixes:
+        construct(columns, transform, prefixes)
+        yield from walk(columns, transform, prefixes)
 
 
 def _split(sorted_: np.ndarray, values: np.ndarray) -> tuple[list, list]:
@@ -207,15 +273,19 @@ SPANS = pa.list_(pa.struct([("o", pa.int32()), ("l", pa.int32())]))
 
 
 def marked(found: DataFrame, length: int) -> DataFrame:
-    """(key, c1, c2, spans) of contexts; spans are runs of starts whose strings another context of the group has."""
+    """(key, c1, c2, spans) of contexts; spans are runs of starts whose strings stand elsewhere.
+
+    All of those of a context that occurs again, and of others those that another context of the group has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def done(rows: list[pa.RecordBatch]) -> pa.Table:
             t = pa.Table.from_batches(rows).combine_chunks()
             hits = repeated_starts(t["bytes"].to_pylist(), t["lead"].to_numpy(), length)
-            out = pa.table({"key": t["key"], "c1": t["c1"], "c2": t["c2"], "spans": pa.array([spans_of(x) for x in hits], SPANS)})
-            first = (t["copy"].to_numpy() == 0) & np.array([len(x) > 0 for x in hits])
-            return out.filter(pa.array(first)).combine_chunks()
+            again = zip(hits, t["times"].to_pylist(), t["n"].to_pylist(), strict=True)
+            spans = [[{"o": 0, "l": n}] if times > 1 else spans_of(x) for x, times, n in again]
+            out = pa.table({"key": t["key"], "c1": t["c1"], "c2": t["c2"], "spans": pa.array(spans, SPANS)})
+            return out.filter(pa.array([len(x) > 0 for x in spans]))
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -235,28 +305,68 @@ def marked(found: DataFrame, length: int) -> DataFrame:
         if size:
             yield from done(held).to_batches()
 
-    return map_arrow(found.repartition("key").sortWithinPartitions("key"), run, "key long, c1 long, c2 long, spans array<struct<o:int,l:int>>")
+    return map_arrow(found.repartition("key").sortWithinPartitions("key"), run, MARKS)
+
 
+MARKS = "key long, c1 long, c2 long, spans array<struct<o:int,l:int>>"
 
-def marked_by_strings(found: DataFrame, length: int) -> DataFrame:
-    """As ``marked``, for groups too large for one construction: whole strings are told apart by 128-bit hashes.
 
-    A grouped count holds one row for each string and task, so no group meets in one place.
+def longer_anchors(found: DataFrame, width: int, length: int) -> DataFrame:
+    """The contexts ``found`` cut at an anchor ``width`` + half of the rest long: (key0, c10, c20, off) of where it comes from, and a context.
+
+    A string of ``length`` bytes with the anchor of ``width`` bytes in it goes on for half of the rest
+    at least on one side of it. Where that is the right side the longer anchor goes on to the
+    right, else to the left. Equal strings choose alike, and each choice's starts follow each
+    other, so a context is cut in two at most, from its start ``off`` on.
     """
+    rest = length - width
+    half = (rest + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n = batch.column(6).to_pylist(), batch.column(4).to_pylist()
-            for lo in range(0, len(texts), 64):
-                part = range(lo, min(lo + 64, len(texts)))
-                hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[i][o : o + length]) for i in part for o in range(n[i])), np.int64).reshape(-1, 2)
-                at = pa.array(np.repeat(np.array(part), [n[i] for i in part]))
-                offset = pa.array(np.concatenate([np.arange(n[i], dtype=np.int32) for i in part]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), offset, pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy())], ["key", "c1", "c2", "copy", "o", "w1", "w2"])
-
-    strings = stage(map_arrow(found, run, "key long, c1 long, c2 long, copy int, o int, w1 long, w2 long"))
-    again = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    return strings.filter("copy = 0").join(again, ["w1", "w2"]).groupBy("key", "c1", "c2").agg(F.collect_set(F.struct("o", F.lit(1).alias("l"))).alias("spans"))
+            at, cut, hashed, parts = [], [], [], []
+            for i, (n, lead, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
+                turn = min(n, max(0, lead - (rest - half)))  # from this start on the right side is long enough
+                for a, z, place in ((0, turn, lead - half), (turn, n, lead)):
+                    if a < z:
+                        at.append(i)
+                        cut.append((a, z - a, place - a))
+                        parts.append(text[a : z + length - 1])
+                        hashed.append(xxhash.xxh3_64_digest(text[place : place + width + half]) + xxhash.xxh3_128_digest(parts[-1], place - a))
+            ids = pa.array(np.array(at, np.int64))
+            off, n, lead = (pa.array(x.copy()) for x in np.array(cut, np.int32).reshape(-1, 3).T)
+            key, c1, c2 = (pa.array(x.copy()) for x in np.frombuffer(b"".join(hashed), np.int64).reshape(-1, 3).T)
+            key0, c10, c20, times = (batch.column(c).take(ids) for c in range(4))
+            columns = [key0, c10, c20, off, key, c1, c2, times, n, lead, pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key0", "c10", "c20", "off", "key", "c1", "c2", "times", "n", "lead", "bytes"])
+
+    return map_arrow(found, run, "key0 long, c10 long, c20 long, off int, " + CONTEXT)
+
+
+def repeated_in(distinct: DataFrame, found: Callable[[DataFrame], DataFrame], length: int, width: int = ANCHOR) -> DataFrame:
+    """(key, c1, c2, spans) of the different contexts (key, c1, c2, times, n, ...); ``found`` gives some of them their bytes.
+
+    A context alone in its group is repeated as a whole or not at all, and needs no bytes. Groups of up to GROUP
+    contexts are marked column by column. Larger ones are cut at longer anchors, which
+    makes groups anew, until none is large; at an anchor of ``length`` bytes a group has one context.
+    """
+    sizes = stage(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("_size")))
+    sized = distinct.join(sizes, "key")
+    whole = F.array(F.struct(F.lit(0).alias("o"), F.col("n").alias("l")))
+    alone = sized.filter("_size = 1 AND times > 1").select("key", "c1", "c2", whole.alias("spans"))
+    several = found(sized.filter("_size > 1").drop("_size"))
+    large = sizes.filter(F.col("_size") > GROUP).select("key")
+    if large.isEmpty():
+        return alone.unionByName(marked(several, length))
+    several = stage(several)
+    cut = stage(longer_anchors(several.join(large, "key", "left_semi").select(*several.columns), width, length))
+    first = [F.first(c).alias(c) for c in ("n", "lead", "bytes")]  # equal in all rows of a context
+    parts = stage(cut.groupBy("key", "c1", "c2").agg(F.sum("times").alias("times"), *first))
+    deeper = repeated_in(parts, lambda some: some, length, width + (length - width + 1) // 2)
+    back = cut.select("key0", "c10", "c20", "off", "key", "c1", "c2").join(deeper, ["key", "c1", "c2"])
+    moved = F.transform("spans", lambda x: F.struct((x["o"] + F.col("off")).alias("o"), x["l"].alias("l")))
+    back = back.select(F.col("key0").alias("key"), F.col("c10").alias("c1"), F.col("c20").alias("c2"), moved.alias("spans"))
+    return alone.unionByName(marked(several.join(large, "key", "left_anti").select(*several.columns), length)).unionByName(back)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,34 +376,25 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     removed; strings are judged on the input and overlaps count. The
     collection is built column by column over the contexts around anchors that occur twice
     or more: a document's other bytes can't be in a repeated string (see ``anchor_runs``).
-    Equal contexts go into it twice at most and share what is found, so a group of copies costs
-    as much as two of them; groups of more than GROUP different contexts are told apart by
-    whole strings instead.
+    Equal contexts go into it once and share what is found, so a group of copies costs as much
+    as one of them; groups of more than GROUP different contexts are cut at longer anchors
+    (``repeated_in``).
 
     Null text counts as empty: no bytes, no spans. Texts shorter than ``length`` keep all.
-    Rows that repeat an id must have the same text and count as copies of each other; null
-    ids count as one id. An empty table gives an empty result. Columns not named are not read.
+    Rows that repeat an id, or have none, are told apart by their texts; equal ones count as copies of
+    each other. An empty table gives an empty result. Columns not named are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    every = runs(rows, length)
-    # a table of its own, so that both sides of the join are plain exchanges, which Spark splits at a hot anchor
-    twice = stage(every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"))
-    shared = stage(every.join(twice, "key"))
-    where = F.struct("doc_id", "start", "n", "lead")
-    distinct = stage(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("_n"), F.min(where).alias("_a"), F.max(where).alias("_b")))
-    large = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GROUP).select("key")
-    copies = F.when(F.col("_n") > 1, F.array("_a", "_b")).otherwise(F.array("_a"))
-    wanted = distinct.select("key", "c1", "c2", F.posexplode(copies).alias("copy", "_r")).select("key", "c1", "c2", "copy", "_r.*")
-    found = contexts(rows, wanted, length)
-    if large.isEmpty():
-        marks = marked(found, length)
-    else:
-        found = stage(found)
-        marks = marked(found.join(large, "key", "left_anti"), length).unionByName(marked_by_strings(found.join(large, "key"), length))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    # tables of their own, so that both sides of the join are plain exchanges, which Spark splits at a hot anchor
+    twice = stage(run_keys(rows, length).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"))
+    shared = stage(runs(rows, length).join(twice, "key"))
+    place = [F.first(c).alias(c) for c in (*ROW, "start", "n", "lead")]  # all of one row; any will do
+    distinct = stage(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), *place))
+    marks = repeated_in(distinct, lambda some: contexts(rows, some, length), length)
     hits = shared.join(stage(marks), ["key", "c1", "c2"])
-    hits = hits.select("doc_id", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["o"]).alias("start"), s["l"].alias("n")))).alias("s"))
-    per_doc = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("marks"))
-    both = rows.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left").select("d.doc_id", "text", "marks")
+    hits = hits.select(*ROW, F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["o"]).alias("start"), s["l"].alias("n")))).alias("s"))
+    per_doc = hits.groupBy(*ROW).agg(F.sort_array(F.collect_set("s")).alias("marks"))
+    both = rows.alias("d").join(per_doc.alias("p"), same_row("d", "p"), "left").select("d.doc_id", "text", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,12 +2,15 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import repeats
 from tessera.llm.pages import extract_pages, main_text
 from tessera.llm.personal import replace_personal
+from tessera.llm.repeats import remove_repeats, repeats_digest
 
 PROSE = "This is the one that was said to be in the long form of all of these texts, as it is."
 
@@ -129,3 +132,25 @@ def test_hint_covers_all_kinds(spark):
     texts = ["a@b.co", "DE44500105175407324931", "10.0.0.1", "123-45-6789", "4111 1111 1111 1111", "+4917012345678", "Frau Meier", "Κυρία Βασιλική"]
     got = replace_personal(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").select(F.element_at("entities", 1)["kind"]).collect()
     assert [r[0] for r in got] == ["email", "iban", "ip", "ssn", "card", "phone", "name", "name"]
+
+
+def test_repeats_in_a_group_of_many_different_contexts(spark):
+    """A passage in 30,000 texts; a few texts share what stands on both sides of it as well."""
+    r = random.Random(5)
+
+    def letters(n):
+        return "".join(r.choices("abcdefghij ", k=n))
+
+    passage, left, right = letters(280), [letters(80) for _ in range(170)], [letters(80) for _ in range(170)]
+    texts = [letters(20) + left[i % 170] + passage + right[(i // 170) % 170] + letters(20) for i in range(30_000)]
+    seen = Counter(hash(t[a : a + 400]) for t in texts for a in range(len(t) - 399))
+    want = {}
+    for i, t in enumerate(texts):
+        hit = [a for a in range(len(t) - 399) if seen[hash(t[a : a + 400])] > 1]
+        want[i] = hit[-1] + 400 - hit[0] if hit else 0
+        assert not hit or hit[-1] - hit[0] < 400
+    assert 2000 < sum(n > 0 for n in want.values()) < 3000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    hot = repeats.runs(docs.withColumn("row", F.lit(0).cast("long")), 400).groupBy("key").agg(F.count_distinct("c1", "c2").alias("n")).agg(F.max("n")).first()[0]
+    assert hot > 16384 > repeats.GROUP
+    assert {x.doc_id: x.n_removed for x in repeats_digest(remove_repeats(docs)).collect()} == want

@@ -119,7 +119,7 @@ def test_components(spark):
     assert {r.id: r.component for r in components(links).collect()} == {**dict.fromkeys(range(1, 41), 1), 50: 50, 51: 50}
 
 
-@pytest.mark.parametrize("group", [16384, 1])
+@pytest.mark.parametrize("group", [8192, 4, 1])
 def test_repeats(spark, rows, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
     got = repeats_digest(remove_repeats(table(spark, rows))).collect()
@@ -140,6 +140,15 @@ def test_repeats(spark, rows, group, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_of_repeated_and_null_ids(spark):
+    """Texts with the same id, or none, are rows of their own."""
+    r = random.Random(8)
+    same = "".join(r.choices("abcdef ", k=450))
+    docs = [(1, "x" + same + "y"), (1, "other " * 20), (None, same), (None, "".join(r.choices("abcdef ", k=900))), (None, None), (1, "other " * 20)]
+    got = repeats_digest(remove_repeats(table(spark, [(i, t, "s") for i, t in docs]).repartition(3))).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == [(0, 0), (120, 0), (120, 0), (450, 450), (452, 450), (900, 0)]
+
+
 def test_column_wise_orders_suffixes():
     import numpy as np
 
