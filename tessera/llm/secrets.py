@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage
 
 # The base patterns, in the order in which kinds are listed.
-ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""(?=[pPsStTaA])(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 # Weak parts: what identifies an account, what may be key material, and where it is used.
-IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|account|client_?id|access_?key_?id|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+IDENTIFIER = r"""(?<![\p{L}\p{N}_])(?=[uUlLaAcCtT])(?i)(?:user(?:name)?|login|account|client_?id|access_?key_?id|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 MATERIAL = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
-ENDPOINT = r"""(?i)\b(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\bhost(?:name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}"""
+ENDPOINT = r"""(?<![\p{L}\p{N}_])(?=[hHsSfFpPmMrRaA])(?i)(?:(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|host(?:name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})"""
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "identifier", "material", "endpoint")
 
+#: What a text must have to hold a match of the kind; it is cheaper to look for.
+SIGN, KEY, RUN = "sign", "key", "run"
+NEEDS = {"assign": SIGN, "access": KEY, "hex": RUN, "identifier": SIGN, "material": RUN, "endpoint": SIGN}
+LONG_RUN = r"[A-Za-z0-9+/_-]{20}"
 
 #: What a match of the kind does in a linked credential, and its fewest characters of the value group.
 ROLES = {"assign": "m", "access": "i", "hex": "m", "identifier": "i", "material": "m", "endpoint": "e"}
@@ -32,18 +36,22 @@ PATTERNS = {
 }
 
 
-def match_lengths(text: Column, pattern: str, value_group: int, least: int) -> Column:
+def match_lengths(text: Column, gaps: Column, pattern: str, value_group: int, least: int) -> Column:
     """array<struct<gap,size,counts>> of the leftmost non-overlapping matches, in code points.
 
-    ``gap`` is what stands between a match and the one before it. ``counts`` is false where
-    group ``value_group`` has fewer than ``least`` characters: such a match is consumed all
-    the same. ``split`` gives the gaps and ``regexp_extract_all`` the matches.
+    ``gaps`` is the text split at the pattern: what stands between a match and the one before
+    it. ``counts`` is false where group ``value_group`` of a match has fewer than ``least`` characters:
+    such a match is consumed all the same. A text is searched once for the gaps and, if it
+    has a match, once more for the matches, in each of which the group is then found.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), lambda v: F.length(v) >= least)
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(size)).alias("gap"), size.alias("size"), value.alias("counts"))
-    return F.when(text.rlike(pattern), zipped).otherwise(F.array().cast("array<struct<gap:int,size:int,counts:boolean>>"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def entry(m: Column, gap: Column) -> Column:
+        counts = F.length(F.regexp_extract(m, pattern, value_group)) >= least if least else F.lit(True)
+        return F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), counts.alias("counts"))
+
+    zipped = F.zip_with(found, F.slice(gaps, 1, F.size(gaps) - 1), entry)
+    return F.when(F.size(gaps) > 1, zipped).otherwise(F.array().cast("array<struct<gap:int,size:int,counts:boolean>>"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +70,11 @@ def scan_secrets(docs: DataFrame, scope: int = 256, id_col: str = "doc_id", text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), text.alias("_text"))
-    rows = stage(rows.select("_row", "doc_id", *[match_lengths(F.col("_text"), *PATTERNS[k]).alias(k) for k in KINDS]))
+    text = F.col("_text")
+    needs = {SIGN: text.contains(":") | text.contains("="), KEY: text.contains("AKIA"), RUN: text.rlike(LONG_RUN)}
+    gaps = rows.withColumns({f"_has_{k}": c for k, c in needs.items()})
+    gaps = gaps.withColumns({f"_gaps_{k}": F.when(F.col(f"_has_{NEEDS[k]}"), F.split("_text", PATTERNS[k][0], -1)).otherwise(F.array("_text")) for k in KINDS})
+    rows = stage(gaps.select("_row", "doc_id", *[match_lengths(F.col("_text"), F.col(f"_gaps_{k}"), *PATTERNS[k]).alias(k) for k in KINDS]))
 
     def tagged(n: int, k: str) -> Column:
         return F.transform(F.col(k), lambda x, i: F.struct(F.lit(n).alias("kind"), F.lit(ROLES[k]).alias("role"), i.alias("at"), x["gap"].alias("gap"), x["size"].alias("size"), x["counts"].alias("counts")))
