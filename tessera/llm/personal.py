@@ -13,7 +13,7 @@ from tessera.llm.common import stage
 # back, and most start outside words, so a long run of letters or labels is left after a few steps at each place.
 START = r"(?<![\p{L}\p{N}])"
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,30}[A-Za-z]{2,63}"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+IBAN = r"(?<!_)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -167,18 +167,21 @@ def units_of(kind: Column, found: Column) -> Column:
 def rendered(kind: Column, found: Column, given: Column) -> Column:
     """The surrogates ``given`` of a detected text's units, put in its format."""
     only = F.element_at(given, 1)
+    chars = F.filter(F.split(found, ""), lambda c: c != "")
 
-    def refill(c: Column, s: Column) -> Column:
-        return F.when(c.rlike("^[0-9]$"), F.struct((s["k"] + 1).alias("k"), F.concat(s["out"], F.substr(only, s["k"] + 1, F.lit(1))).alias("out"))).otherwise(
-            F.struct(s["k"].alias("k"), F.concat(s["out"], c).alias("out"))
-        )
+    def refilled(taken: str) -> Column:
+        """``found`` with the characters of ``only`` in place of those that match ``taken``."""
+
+        def step(s: Column, c: Column) -> Column:
+            put = c.rlike(taken)
+            k, out = s["k"] + put.cast("int"), F.when(put, F.substr(only, s["k"] + 1, F.lit(1))).otherwise(c)
+            return F.struct(k.alias("k"), F.concat(s["out"], out).alias("out"))
+
+        return F.aggregate(chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("out")), step)["out"]
 
-    chars = F.filter(F.split(found, ""), lambda c: c != "")
-    numbers = F.aggregate(chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("out")), lambda s, c: refill(c, s))["out"]
     title = F.regexp_extract(found, rf"^({TITLE}\x20)", 1)
     email = F.when(found == F.upper(found), F.upper(only)).otherwise(only)
-    spaced = F.when(found.contains(" "), F.regexp_replace(only, "(.{4})(?=.)", "$1 ")).otherwise(only)
-    return F.when(kind == "word", found).when(kind == "name", F.concat(title, F.array_join(given, " "))).when(kind == "email", email).when(kind == "ip", only).when(kind == "iban", spaced).otherwise(numbers)
+    return F.when(kind == "word", found).when(kind == "name", F.concat(title, F.array_join(given, " "))).when(kind == "email", email).when(kind == "ip", only).when(kind == "iban", refilled("[^ ]")).otherwise(refilled("[0-9]"))
 
 
 def assign_surrogates(units: DataFrame, key: str) -> DataFrame:
