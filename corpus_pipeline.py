@@ -1,4 +1,9 @@
-"""A training corpus from ``documents`` in five stages; see ``STAGES``."""
+"""A training corpus from ``documents`` in five stages; see ``STAGES``.
+
+Every stage decides on rows and takes any further columns along, whatever their names. Nulls may stand in any
+column: a null text is an empty one, a null id comes after all others where the smallest id stays. An
+empty table gives an empty table of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +31,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the labelled rows; others and those without letters go."""
+    """Documents in one of the languages of the labelled rows; others and those without letters go.
+
+    Null and empty texts have no letter and go. All go where no row is labelled. Repeated rows are judged alike
+    and all stay; of equally near languages the first by name is taken.
+    """
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     profiles = stage(learn_profiles(docs.filter(~out)))
     # the decision travels with the row, so that nothing is joined; as a struct, so that no name clashes
@@ -35,12 +44,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id."""
+    """Of equal texts the row with the smallest id; of rows with that id too, any one.
+
+    Null texts are equal to empty ones and to each other. Texts that differ in white space alone are equal.
+    """
     return one_of_equal(docs)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, or of rows with the same text, the row with the smallest id."""
+    """Of each group of near duplicates, or of rows with the same text, the row with the smallest id.
+
+    Of rows of the same text and id any one stays. Null and empty texts are one text, which is near to no other;
+    so one row of them stays.
+    """
     rows = _keyed(docs)
     groups = near_duplicates(rows.select("key", "text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
     first = rows.groupBy("key").agg(F.min("order").alias("order"))
@@ -49,14 +65,22 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item.
+
+    Null and empty texts have no words and stay, and so does every row where the benchmark is empty or has no words.
+    Rows of the same text go or stay together.
+    """
     rows = _keyed(docs)
     judged = contamination(rows.select("key", "text"), table(spark, sf_dir, "benchmark"), id_col="key")
     return rows.join(judged.filter("n_hit = 0").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document that is left is taken into the mix."""
+    """How often each document that is left is taken into the mix: one row for each, those that are not taken too.
+
+    Null and empty texts have size 0 and are taken 0 words. A null source is a source of its own. Repeated rows count each; ties in the
+    sampling order go by id, then size.
+    """
     return mix_sources(docs)
 
 
