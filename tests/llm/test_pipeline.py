@@ -69,3 +69,47 @@ def test_decisions_go_with_rows_and_not_with_ids(spark, tmp_path):
     assert all(i == 12 for i, t in got if near in t)
     whole = P.one_of_near(spark, spark.createDataFrame([(1, base), (1, base), (None, base), (None, clean), (None, clean)], "doc_id long, text string"), folder)
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted([(1, base), (None, clean)], key=repr)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    docs, bench = corpus()
+    folder = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    empty, some = spark.createDataFrame([], SCHEMA), spark.createDataFrame(docs[:20], SCHEMA)
+    for name, step in P.STAGES:
+        out = step(spark, empty, folder)
+        assert out.collect() == [] and (name == "mixing" or out.columns == some.columns)
+    assert P.without_benchmark(spark, some, folder).count() == 20
+    unlabelled = some.withColumn("lang", F.lit(None).cast("string"))
+    assert P.known_language(spark, unlabelled, folder).collect() == []
+    empty.write.parquet(f"{folder}/documents.parquet")
+    assert P.run(spark, folder).collect() == []
+
+
+def test_stages_of_nulls_ties_and_long_texts(spark, tmp_path):
+    docs, bench = corpus()
+    folder = str(tmp_path)
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    long = " ".join(f"{w}{k % 977}" for k, w in enumerate((docs[20][1] + " ").split() * 6000))  # over 2 MB
+    assert len(long) > 1 << 21
+    tail = long + " " + bench[0][1]
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (5, "", None, None, 0), (400, long, "aa", "s1", None), (400, long, "aa", "s1", None), (401, long + " more", None, None, None), (402, tail, "aa", None, None), (None, "der und schön", None, None, None)]
+    now = spark.createDataFrame([*docs, *odd], SCHEMA).repartition(4)
+    stays = {}
+    for name, step in P.STAGES[1:4]:
+        now = step(spark, now, folder).cache()
+        stays[name] = [(r.doc_id, len(r.text or "")) for r in now.collect()]
+    assert sum(not n for _, n in stays["exact_dedup"]) == 1 and (5, 0) in stays["exact_dedup"]
+    assert [i for i, n in stays["exact_dedup"] if n > 1 << 21] .count(400) == 1
+    near = sorted((i, n) for i, n in stays["near_dedup"] if n > 1 << 21)
+    assert near == [(400, len(long))]
+    assert (400, len(long)) in stays["decontamination"] and (None, 13) in stays["decontamination"] and (5, 0) in stays["decontamination"]
+    leaks = spark.createDataFrame([(402, tail), (1, tail), (2, None), (None, long)], "doc_id long, text string")
+    assert sorted(len(r.text or "") for r in P.without_benchmark(spark, leaks, folder).collect()) == [0, len(long)]
+    mixed = P.mixed(spark, now, folder).collect()
+    assert len(mixed) == now.count() and next(r for r in mixed if r.doc_id == 5).taken == 0
+    judged = P.known_language(spark, spark.createDataFrame([*docs, (400, long, None, None, None), (400, long, None, None, None)], SCHEMA), folder)
+    assert judged.filter("doc_id = 400").count() == 2
