@@ -17,6 +17,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import capped
 from tessera.operators.features import impute, scale
 from tessera.operators.metrics import metric_bundle
 from tessera.operators.prefix import medians
@@ -280,7 +281,7 @@ def linear_attribution(df: DataFrame, model: Model, columns: Sequence[str]) -> D
 def counterfactual(df: DataFrame, id_: str, levers: Mapping[str, Sequence[str]], score: Callable[[DataFrame], DataFrame], step: float = 0.1) -> DataFrame:
     """(lever, mean, median, deviation, largest change, share of rises in %) of scores with a lever's columns raised.
 
-    A constituent at -1 (missing) starts from 0, and so does every constituent; all stop at 1. All
+    A constituent that is missing (null or -1) starts from 0; a lever that is null stays so; all stop at 1. All
     levers are scored in one pass over rows x levers.
     """
     columns = list(dict.fromkeys(c for name, parts in levers.items() for c in (name, *parts) if c in df.columns))
@@ -291,7 +292,7 @@ def counterfactual(df: DataFrame, id_: str, levers: Mapping[str, Sequence[str]],
         parts = [n for n, p in levers.items() if c in p]
         from_zero = F.when(F.coalesce(x, F.lit(-1.0)) == -1, 0.0).otherwise(x)
         out = F.when(F.col("lever").isin(*parts), F.least(from_zero + step, F.lit(1.0))) if parts else F.when(F.lit(False), x)
-        return out.when(F.col("lever") == c, F.least(x + step, F.lit(1.0))).otherwise(x)
+        return out.when(F.col("lever") == c, capped(x + step)).otherwise(x)
 
     after = score(long.withColumns({c: moved(c) for c in columns})).select(id_, "lever", F.col("probability").alias("_after"))
     both = after.join(score(df).select(id_, F.col("probability").alias("_before")), id_).withColumn("d", F.col("_after") - F.col("_before"))
