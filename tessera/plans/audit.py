@@ -48,13 +48,13 @@ def coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = cohort(spark, sf_dir).select("id", "label", "drug", "year")
-    later = c.filter("id % 5 <> 0").withColumn("label", F.when(F.col("id") % 13 == 0, 1 - F.col("label")).otherwise(F.col("label"))).withColumn("year", F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("year")))
-    return c.filter("id % 3 <> 0"), later
+    c, columns = cohort(spark, sf_dir), ["id", "label", "drug", "year"]
+    later = c.filter("price > 60000").select(*columns).withColumn("label", F.when(F.col("id") % 13 == 0, 1 - F.col("label")).otherwise(F.col("label"))).withColumn("year", F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("year")))
+    return c.filter("price < 300000").select(*columns), later
 
 
 _SNAP = """, s AS (SELECT id, label AS label_a, CASE WHEN id % 13 = 0 THEN 1 - label ELSE label END AS label_b, drug AS drug_a, drug AS drug_b, year AS year_a, CASE WHEN id % 17 <> 0 THEN year END AS year_b
-  FROM c WHERE id % 3 <> 0 AND id % 5 <> 0) """
+  FROM c WHERE price < 300000 AND price > 60000) """
 
 
 @query(
@@ -142,13 +142,13 @@ def top_strength_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """ SELECT count(*) FILTER (id % 2 = 0 AND id % 3 = 0) AS common, count(*) FILTER (id % 2 = 0 AND id % 3 <> 0) AS only_predictions, count(*) FILTER (id % 2 <> 0 AND id % 3 = 0) AS only_source,
-    count(*) FILTER (id % 2 = 0 AND id % 3 = 0 AND id % 10 = 0) AS label_differs, 0 AS drug_differs FROM c"""
+    """ SELECT count(*) FILTER (price > 100000 AND price < 200000) AS common, count(*) FILTER (price <= 100000) AS only_predictions, count(*) FILTER (price >= 200000) AS only_source,
+    count(*) FILTER (price > 100000 AND price < 200000 AND id % 10 = 0) AS label_differs, 0 AS drug_differs FROM c"""
 )
 def prediction_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cohort(spark, sf_dir)
-    predictions = c.filter("id % 2 = 0").withColumn("label", F.when(F.col("id") % 10 == 0, F.col("label") + 5).otherwise(F.col("label")))
-    return A.prediction_identity(predictions, c.filter("id % 3 = 0"), "id", ["label", "drug"])
+    predictions = c.filter("price < 200000").withColumn("label", F.when(F.col("id") % 10 == 0, F.col("label") + 5).otherwise(F.col("label")))
+    return A.prediction_identity(predictions, c.filter("price > 100000"), "id", ["label", "drug"])
 
 
 @query(" SELECT target, count(*) AS n FROM c GROUP BY target ORDER BY n DESC, target LIMIT 10")

@@ -383,10 +383,10 @@ def publication_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.publication_evidence(articles, T.text_signal(F.col("abstract"), ["purchase"], ["error"]))
 
 
-@query(" SELECT id, (customer % 2 = 0 AND customer % 3 = 0) AS has_both, CASE WHEN customer % 2 = 0 THEN customer * 2 END AS result, CASE WHEN customer % 3 = 0 THEN customer * 3 END AS publication FROM c")
+@query(" SELECT id, (x4 > 0.2 AND x4 < 0.5) AS has_both, CASE WHEN x4 > 0.2 THEN customer * 2 END AS result, CASE WHEN x4 < 0.5 THEN customer * 3 END AS publication FROM c")
 def results_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"))
-    results = k.filter("customer % 2 = 0").select("customer", (F.col("customer") * 2).alias("result"))
-    publications = k.filter("customer % 3 = 0").select("customer", (F.col("customer") * 3).alias("publication"))
+    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), (F.col("c_acctbal") / 10000.0).alias("balance"))
+    results = k.filter(F.col("balance") > 0.2).select("customer", (F.col("customer") * 2).alias("result"))
+    publications = k.filter(F.col("balance") < 0.5).select("customer", (F.col("customer") * 3).alias("publication"))
     both = list_join(cohort(spark, sf_dir).select("id", "customer"), [results, publications], "customer")
     return both.select("id", (F.col("result").isNotNull() & F.col("publication").isNotNull()).alias("has_both"), "result", "publication")

@@ -50,12 +50,12 @@ def validated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """ SELECT id, CASE WHEN customer % 4 = 0 THEN customer / 10.0::DOUBLE ELSE x1 END AS x1, CASE WHEN customer % 4 = 0 THEN 0 ELSE (x1 IS NULL)::INT END AS x1_missing,
-    CASE WHEN (x4 IS NULL OR x4 <= 0) AND customer % 4 = 0 AND customer % 8 <> 0 THEN 0.5 ELSE x4 END AS x4 FROM c"""
+    """ SELECT id, CASE WHEN x4 < 0.1 THEN customer / 10.0::DOUBLE ELSE x1 END AS x1, CASE WHEN x4 < 0.1 THEN 0 ELSE (x1 IS NULL)::INT END AS x1_missing,
+    CASE WHEN (x4 IS NULL OR x4 <= 0) AND x4 < -0.03 THEN 0.5 ELSE x4 END AS x4 FROM c"""
 )
 def override_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer")).filter("customer % 4 = 0")
-    fresh = k.withColumn("x1", F.col("customer") / 10.0).withColumn("x4", F.when(F.col("customer") % 8 != 0, 0.5))
+    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), (F.col("c_acctbal") / 10000.0).alias("balance")).filter(F.col("balance") < 0.1)
+    fresh = k.select("customer", (F.col("customer") / 10.0).alias("x1"), F.when(F.col("balance") < -0.03, 0.5).alias("x4"))
     c = cohort(spark, sf_dir).withColumn("x1_missing", F.col("x1").isNull().cast("int"))
     return V.override_join(c, fresh, "customer", "x1", "x1_missing", "x4").select("id", "x1", "x1_missing", "x4")
 
@@ -72,12 +72,13 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT c_custkey AS k FROM customer) SELECT k, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 2 = 0 THEN k END AS a, CASE WHEN k % 2 = 0 THEN 1 END AS b, CASE WHEN k % 3 = 0 THEN 2 END AS d FROM k"""
+    """WITH k AS (SELECT c_custkey AS k, c_acctbal AS b FROM customer) SELECT k, CASE WHEN b < 5000 THEN NULL WHEN b > 2000 THEN k END AS a, CASE WHEN b > 2000 THEN 1 END AS b, CASE WHEN b < 5000 THEN 2 END AS d FROM k"""
 )
 def multi_source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    first = k.filter("k % 2 = 0").select("k", F.col("k").alias("a"), F.lit(1).alias("b"))
-    second = k.filter("k % 3 = 0").select("k", F.lit(None).cast("long").alias("a"), F.lit(2).alias("d"))
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k")
+    k = c.select("k")
+    first = c.filter("c_acctbal > 2000").select("k", F.col("k").alias("a"), F.lit(1).alias("b"))
+    second = c.filter("c_acctbal < 5000").select("k", F.lit(None).cast("long").alias("a"), F.lit(2).alias("d"))
     return V.merge_sources(k, [first, second], "k")
 
 

@@ -96,10 +96,10 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, m AS (SELECT id, customer, year, CASE WHEN year <= 1998 OR id % 1000 = 0 THEN 'train' ELSE 'validation' END AS role FROM c WHERE year IS NOT NULL), g AS (SELECT customer FROM m GROUP BY 1 HAVING count(DISTINCT role) > 1)
+    """, m AS (SELECT id, customer, year, price, CASE WHEN year <= 1998 OR id % 1000 = 0 THEN 'train' ELSE 'validation' END AS role FROM c WHERE year IS NOT NULL), g AS (SELECT customer FROM m GROUP BY 1 HAVING count(DISTINCT role) > 1)
     SELECT 'temporal' AS mode, 0 AS fold, 'groups overlap' AS problem, count(*) AS n FROM g
     UNION ALL SELECT 'temporal', 0, 'years overlap', 1 WHERE (SELECT max(year) FROM m WHERE role = 'train') >= (SELECT min(year) FROM m WHERE role = 'validation')
-    UNION ALL SELECT 'temporal', 0, 'unknown id', 1 UNION ALL SELECT 'temporal', 0, 'held-out rows used', count(*) FROM m WHERE id % 500 = 1 HAVING count(*) > 0
+    UNION ALL SELECT 'temporal', 0, 'unknown id', 1 UNION ALL SELECT 'temporal', 0, 'held-out rows used', count(*) FROM m WHERE price > 450000 HAVING count(*) > 0
     UNION ALL SELECT 'temporal', 0, 'outside the outer train rows', 1 + count(*) FROM m WHERE year > 1999 AND id % 1000 <> 0"""
 )
 def split_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def split_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = c.filter("year IS NOT NULL").select(F.lit("temporal").alias("mode"), F.lit(0).alias("fold"), role.alias("role"), "id")
     odd = spark.createDataFrame([("temporal", 0, "train", -1)], "mode string, fold int, role string, id long")
     late = c.filter("year <= 1998 OR id % 1000 = 0 OR year = 1999").select("id")
-    return X.violations(m.unionByName(odd), c.select("id", "customer", "year"), "id", "year", "customer", c.filter("id % 500 = 1"), late)
+    return X.violations(m.unionByName(odd), c.select("id", "customer", "year"), "id", "year", "customer", c.filter("price > 450000"), late)
 
 
 @query(" SELECT DISTINCT customer FROM c WHERE year <= 1995 INTERSECT SELECT DISTINCT customer FROM c WHERE year > 1999")
