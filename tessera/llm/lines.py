@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     which compares the bytes and sends one row for each chunk and task; per document only hashes
     and places are joined back.
 
-    Null text counts as empty and stays so. Texts of one line never lose it. A document may end empty when all its lines occur
+    Null text counts as empty. Texts of one line never lose it. A document may end empty when all its lines occur
     earlier. Rows that repeat an id with the same text keep and lose the same lines; with other texts,
     or without an id, each is a document of its own. An empty table gives an empty result. Columns
     not named are not read.
@@ -73,3 +73,16 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
         F.coalesce("removed", F.array().cast("array<struct<start:int,n:int>>")).alias("removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
     )
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+c AS (SELECT doc_id, s, l[s] || chr(10) || l[s + 1] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS s FROM d)),
+f AS (SELECT t, min(doc_id) AS doc_id FROM c GROUP BY t HAVING count(*) > 1),
+g AS (SELECT t, f.doc_id AS first_id, min(s) AS first_s FROM c JOIN f USING (t, doc_id) GROUP BY ALL),
+x AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS s FROM c JOIN g USING (t) WHERE NOT (doc_id = first_id AND s < first_s + 2)),
+k AS (SELECT doc_id, string_agg(v, chr(10) ORDER BY s) AS kept FROM (SELECT doc_id, generate_subscripts(l, 1) AS s, unnest(l) AS v FROM d) ANTI JOIN x USING (doc_id, s) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0) AS n_removed, coalesce(kept, '') AS text
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -10,7 +10,7 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import OP8_SQL, contamination, contamination_digest
 from tessera.llm.exact import OP3_SQL, exact_dedup
 from tessera.llm.language import predict_languages
-from tessera.llm.lines import dedup_lines
+from tessera.llm.lines import OP5_SQL, dedup_lines
 from tessera.llm.mixing import OP9_SQL, mix_sources
 from tessera.llm.neardup import OP10_SQL, near_duplicates
 from tessera.llm.pages import extract_pages, pages_digest
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_near_dedup": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_near_dedup": OP10_SQL}
