@@ -15,8 +15,8 @@ from tessera.llm.tokens import NOT_SPACE, U, blocks, mix, shingle_sets
 
 #: Elements whose permutations are held at a time.
 ELEMENTS = 1 << 16
-#: Members of a bucket that are compared in one task.
-TILE = 2048
+#: Members of a bucket, and shingles of theirs, in one chunk, about; two chunks are compared in one task.
+TILE, TILE_SHINGLES = 2048, 1 << 20
 
 
 def superminhash(doc: np.ndarray, values: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -132,10 +132,10 @@ def tile_links(members: list[tuple], percent: int, left: set[int], right: set[in
 def bucket_links(apart: DataFrame, percent: int) -> DataFrame:
     """(a, b) of links within a bucket between members of different components.
 
-    ``apart`` is (key, _size, rep, component, shingles). A bucket of more than TILE members is cut into
-    chunks, and each two chunks are a task's work of their own; no pairs are listed.
+    ``apart`` is (key, _size, _shingles, rep, component, shingles). A bucket of more than TILE members or TILE_SHINGLES
+    shingles is cut into chunks, and each two chunks are a task's work of their own; no pairs are listed.
     """
-    chunks = F.ceil(F.col("_size") / TILE).cast("int")
+    chunks = F.ceil(F.greatest(F.col("_size") / TILE, F.col("_shingles") / TILE_SHINGLES)).cast("int")
     chunk = F.pmod(F.xxhash64("rep"), chunks).cast("int")
     dealt = apart.withColumn("_c", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.select("key", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "rep", "component", "shingles")
@@ -219,8 +219,8 @@ def near_duplicates(
     links = stage(confirmed(tried))
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_size")).filter("_lo <> _hi")
-    apart = placed.join(split.select("key", "_size"), "key").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    split = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_shingles")).filter("_lo <> _hi")
+    apart = placed.join(split.select("key", "_size", "_shingles"), "key").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     more = stage(bucket_links(apart, percent).distinct())
     if not more.isEmpty():
         groups = components(links.union(more))

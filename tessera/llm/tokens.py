@@ -47,14 +47,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) in blocks of about BLOCK bytes; null as empty."""
+    """(first row, texts) in blocks of about BLOCK bytes; null as empty; a text of more than that is alone."""
     rows = [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
     first, size = 0, 0
     for i, x in enumerate(rows):
+        if i > first and size + len(x) > BLOCK:
+            yield first, rows[first:i]
+            first, size = i, 0
         size += len(x)
-        if size >= BLOCK or i == len(rows) - 1:
-            yield first, rows[first : i + 1]
-            first, size = i + 1, 0
+    if rows:
+        yield first, rows[first:]
+
+
+def pieces(text: bytes, kind: np.ndarray, before: int, after: int) -> Iterator[tuple[int, int, bytes]]:
+    """(number of the piece's first word, first own word, bytes) of pieces of about BLOCK bytes, each of whole words.
+
+    Own words of a piece begin where those of the last one ended; up to ``before`` words stand before
+    them and ``after`` words after them. So what is looked at word by word needs memory for one piece alone.
+    """
+    inside = kind[np.frombuffer(text, np.uint8)]
+    start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        start = np.append(0, start)
+    del inside
+    first = 0
+    while first < len(start):
+        end = int(np.searchsorted(start, start[first] + BLOCK))
+        lo, hi = max(0, first - before), end + after
+        yield lo, first, text[start[lo] : start[hi] if hi < len(start) else len(text)]
+        first = end
 
 
 def words(texts: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -87,8 +108,14 @@ def grams(hashed: np.ndarray, size: int) -> np.ndarray:
 def shingle_sets(texts: list[bytes], kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct shingles of each text, sorted.
 
-    A text with fewer words than ``size``, but not none, has its whole word sequence as one.
+    A text with fewer words than ``size``, but not none, has its whole word sequence as one. A long
+    text is taken in pieces.
     """
+    if len(texts) == 1 and len(texts[0]) > 2 * BLOCK:
+        found = [np.unique(grams(words([piece], kind)[3], size)) for _, _, piece in pieces(texts[0], kind, 0, size - 1)]
+        found = np.unique(np.concatenate([*found, np.zeros(0, U)]))
+        if len(found):
+            return np.zeros(len(found), np.int64), found
     doc, _, _, hashed, _ = words(texts, kind)
     count = np.bincount(doc, minlength=len(texts))
     g = grams(hashed, size)
