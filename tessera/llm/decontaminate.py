@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, stage
-from tessera.llm.tokens import ALPHANUMERIC, U, blocks, grams, mix, words
+from tessera.llm.tokens import ALPHANUMERIC, BLOCK, U, blocks, grams, mix, pieces, words
 
 _DOWN = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 #: The filter of item shingles has so many bits a shingle, and never more than MOST_BITS (16 MB).
@@ -72,30 +72,53 @@ def shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
     return out.view(U), bits
 
 
-def shingle_hits(docs: DataFrame, filter_: np.ndarray, bits: int, sizes: list[int], window: int) -> DataFrame:
-    """(_row, doc_id, n_words, hits); a hit is a shingle that passes the filter with the words around it."""
+def shingle_hits(docs: DataFrame, filter_: np.ndarray, bits: int, sizes: list[int], size: int, window: int) -> DataFrame:
+    """(_row, doc_id, n_words, hits); a hit is a shingle that passes the filter with the words around it.
+
+    Around a shingle of ``size`` words stand those that a window with it may have; a shorter one is a window itself. A
+    long text is taken in pieces.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(texts: list[bytes], own: int = 0, at: int = 0, more: bool = False) -> tuple[np.ndarray, list[list]]:
+        """Words and hits of each text; of a piece (which has ``more`` after it), those of own words, and places from ``at`` on."""
         table, one = shared.value, U(1)
+        doc, start, end, hashed, joined = words(texts, ALPHANUMERIC)
+        joined = joined.translate(_DOWN)
+        count = np.bincount(doc, minlength=len(texts))
+        begins = np.cumsum(count) - count
+        last = len(doc) - (window - 1) if more else len(doc)
+        found: list[list] = [[] for _ in texts]
+        for k in sizes:
+            g = grams(hashed, k)
+            hit = doc[: len(g)] == doc[k - 1 :] if len(g) else np.zeros(0, bool)
+            for p in _probes(g, bits):
+                hit = hit & ((table[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & one).astype(bool)
+            for a in np.flatnonzero(hit[own:last]) + own:
+                d = doc[a]
+                lo, hi = (max(begins[d], a - window + k), min(begins[d] + count[d], a + window)) if k == size else (a, a + k)
+                around = [joined[start[w] : end[w]].decode() for w in range(lo, hi)]
+                found[d].append({"h": int(g[a].view(np.int64)), "pos": int(a - begins[d] + at), "lead": int(a - lo), "around": around})
+        return count, found
+
+    def scan_long(text: bytes) -> tuple[np.ndarray, list[list]]:
+        n, found, waiting = 0, [], None
+        parts = pieces(text, ALPHANUMERIC, window - 1, window - 1)
+        while True:
+            piece = next(parts, None)
+            if waiting is not None:
+                at, first, part = waiting
+                count, hits = scan([part], first - at, at, piece is not None)
+                found += hits[0]
+                n = at + int(count[0])
+            if piece is None:
+                return np.array([n]), [found]
+            waiting = piece
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in blocks(batch.column(2)):
-                doc, start, end, hashed, joined = words(texts, ALPHANUMERIC)
-                joined = joined.translate(_DOWN)
-                count = np.bincount(doc, minlength=len(texts))
-                begins = np.cumsum(count) - count
-                found: list[list] = [[] for _ in texts]
-                for k in sizes:
-                    g = grams(hashed, k)
-                    whole = doc[: len(g)] == doc[k - 1 :] if len(g) else np.zeros(0, bool)
-                    hit = whole
-                    for p in _probes(g, bits):
-                        hit = hit & ((table[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & one).astype(bool)
-                    for a in np.flatnonzero(hit):
-                        d = doc[a]
-                        lo, hi = max(begins[d], a - window + k), min(begins[d] + count[d], a + window)
-                        around = [joined[start[w] : end[w]].decode() for w in range(lo, hi)]
-                        found[d].append({"h": int(g[a].view(np.int64)), "pos": int(a - begins[d]), "lead": int(a - lo), "around": around})
+                count, found = scan_long(texts[0]) if len(texts) == 1 and len(texts[0]) > 2 * BLOCK else scan(texts)
                 arrays = [batch.column(c).slice(first, len(texts)) for c in (0, 1)]
                 arrays += [pa.array(count.astype(np.int64)), pa.array(found, HITS)]
                 yield pa.RecordBatch.from_arrays(arrays, ["_row", "doc_id", "n_words", "hits"])
@@ -139,7 +162,7 @@ def contamination(
     shortest = windows.agg(F.min("n")).first()[0]
     sizes = [size] if shortest is None else list(range(min(size, shortest), size + 1))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = stage(shingle_hits(rows, table, bits, sizes, window))
+    scanned = stage(shingle_hits(rows, table, bits, sizes, size, window))
 
     hits = scanned.select("_row", "n_words", F.explode("hits").alias("hit")).select("_row", "n_words", "hit.*")
     rarity = hits.groupBy("h").agg(F.count(F.lit(1)).alias("_df"))

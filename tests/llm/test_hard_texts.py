@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import repeats
+from tessera.llm import repeats, tokens
+from tessera.llm.decontaminate import contamination
 from tessera.llm.pages import extract_pages, main_text
 from tessera.llm.personal import replace_personal
 from tessera.llm.repeats import remove_repeats, repeats_digest
@@ -154,3 +155,51 @@ def test_repeats_in_a_group_of_many_different_contexts(spark):
     hot = repeats.runs(docs.withColumn("row", F.lit(0).cast("long")), 400).groupBy("key").agg(F.count_distinct("c1", "c2").alias("n")).agg(F.max("n")).first()[0]
     assert hot > 16384 > repeats.GROUP
     assert {x.doc_id: x.n_removed for x in repeats_digest(remove_repeats(docs)).collect()} == want
+
+
+@pytest.mark.parametrize("block", [64, 1 << 21])
+def test_pieces_of_long_texts_find_the_same(spark, monkeypatch, block):
+    """Shingles and benchmark windows of long texts in pieces of 64 bytes against whole texts."""
+    r = random.Random(6)
+    vocabulary = ["a", "bb", "Ünï", "the", "x" * 90, "word", "1", "of"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (1, 3, 4, 5, 6, 40, 400, 3000)] + ["x" * 500, " " * 500, "", "  lead " + "y" * 300 + "\n", "a b c d " + "z" * 400]
+    whole = [tokens.shingle_sets([t.encode()], tokens.NOT_SPACE, 5) for t in texts]
+    monkeypatch.setattr(tokens, "BLOCK", block)
+    for t, (doc, values) in zip(texts, whole, strict=True):
+        got = tokens.shingle_sets([t.encode()], tokens.NOT_SPACE, 5)
+        assert got[0].tolist() == doc.tolist() and got[1].tolist() == values.tolist()
+        for before, after in ((0, 4), (9, 9)):
+            parts = list(tokens.pieces(t.encode(), tokens.NOT_SPACE, before, after))
+            ends = [first for _, first, _ in parts[1:]] + [len(t.split())]
+            for (at, first, piece), end in zip(parts, ends, strict=False):
+                assert piece.split() == t.encode().split()[max(0, first - before) : end + after] and at == max(0, first - before)
+
+
+def test_long_texts_are_decontaminated_in_pieces(spark):
+    r = random.Random(7)
+    long = [f"w{r.randrange(50)}" for _ in range(700_000)]  # several blocks
+    items = [(1, "rare one two three four five six seven eight nine ten"), (2, "w1"), (3, " ".join(long[600_000:600_012])), (4, "rare w1")]
+    long[5:5] = items[0][1].split()
+    long[650_000:650_000] = items[0][1].split()
+    long += ["rare", "w1"]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, "w1 x W1")], "doc_id long, text string")
+    got = {x.doc_id: x for x in contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for _, t in items:
+        w = t.split()
+        for k in range(max(1, len(w) - 9)):
+            want.setdefault(tuple(w[k : k + 10]), None)
+    hit = set()
+    joined = " " + " ".join(long) + " "
+    places = {m: k for k, m in enumerate(re_starts(joined))}
+    for win in want:
+        at = joined.find(" " + " ".join(win) + " ")
+        while at >= 0:
+            hit |= set(range(places[at + 1], places[at + 1] + len(win)))
+            at = joined.find(" " + " ".join(win) + " ", at + 1)
+    assert (got[1].n_words, got[1].n_hit, got[1].item_ids) == (len(long), len(hit), ["1", "2", "3", "4"])
+    assert (got[2].n_words, got[2].n_hit, got[2].item_ids) == (3, 2, ["2"])
+
+
+def re_starts(joined):
+    return [k + 1 for k, c in enumerate(joined[:-1]) if c == " "]
