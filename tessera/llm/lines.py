@@ -29,6 +29,11 @@ def runs(lines: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
 
 
+def hash_of(text: str) -> Column:
+    """128 bits."""
+    return F.unhex(F.md5(text))
+
+
 def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_lines``, ``n_removed`` (lines), ``removed`` spans, ``text``.
 
@@ -36,9 +41,11 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     stays where it occurs first (by id, then line) and goes elsewhere. All chunks of ``least_lines``
     lines are compared, from each line on, and those that go are merged into maximal runs, so a
     repeated run goes up to its ends. A chunk that overlaps its own first occurrence stays. Of each
-    line that goes, an equal one stays further ahead. Chunks are grouped by (128-bit hash, bytes),
-    which compares the bytes and sends one row for each chunk and task; per document only hashes
-    and places are joined back.
+    line that goes, an equal one stays further ahead.
+
+    Chunks are counted by their 128-bit hashes, without their texts. Places of the repeated ones are brought
+    to the documents, where their bytes are read again and compared by grouping by (hash, bytes):
+    texts that share a hash are told apart. Groupings send one row for each chunk and task.
 
     Null text counts as empty. Texts of one line never lose it. A document may end empty when all its lines occur
     earlier. Rows that repeat an id with the same text keep and lose the same lines; with other texts,
@@ -47,30 +54,37 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("row"), text.alias("text"))
-    hashed = line_chunks(rows, least_lines).withColumn("h", F.unhex(F.md5("text")))
+    hashed = line_chunks(rows, least_lines).select("doc_id", "row", "start", hash_of("text").alias("h"))
     place = F.struct("doc_id", "row", "start")
-    classes = hashed.groupBy("h", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_found"))
-    per_hash = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first").alias("first"), F.sum("n_found").alias("n_found")).filter("n_found > 1"))
+    repeated = stage(hashed.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
     later = ~(same & (F.col("start") < F.col("first.start") + least_lines))
-    thin = hashed.drop("text").join(per_hash.filter("n_texts = 1"), "h").filter(later).select("doc_id", "row", "start")
-    shared = per_hash.filter("n_texts > 1").select("h")
-    if not shared.isEmpty():
-        apart = hashed.join(shared, "h", "left_semi").join(classes, ["h", "text"]).filter(later)
-        thin = thin.union(apart.select("doc_id", "row", "start"))
-    covered = F.flatten(F.transform(F.sort_array(F.collect_set("start")), lambda s: F.sequence(s, s + (least_lines - 1))))
-    gone = thin.groupBy("doc_id", "row").agg(F.array_distinct(covered).alias("gone"))
-    gone = gone.select("doc_id", "row", "gone", runs(F.col("gone")).alias("removed"))
+    met = hashed.join(repeated, "h").select("doc_id", "row", F.struct("start", "h", later.alias("later")).alias("at"))
     match = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row"))
-    both = rows.alias("d").join(gone.alias("g"), match, "left")
-    both = both.select("d.doc_id", "text", "gone", "removed", F.split("text", "\n", -1).alias("lines"))
+
+    def with_places(met: DataFrame) -> DataFrame:
+        per_doc = met.groupBy("doc_id", "row").agg(F.collect_set("at").alias("found"))
+        return stage(rows.alias("d").join(per_doc.alias("g"), match, "left").select("d.doc_id", "d.row", "text", "found"))
+
+    both = with_places(met)
+    each = both.select("doc_id", "row", F.split("text", "\n", -1).alias("lines"), F.explode("found").alias("at"))
+    each = each.select("doc_id", "row", "at.start", "at.h", F.array_join(F.slice("lines", F.col("at.start") + 1, least_lines), "\n").alias("text"))
+    classes = each.groupBy("h", "text").agg(F.min(place).alias("first"))
+    shared = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    if not shared.isEmpty():
+        apart = each.join(shared, "h", "left_semi").join(stage(classes.join(shared, "h", "left_semi")), ["h", "text"])
+        apart = apart.select("doc_id", "row", F.struct("start", "h", later.alias("later")).alias("at"))
+        both = with_places(met.join(shared, F.col("at.h") == F.col("h"), "left_anti").unionByName(apart))
+    starts = F.array_sort(F.transform(F.filter("found", lambda x: x["later"]), lambda x: x["start"]))
+    gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (least_lines - 1)))))
+    out = both.select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), F.when(F.size(starts) > 0, gone).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
-    return both.select(
+    return out.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("removed", F.array().cast("array<struct<start:int,n:int>>")).alias("removed"),
+        F.when(F.col("gone").isNotNull(), runs(F.col("gone"))).otherwise(F.array().cast("array<struct<start:int,n:int>>")).alias("removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
     )
 

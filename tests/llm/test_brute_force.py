@@ -9,7 +9,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tessera.llm import personal, secrets
+from tessera.llm import lines, personal, secrets
 from tessera.llm.language import UNKNOWN, identify, learn_profiles
 from tessera.llm.lines import dedup_lines
 from tessera.llm.pages import main_text
@@ -65,9 +65,9 @@ def test_linked_secrets(spark):
 def deduped_lines(docs, n=2):
     places = {}
     for i, t in docs:
-        lines = (t or "").split("\n")
-        for a in range(len(lines) - n + 1):
-            places.setdefault("\n".join(lines[a : a + n]), []).append((i, a))
+        split = (t or "").split("\n")
+        for a in range(len(split) - n + 1):
+            places.setdefault("\n".join(split[a : a + n]), []).append((i, a))
     gone = {i: set() for i, _ in docs}
     for found in places.values():
         first = min(found)
@@ -88,6 +88,15 @@ def test_repeated_chunks_of_lines(spark, n):
     assert sum(map(bool, gone.values())) > 50
 
 
+def test_chunks_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lines, "hash_of", lambda text: F.unhex(F.substring(F.md5(text), 1, 2)))
+    r = random.Random(15)
+    docs = [(i, "\n".join(r.choice("abcdefgh") + str(r.randrange(7)) for _ in range(r.randrange(0, 20)))) for i in range(120)]
+    want, gone = deduped_lines(docs)
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    assert {x.doc_id: x.text for x in got} == want and sum(map(bool, gone.values())) > 20
+
+
 # Languages: rank-order profiles with dictionaries.
 
 
