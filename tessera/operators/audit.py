@@ -19,27 +19,30 @@ def _long(df: DataFrame, keep: Sequence[str], structs: Sequence[Column]) -> Data
 def entity_overlap(df: DataFrame, labels: Sequence[str], entities: Sequence[str], year: str, cutoff: int) -> DataFrame:
     """Per label and entity: test rows whose key train has seen, not seen, or that have none.
 
-    Rows need a label of 0 or 1 and a year; those left out are counted.
+    Rows need a label of 0 or 1 and a year; those left out are counted. Rows are counted by key first, in
+    each task, so one row per key is exchanged and nothing is joined.
     """
-    eligible = _long(
+    every = _long(
         df.withColumn("_role", temporal_role(F.col(year), cutoff)),
-        [year, "_role"],
+        ["_role"],
         [F.struct(F.lit(n).alias("label"), F.col(n).alias("y"), F.lit(e).alias("entity"), entity_key(F.col(e)).alias("key")) for n in labels for e in entities],
     )
-    valid = F.coalesce(F.col("y").isin(0, 1), F.lit(False))
-    left_out = eligible.groupBy("label", "entity").agg(F.count_if(~valid).alias("excluded_invalid_label"), F.count_if(valid & F.col(year).isNull()).alias("excluded_missing_year_with_valid_label"))
-    rows = eligible.filter(valid & F.col(year).isNotNull())
-    train_keys = rows.filter("_role = 'train' AND key IS NOT NULL").select("label", "entity", "key").distinct().withColumn("_seen", F.lit(True))
-    flagged = rows.join(train_keys, ["label", "entity", "key"], "left")
-    test, seen = F.col("_role") == "test", F.coalesce("_seen", F.lit(False))
-    unseen = test & F.col("key").isNotNull() & ~seen
-    out = flagged.groupBy("label", "entity").agg(
-        F.count_if(~test).alias("n_train"), F.count_if(test).alias("n_test"),
-        F.count_if(~test & (F.col("y") == 1)).alias("train_positive"), F.count_if(test & (F.col("y") == 1)).alias("test_positive"),
-        F.count_if(test & seen).alias("test_seen"), F.count_if(unseen).alias("test_unseen"), F.count_if(test & F.col("key").isNull()).alias("test_unknown"),
-        F.count_if(unseen & (F.col("y") == 1)).alias("unseen_positive"), F.count_if(unseen & (F.col("y") == 0)).alias("unseen_negative"),
+    valid, positive = F.coalesce(F.col("y").isin(0, 1), F.lit(False)), F.col("y") == 1
+    train, test = valid & (F.col("_role") == "train"), valid & (F.col("_role") == "test")
+    counts = {"n_train": train, "n_test": test, "train_positive": train & positive, "test_positive": test & positive, "invalid": ~valid, "no_year": valid & F.col("_role").isNull()}
+    per_key = every.groupBy("label", "entity", "key").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    known, seen = F.col("key").isNotNull(), F.col("n_train") > 0
+
+    def total(column: Column | str, where: Column) -> Column:
+        return F.sum(F.when(where, F.col(column) if isinstance(column, str) else column).otherwise(0))
+
+    out = per_key.groupBy("label", "entity").agg(
+        *[F.sum(n).alias(n) for n in ("n_train", "n_test", "train_positive", "test_positive")],
+        total("n_test", known & seen).alias("test_seen"), total("n_test", known & ~seen).alias("test_unseen"), total("n_test", ~known).alias("test_unknown"),
+        total("test_positive", known & ~seen).alias("unseen_positive"), total(F.col("n_test") - F.col("test_positive"), known & ~seen).alias("unseen_negative"),
+        F.sum("invalid").alias("excluded_invalid_label"), F.sum("no_year").alias("excluded_missing_year_with_valid_label"),
     )
-    return out.withColumn("seen_fraction_all_test", F.try_divide("test_seen", "n_test")).join(left_out, ["label", "entity"])
+    return out.withColumn("seen_fraction_all_test", F.try_divide("test_seen", "n_test"))
 
 
 def provenance_counts(df: DataFrame, labels: Sequence[str], provenance: str) -> DataFrame:

@@ -105,7 +105,7 @@ def tfidf(df: DataFrame, id_: str, text: str, min_df: int = 2, top: int = 5000,
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
     rows = df.select(id_, tokens(F.col(text), stops).alias("_w"))
     pairs = F.transform(F.arrays_zip(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))).alias("a"), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
-    counts = rows.select(id_, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(id_, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = rows.select(id_, F.explode(F.concat("_w", pairs)).alias("term")).filter("term IS NOT NULL").groupBy(id_, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.count()  # of the scan's metadata alone
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     vocabulary = vocabulary.orderBy(F.col("total").desc(), "term").limit(top)
