@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources.scratch import written as stage  # noqa: F401  tables used several times are written once
+
 #: White space of every contract here: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -41,29 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-stage-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage, so that a table used several times is computed once, and a lost
-    executor costs a reread of files and not the job.
-    """
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unit(key: Column, seed: str) -> Column:
     """A uniform double in (0, 1) that depends on ``key`` and ``seed`` alone."""
     digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 13)

@@ -57,8 +57,8 @@ def mix_sources(
     taken when that ends nearer to it. U depends on the id and seed alone, so reruns agree.
 
     The running sum never sorts a source in one task: words are summed by (source, bucket of
-    the order), a prefix sum over buckets finds the one bucket in which each source ends, and
-    only that bucket's rows are put in order.
+    the order), a prefix sum over buckets (of at most BUCKETS rows a source) finds the one bucket in
+    which each source ends, and only that bucket's rows are put in order.
 
     Null texts have size 0 and ``taken`` 0. A null source is a source of its own, last in
     order. Rows that repeat an id rank side by side and count each. An empty table gives an

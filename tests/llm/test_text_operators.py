@@ -384,3 +384,17 @@ def test_empty_tables(spark):
         assert out.collect() == []
     some = table(spark, [(1, "a b", "s")])
     assert contamination(some, items).first()["n_hit"] == 0
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "the house of the river", "s"), (1, "the house of the river", "s"), (None, "das haus und der fluss", None), (2, None, None), (3, "the " * 30_000 + "river", "s")]
+    df = table(spark, rows).drop("lang", "score")
+    for name in ("lang", "lang_pred", "score", "held_out", "rank", "count"):
+        df = df.withColumn(name, F.when(F.col("text").contains("the"), "en").otherwise("de") if name == "lang" else F.lit(name))
+    got = predict_languages(df).collect()
+    assert got[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score"]
+    assert len(got) == 5 and len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1
+    by = {r.doc_id: r for r in got}
+    assert (by[2].lang_pred, by[2].score) == (UNKNOWN, 0.0) and by[3].score > 0 and not by[None].held_out
+    kept = identify(df, learn_profiles(df), keep=["lang", "rank", "score"]).collect()
+    assert kept[0].__fields__ == ["doc_id", "lang", "rank", "lang_pred", "score"] and all(r["rank"] == "rank" for r in kept)
