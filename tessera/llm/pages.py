@@ -38,7 +38,11 @@ ZONE_ROLES = set("navigation banner contentinfo complementary search form dialog
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
-_stops = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
+#: Of each stop word the languages that have it, by number.
+_stops: dict[str, list[int]] = {}
+for _n, _words in enumerate(STOP_WORDS.values()):
+    for _w in set(_words.split()):
+        _stops.setdefault(_w, []).append(_n)
 # Thresholds of the first pass.
 LONG, STOPS, LINKS, SHORT = 70, 0.12, 0.33, 200
 
@@ -149,8 +153,18 @@ class Blocks:
 
 
 def width(text: str) -> int:
-    """Characters of ``text``, those of double width twice."""
-    return len(text) if text.isascii() else len(text) + sum(unicodedata.east_asian_width(c) in "WF" for c in text)
+    """Characters of ``text``, those of double width twice; there are none of these before U+1100."""
+    return len(text) if max(text) < "\u1100" else len(text) + sum(unicodedata.east_asian_width(c) in "WF" for c in text)
+
+
+def stop_share(text: str) -> float:
+    """The share of stop words among the words of ``text``, in the language that has most of them."""
+    words = WORD.findall(text.lower())
+    count = [0] * len(STOP_WORDS)
+    for w in words:
+        for n in _stops.get(w, ()):
+            count[n] += 1
+    return max(count) / max(1, len(words))
 
 
 def labels(blocks: list[Block]) -> list[bool]:
@@ -170,10 +184,7 @@ def labels(blocks: list[Block]) -> list[bool]:
     decided, blocks of an article are main text and others are not.
     """
     apart = [zone or linked > LINKS * len(text) for text, linked, zone, _, _ in blocks]
-    stopped = []
-    for text, *_ in blocks:
-        words = [w.lower() for w in WORD.findall(text)]
-        stopped.append(max((sum(w in s for w in words) for s in _stops.values()), default=0) / max(1, len(words)) >= STOPS)
+    stopped = [not out and stop_share(b[0]) >= STOPS for b, out in zip(blocks, apart, strict=True)]
     size = [width(b[0]) for b in blocks]
     prose = [i for i, b in enumerate(blocks) if not apart[i] and not b[4]]
     known = sum(size[i] for i in prose if stopped[i])
