@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import capped
 from tessera.operators.evidence import validated_join
-from tessera.operators.prefix import medians, ordinal
+from tessera.operators.prefix import column_medians, medians, ordinal
 
 
 def missing_flags(real: Mapping[str, str]) -> dict[str, Column]:
@@ -123,12 +123,9 @@ def scale(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact train medians for missing values, and ``<column>_indicator`` for columns that train lacks somewhere."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = train.select(F.explode(pairs).alias("x")).select("x.*")
-    middle = {r["column"]: r["median"] for r in medians(long, ["column"], "value").collect()}  # one row per column
-    lacks = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    flags = {f"{c}_indicator": F.col(c).isNull().cast("int") for c in columns if lacks[c]}
-    return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle.get(c)).cast("double")) for c in columns})
+    middle, missing = column_medians(train, columns)
+    flags = {f"{c}_indicator": F.col(c).isNull().cast("int") for c in columns if missing[c]}
+    return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double")) for c in columns})
 
 
 def one_hot(train: DataFrame, df: DataFrame, column: str, most: int = 1000) -> DataFrame:

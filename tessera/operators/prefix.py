@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.types import NumericType
 
 #: Rows of the sample that cut points are taken from, in each group.
 SAMPLE = 512
+#: Accuracy of the sketch that bounds medians.
+SKETCH = 10_000
 
 
 def _cut_points(base: DataFrame, group: list[str], order: Sequence[str], blocks: int) -> DataFrame:
@@ -74,19 +77,52 @@ def ordinal(df: DataFrame, by: list[str], key: str, name: str, descending: bool
     return cumulative(df.withColumn("_one", F.lit(1).cast("long")), by, key, {name: "_one"}, descending, ties).drop("_one")
 
 
-def medians(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """(by, median) of the non-null values of ``column``: exact, the mean of the middle two of an even number.
+def _middle(df: DataFrame, by: list[str], value: Column, low: Column, high: Column, n: Column) -> DataFrame:
+    """(by, median) of ``value``, given per row what its group's median lies between and the group's size.
 
-    Values are counted first, so no task holds the values of a group.
+    Values below count as one, those above not at all; so what is ordered is the few values between.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = cumulative(counts, by, "_v", {"_upto": "_n"}).withColumn("_all", F.lit(0))
-    keys = [*by, "_all"]
-    totals = counts.withColumn("_all", F.lit(0)).groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    both = placed.alias("l").join(totals.alias("r"), _matches("l", "r", keys)).select("l.*", "_total")
-    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)  # places from 0
+    kept = df.select(*by, value.alias("_v"), low.alias("_low"), high.alias("_high"), n.alias("_total")).filter("_v <= _high")
+    counts = kept.groupBy(*by, F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.col("_k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("_upto", upto)
 
     def at(place: Column) -> Column:
-        return F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_v")))
+        found = F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_k")))
+        return F.coalesce(found, F.raise_error(F.lit("a median lies outside the bounds of its sketch")))
+
+    return placed.groupBy(*by).agg(((at(F.floor((F.col("_total") - 1) / 2)) + at(F.floor(F.col("_total") / 2))) / 2).alias("median"))
+
+
+def _bounds(value: Column) -> Column:
+    """Two values with the median between them: quantiles by a sketch, apart by five times its error on either side."""
+    return F.percentile_approx(value, [0.5 - 5 / SKETCH, 0.5 + 5 / SKETCH], SKETCH)
 
-    return both.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median")).drop("_all")
+
+def medians(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, median) of the values of ``column`` but nulls and NaN: exact, the mean of the middle two of an even number.
+
+    Two passes: a sketch bounds each group's median, then the values between the bounds, about a thousandth of a
+    group, are counted and ordered. No task holds the values of a group.
+    """
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*by, value.alias("_x")).filter("_x IS NOT NULL").withColumn("_all", F.lit(0))
+    keys = [*by, "_all"]
+    found = rows.groupBy(*keys).agg(_bounds(F.col("_x")).alias("_q"), F.count(F.lit(1)).alias("_c"))
+    both = rows.alias("l").join(found.alias("r"), reduce(Column.__and__, _matches("l", "r", keys))).select("l.*", "_q", "_c")
+    return _middle(both, keys, F.col("_x"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1)), F.col("_c")).drop("_all")
+
+
+def column_medians(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float | None], dict[str, int]]:
+    """The exact median of each column, None without values, and how many values it lacks (nulls and NaN). Two passes for all."""
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    aggs = [x for i, c in enumerate(columns) for x in (_bounds(value[c]).alias(f"q{i}"), F.count(value[c]).alias(f"c{i}"))]
+    found = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+    some = [(i, c) for i, c in enumerate(columns) if found[f"c{i}"]]
+    middle: dict[str, float | None] = dict.fromkeys(columns)
+    if some:
+        each = [F.struct(F.lit(i).alias("i"), value[c].alias("v"), *[F.lit(float(x)).alias(f) for f, x in zip(("low", "high"), found[f"q{i}"], strict=True)], F.lit(found[f"c{i}"]).alias("n")) for i, c in some]
+        long = df.select(F.explode(F.array(*each)).alias("x")).select("x.*").filter("v IS NOT NULL")
+        got = {r["i"]: r["median"] for r in _middle(long, ["i"], F.col("v"), F.col("low"), F.col("high"), F.col("n")).collect()}  # one row per column
+        middle |= {c: got[i] for i, c in some}
+    return middle, {c: found["n"] - found[f"c{i}"] for i, c in enumerate(columns)}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+import zlib
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import any_of, count_of
@@ -91,25 +95,91 @@ def completed_without_results(status: Column, posted: Column) -> Column:
 def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     """Lower-cased runs of two or more word characters, without stop words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
-    stops = F.array(*map(F.lit, stop_words))
-    return F.filter(words, lambda w: ~F.array_contains(stops, w)) if stop_words else words
+    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 
-def tfidf(df: DataFrame, id_: str, text: str, min_df: int = 2, top: int = 5000, stop_words: Sequence[str] | None = None, weight: float = 1.0) -> DataFrame:
-    """(id, term, weight) of uni- and bigrams: (1 + ln tf) x (ln((1 + n) / (1 + df)) + 1), each row of length ``weight``.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(words: Column) -> Column:
+    """Distinct uni- and bigrams of an array of words as structs (term, tf) in order of the term, counted within the row."""
+
+    def grams(w: Column) -> Column:
+        first = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+        return F.sort_array(F.concat(w, F.transform(first, lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).alias("tf"))))
+
+    return _let(words, lambda w: _let(grams(w), runs))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores where a small table has fewer; for work that is dear by the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@dataclass(frozen=True)
+class Terms:
+    """A vocabulary with its weights, learned from some rows; a term's place is its index."""
+
+    terms: tuple[str, ...]
+    idf: tuple[float, ...]
+    stop_words: tuple[str, ...]
+
+    def lookup(self, term: Column) -> Column:
+        """The struct (t, i, w) of ``term``, null where it is none: a constant hash table, which Catalyst folds from one literal."""
+        size = 1 << max(1, 2 * len(self.terms) - 1).bit_length()
+        slots: list[list[dict]] = [[] for _ in range(size)]
+        for i, (t, w) in enumerate(zip(self.terms, self.idf, strict=True)):
+            slots[zlib.crc32(t.encode()) % size].append({"t": t, "i": i, "w": w})
+        table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,i:int,w:double>>>")
+        slot = (F.crc32(term) % size).cast("int")
+        return F.get(F.filter(F.get(table, slot), lambda x: x["t"] == term), F.lit(0))
 
-    Terms need ``min_df`` rows; of these the ``top`` most frequent stay, ties by the term.
-    The vocabulary is the one thing broadcast, and ``top`` bounds it. Counts are exchanged by (id, term) once, for
-    the vocabulary and the weights alike.
+
+def fit_terms(train: DataFrame, text: str, min_df: int = 2, top: int = 5000, stop_words: Sequence[str] | None = None) -> Terms:
+    """The vocabulary of ``train`` alone: uni- and bigrams in ``min_df`` rows or more, the ``top`` most frequent, ties by the term.
+
+    A term weighs ln((1 + rows) / (1 + rows with it)) + 1. Terms are counted within their row, so a row sends each
+    of its terms once, and partial sums by term are what is exchanged. The vocabulary, which ``top`` bounds, comes to the driver.
+    Null and empty texts have no terms but count as rows.
     """
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
-    rows = df.select(id_, tokens(F.col(text), stops).alias("_w"))
-    pairs = F.transform(F.arrays_zip(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))).alias("a"), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
-    counts = rows.select(id_, F.explode(F.concat("_w", pairs)).alias("term")).filter("term IS NOT NULL").groupBy(id_, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.count()  # of the scan's metadata alone
-    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    vocabulary = vocabulary.orderBy(F.col("total").desc(), "term").limit(top)
-    idf = F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1
-    raw = counts.join(F.broadcast(vocabulary.select("term", idf.alias("_idf"))), "term").withColumn("_x", (1 + F.log("tf")) * F.col("_idf"))
-    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(id_)))
-    return raw.select(id_, "term", (F.col("_x") / norm * weight).alias("weight"))
+    counts = term_counts(tokens(F.col(text), stops))
+    each = spread(train.select(text)).select(F.explode_outer(counts).alias("x")).select("x.*").filter("term IS NOT NULL")  # a plain explode would count twice
+    found = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    kept = found.orderBy(F.col("total").desc(), "term").limit(top).collect()
+    n = train.count()
+    return Terms(tuple(r["term"] for r in kept), tuple(math.log((1 + n) / (1 + r["df"])) + 1 for r in kept), tuple(stops))
+
+
+def term_weights(df: DataFrame, terms: Terms, text: str, name: str = "weights", weight: float = 1.0) -> DataFrame:
+    """``df`` with ``name``, an array of structs (index, term, weight) by index: (1 + ln tf) x idf, each row of length ``weight``.
+
+    A row is weighed on its own, by a vocabulary that other rows may have taught: no exchange. Terms that
+    the vocabulary lacks count for nothing; a row without any has an empty array.
+    """
+
+    def weighed(x: Column) -> Column:
+        return F.struct(x["e"]["i"].alias("index"), x["e"]["t"].alias("term"), ((1 + F.log(x["tf"].cast("double"))) * x["e"]["w"]).alias("weight"))
+
+    def scaled(raw: Column) -> Column:
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
+        return _let(norm, lambda n: F.transform(raw, lambda x: F.struct(x["index"].alias("index"), x["term"].alias("term"), (x["weight"] / n * weight).alias("weight"))))
+
+    met = F.transform(term_counts(tokens(F.col(text), terms.stop_words)), lambda x: F.struct(terms.lookup(x["term"]).alias("e"), x["tf"].alias("tf")))
+    raw = F.array_sort(F.transform(F.filter(met, lambda x: x["e"].isNotNull()), weighed))
+    return df.withColumn(name, _let(raw, scaled))
+
+
+def tfidf(df: DataFrame, id_: str, text: str, min_df: int = 2, top: int = 5000, stop_words: Sequence[str] | None = None, weight: float = 1.0) -> DataFrame:
+    """(id, term, weight) of the rows by the vocabulary that they teach themselves; see ``fit_terms`` and ``term_weights``."""
+    terms = fit_terms(df, text, min_df, top, stop_words)
+    rows = term_weights(spread(df.select(F.col(id_).alias("_id"), F.col(text).alias("_t"))), terms, "_t", "_x", weight)
+    each = rows.select(F.col("_id").alias(id_), F.explode_outer("_x").alias("x")).select(id_, "x.term", "x.weight")
+    return each.filter("term IS NOT NULL")  # a plain explode would weigh twice

@@ -276,12 +276,16 @@ _STOPS = (
 _STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in _STOPS)
 
 
-@query(
-    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM documents),
+_TERMS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM documents),
     e AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM w),
     f AS (SELECT doc_id, list(w ORDER BY i) AS w FROM e WHERE w NOT IN ({_STOP_LIST}) GROUP BY doc_id),
     t AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM f),
-    c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM w),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)"""
+
+
+@query(
+    _TERMS
+    + """, n AS (SELECT count(*) AS n FROM w),
     v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 5000),
     r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (df + 1)) + 1) AS x FROM c JOIN v USING (term), n)
     SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) * 3, 5) AS weight FROM r"""
@@ -290,6 +294,23 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", weight=3.0), "weight", digits=5)
 
 
+@query(
+    _TERMS
+    + """, k AS (SELECT DISTINCT doc_id FROM labels), n AS (SELECT count(*) AS n FROM w SEMI JOIN k USING (doc_id)),
+    v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c SEMI JOIN k USING (doc_id) GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 5000),
+    i AS (SELECT term, df, row_number() OVER (ORDER BY total DESC, term) - 1 AS i FROM v),
+    r AS (SELECT doc_id, i, term, (1 + ln(tf)) * (ln((1 + n) / (df + 1)) + 1) AS x FROM c ANTI JOIN k USING (doc_id) JOIN i USING (term), n)
+    SELECT doc_id, i AS index, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) * 3, 5) AS weight FROM r"""
+)
+def tfidf_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label weighed by what those with one teach."""
+    docs, known = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id")
+    fitted = T.fit_terms(docs.join(known, "doc_id", "left_semi"), "text")
+    out = T.term_weights(T.spread(docs).join(known, "doc_id", "left_anti"), fitted, "text", weight=3.0)
+    each = out.select("doc_id", F.explode_outer("weights").alias("x")).select("doc_id", F.col("x.index").cast("long").alias("index"), "x.term", "x.weight")
+    return rounded(each.filter("term IS NOT NULL"), "weight", digits=5)
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     h = hash_order(i, "s")
