@@ -1,6 +1,6 @@
 """Model fits with Spark ML, their grids, validation and explanations.
 
-Candidates are fitted in a driver loop over tables written once; every fit is distributed.
+Linear candidates are fitted all at once (``batched``), others in a driver loop over tables written once; every fit is distributed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import capped
+from tessera.operators.batched import Linear, validate_all
 from tessera.operators.features import impute, scale
 from tessera.operators.metrics import metric_bundle
 from tessera.operators.prefix import medians
@@ -97,7 +98,7 @@ def calibrated(df: DataFrame, label: str, id_: str, folds: int = 3, c: float = 1
     return apply
 
 
-def perceptron(train: DataFrame, label: str, numeric: Sequence[str] = (), entities: Sequence[str] = (), hidden: Sequence[int] = (8,), iterations: int = 50, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+def perceptron(train: DataFrame, label: str, numeric: Sequence[str] = (), entities: Sequence[str] = (), hidden: Sequence[int] = (8,), iterations: int = 100, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
     """A multilayer perceptron on scaled numbers, one-hot entities, or both; unseen entities are zero vectors."""
     def prepared(df: DataFrame) -> DataFrame:
         return scale(impute(train, train, numeric), impute(train, df, numeric), numeric) if numeric else df
@@ -192,12 +193,23 @@ def two_stage(train: DataFrame, test: DataFrame, id_: str, label: str, first: Fi
 
 
 def segment_models(train: DataFrame, test: DataFrame, segment: str, label: str, fit: Fit, least_train: int = 30, least_test: int = 10) -> DataFrame:
-    """(segment, metrics) of one model for each value with rows and classes enough in both parts."""
+    """(segment, metrics) of one model for each value with rows and classes enough in both parts.
+
+    Fits that are ``Linear`` are made for all values at once, others one after another.
+    """
     def fine(df: DataFrame, least: int) -> DataFrame:
         g = df.groupBy(segment).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k"))
         return g.filter((F.col("n") >= least) & (F.col("k") == 2) & F.col(segment).isNotNull()).select(segment)
 
-    values = [r[0] for r in fine(train, least_train).intersect(fine(test, least_test)).orderBy(segment).collect()]
+    common = fine(train, least_train).intersect(fine(test, least_test))
+    if isinstance(fit, Linear):
+        both = train.select(segment, label, *fit.columns, F.lit("train").alias("role")).unionByName(test.select(segment, label, *fit.columns, F.lit("validation").alias("role")))
+        rows = written(both.join(common, segment).withColumn("_id", F.monotonically_increasing_id()))
+        if rows.isEmpty():
+            raise ValueError("no segment has rows and classes enough")
+        manifest = rows.select(F.lit("segment").alias("mode"), F.col(segment).alias("fold"), "role", F.col("_id").alias("id"))
+        return metric_bundle(validate_all(rows, manifest, "_id", label, {"fit": fit}).withColumnRenamed("fold", segment), "label", "probability", [segment])
+    values = [r[0] for r in common.orderBy(segment).collect()]
     parts = []
     for v in values:
         out = fit(train.filter(F.col(segment) == v))(test.filter(F.col(segment) == v))
@@ -207,15 +219,27 @@ def segment_models(train: DataFrame, test: DataFrame, segment: str, label: str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def cross_validate(df: DataFrame, manifest: DataFrame, id_: str, label: str, candidates: Mapping[str, Fit]) -> DataFrame:
-    """(mode, fold, candidate, id, label, probability): each candidate fitted on every fold's train rows alone."""
-    folds = [tuple(r) for r in manifest.select("mode", "fold").distinct().orderBy("mode", "fold").collect()]
+def cross_validate(df: DataFrame, manifest: DataFrame, id_: str, label: str, candidates: Mapping[str, Fit], pairs: Sequence[tuple[tuple, str]] | None = None) -> DataFrame:
+    """(mode, fold, candidate, id, label, probability): each candidate fitted on every fold's train rows alone.
+
+    ``Linear`` candidates of all folds are fitted at once, others one after another. ``pairs`` ((mode, fold), candidate)
+    are those to fit; all if not given.
+    """
+    linear = {n: fit for n, fit in candidates.items() if isinstance(fit, Linear)}
+    wanted = lambda fold, name: pairs is None or (fold, name) in pairs
     parts = []
+    if linear and (pairs is None or any(name in linear for _, name in pairs)):
+        parts.append(validate_all(df, manifest, id_, label, linear, None if pairs is None else [p for p in pairs if p[1] in linear]))
+    others = {n: fit for n, fit in candidates.items() if n not in linear}
+    folds = [tuple(r) for r in manifest.select("mode", "fold").distinct().orderBy("mode", "fold").collect()] if others else []
     for mode, fold in folds:
         here = manifest.filter((F.col("mode") == mode) & (F.col("fold") == fold))
+        fits = {n: fit for n, fit in others.items() if wanted((mode, fold), n)}
+        if not fits:
+            continue
         ids = {role: here.filter(F.col("role") == role).select(F.col("id").alias(id_)) for role in ("train", "validation")}
         train, held = (written(df.join(ids[r], id_, "left_semi")) for r in ("train", "validation"))
-        for name, fit in candidates.items():
+        for name, fit in fits.items():
             out = fit(train)(held).select(F.lit(mode).alias("mode"), F.lit(fold).alias("fold"), F.lit(name).alias("candidate"), F.col(id_).alias("id"), F.col(label).alias("label"), "probability")
             parts.append(out)
     return reduce(DataFrame.unionByName, parts)
@@ -236,15 +260,18 @@ def choose(scores: DataFrame, by: Sequence[str] = ("mode",)) -> DataFrame:
 def nested_validate(df: DataFrame, outer: DataFrame, inner: Callable[[DataFrame], DataFrame], id_: str, label: str, candidates: Mapping[str, Fit], keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """Outer predictions of the candidate that inner folds of the outer train rows chose.
 
-    ``keep`` stores each choice (e.g. writes and rereads it) before the outer fold is scored.
+    The inner folds of all outer folds are validated together. ``keep`` stores the table (mode, candidate, auc, brier) of choices,
+    ``mode`` being the number of the outer fold (e.g. writes and rereads it), before any outer fold is scored.
     """
-    parts = []
-    for mode, fold in [tuple(r) for r in outer.select("mode", "fold").distinct().orderBy("mode", "fold").collect()]:
+    folds = [tuple(r) for r in outer.select("mode", "fold").distinct().orderBy("mode", "fold").collect()]
+    manifests = []
+    for k, (mode, fold) in enumerate(folds):
         here = outer.filter((F.col("mode") == mode) & (F.col("fold") == fold))
         train = df.join(here.filter("role = 'train'").select(F.col("id").alias(id_)), id_, "left_semi")
-        chosen = keep(choose(fold_scores(cross_validate(train, inner(train), id_, label, candidates)), ("mode",))).first()["candidate"]
-        parts.append(cross_validate(df, here, id_, label, {chosen: candidates[chosen]}))
-    return reduce(DataFrame.unionByName, parts)
+        manifests.append(inner(train).select(F.concat(F.lit(f"{k}|"), F.col("mode").cast("string")).alias("mode"), "fold", "role", "id"))
+    scores = fold_scores(cross_validate(df, written(reduce(DataFrame.unionByName, manifests)), id_, label, candidates))
+    chosen = keep(choose(scores.withColumn("mode", F.substring_index("mode", "|", 1)), ("mode",))).collect()  # one row per outer fold
+    return cross_validate(df, outer, id_, label, candidates, [(folds[int(r["mode"])], r["candidate"]) for r in chosen])
 
 
 def holdout(train: DataFrame, test: DataFrame, id_: str, label: str, manifest: DataFrame, candidates: Mapping[str, Fit], reference: str, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
