@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import entity_key, hash_order, pair_key
 from tessera.operators.checks import require_unique
 from tessera.operators.prefix import ordinal
+from tessera.sources.scratch import written
 
 
 def temporal_role(year: Column, cutoff: int) -> Column:
@@ -53,6 +55,73 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: str) -> Dat
     return sizes.select(group, "stratum", "n", F.when(forth, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
+def _numbered(df: DataFrame, by: Sequence[str], hashed: str, ties: Sequence[str], buckets: int = 64) -> DataFrame:
+    """``df`` with ``_i``, the place (from 0) of each row in its group in the order of a 32-bit hash.
+
+    A group is cut into equal ranges of the hash, each numbered on its own and moved on by the sizes of those before.
+    """
+    cut = df.withColumn("_b", F.floor(F.col(hashed) / (2**32 // buckets)))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(hashed, *ties))
+    before = F.sum("_m").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cut.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_m")).select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    placed = cut.withColumn("_p", inside).join(offsets, [*by, "_b"])
+    return placed.withColumn("_i", F.col("_p") - 1 + F.col("_o")).drop("_b", "_p", "_o")
+
+
+def deal_profiles(profiles: Sequence[tuple[int, int, int]], k: int, singly: int = 5000) -> list[list[int]]:
+    """For each (negatives, positives, groups) how many of its groups each of ``k`` folds gets.
+
+    Profiles whose classes are least even come first, then large ones. Groups go one by one where the folds' shares of each
+    class then vary least, of equals to the smallest fold. Of a profile of more than ``singly`` groups those beyond are dealt
+    out evenly, but for the last few: by then the folds are as even as such groups make them.
+    """
+    totals = [max(1, sum(p[c] * p[2] for p in profiles)) for c in (0, 1)]
+    held = [[0, 0] for _ in range(k)]
+    out = [[0] * k for _ in profiles]
+
+    def add(i: int, fold: int, times: int) -> None:
+        held[fold][0] += profiles[i][0] * times
+        held[fold][1] += profiles[i][1] * times
+        out[i][fold] += times
+
+    def spread(i: int, fold: int) -> float:
+        total = 0.0
+        for c in (0, 1):
+            shares = [(h[c] + (profiles[i][c] if f == fold else 0)) / totals[c] for f, h in enumerate(held)]
+            mean = sum(shares) / k
+            total += math.sqrt(sum((x - mean) ** 2 for x in shares) / k)
+        return total
+
+    for i in sorted(range(len(profiles)), key=lambda i: (-abs(profiles[i][0] - profiles[i][1]), -sum(profiles[i][:2]), profiles[i])):
+        evenly = max(0, profiles[i][2] - singly) // k
+        for step in range(profiles[i][2] - evenly * k):
+            add(i, min(range(k), key=lambda f: (round(spread(i, f), 12), sum(held[f]), f)), 1)  # noqa: B023
+            if step == singly - 1:
+                for f in range(k):
+                    add(i, f, evenly)
+    return out
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: str) -> DataFrame:
+    """(group, n, positives, fold): no group is split, and the folds' shares of both classes are as even as a greedy deal makes them.
+
+    Groups with as many negatives and positives are alike, so what is dealt is the table of such profiles, one row for
+    many groups; it comes to the driver. Groups take their profile's folds in a seeded order. Labels other than 0 and 1 count for nothing;
+    a null group is a group.
+    """
+    sizes = df.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("_neg"), F.count_if(F.col(label) == 1).alias("positives"), F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes.withColumn("_h", F.coalesce(hash_order(F.col(group), seed), F.lit(0).cast("long"))))
+    profiles = [tuple(r) for r in sizes.groupBy("_neg", "positives").agg(F.count(F.lit(1))).orderBy("_neg", "positives").collect()]
+    if not profiles:
+        return sizes.select(group, "n", "positives", F.lit(0).alias("fold"))
+    rows = []
+    for (neg, pos, _), quota in zip(profiles, deal_profiles(profiles, k), strict=True):
+        rows += [(neg, pos, f, sum(quota[:f]), sum(quota[: f + 1])) for f in range(k) if quota[f]]
+    quotas = df.sparkSession.createDataFrame(rows, "_neg long, positives long, fold int, _from long, _to long")
+    placed = _numbered(sizes, ["_neg", "positives"], "_h", [group])
+    return placed.join(quotas, ["_neg", "positives"]).filter((F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_to"))).select(group, "n", "positives", "fold")
+
+
 def inner_boundaries(df: DataFrame, year: str) -> DataFrame:
     """(boundary): the years at rows n/2 and 3n/4 in order of years, each once, from counts per year."""
     per_year = df.filter(F.col(year).isNotNull()).groupBy(year).agg(F.count(F.lit(1)).alias("n"))
@@ -85,24 +154,33 @@ def chronological_split(df: DataFrame, id_: str, year: str, label: str, share: f
 def class_limit(df: DataFrame, id_: str, label: str, n: int) -> DataFrame:
     """The first ``n`` rows by id where these hold two classes, else the first ``n`` / 2 of each class.
 
-    All rows where that gives no two classes either. Ids may be text. Nulls are no class.
+    All rows where that gives no two classes either. Ids may be text; those without come first. Nulls are no class. Tasks keep
+    their own first rows, in all or of each class, so no more than these are exchanged.
     """
-    first = ordinal(df, [], id_, "_n").filter(F.col("_n") <= n).drop("_n")
+    first = df.orderBy(F.col(id_).asc_nulls_first()).limit(n)
     if first.agg(F.count_distinct(label)).first()[0] > 1 or df.count() <= n:
         return first
     if n < 2 or df.agg(F.count_distinct(label)).first()[0] < 2:
         return df
-    return ordinal(df.filter(F.col(label).isNotNull()), [label], id_, "_n").filter(F.col("_n") <= n // 2).drop("_n")
+    return _first_of_each(df.filter(F.col(label).isNotNull()), [label], [F.col(id_).asc_nulls_first()], n // 2)
+
+
+def _first_of_each(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group: Spark limits groups in the tasks before it exchanges them."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
 def review_sample(df: DataFrame, id_: str, by: Sequence[str], each: int, total: int, seed: str) -> DataFrame:
-    """``each`` rows per group, then others up to ``total``, in a seeded order."""
+    """``each`` rows per group, then others up to ``total``, in a seeded order.
+
+    The others are among the first ``total`` rows of the order, so tasks send ``each`` rows a group and ``total`` in all at most.
+    """
     hashed = df.withColumn("_h", hash_order(F.col(id_), seed))
-    placed = ordinal(hashed, list(by), "_h", "_n", ties=[id_])
-    first = placed.filter(F.col("_n") <= each)
-    rest = placed.join(first.select(id_), id_, "left_anti").orderBy("_h", id_)
+    first = written(_first_of_each(hashed, list(by), [F.col("_h"), F.col(id_)], each))
     room = max(0, total - first.count())
-    return first.unionByName(rest.limit(room)).drop("_h", "_n")
+    leading = hashed.orderBy("_h", id_).limit(total)
+    rest = leading.join(first.select(id_), id_, "left_anti").orderBy("_h", id_).limit(room).select(*hashed.columns)
+    return first.unionByName(rest).drop("_h")
 
 
 def review_queue(sample: DataFrame, labels: Sequence[str], id_: str, url: str, blanks: Sequence[str]) -> tuple[DataFrame, DataFrame]:

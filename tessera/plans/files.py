@@ -96,3 +96,12 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = io.fingerprint(spark, [path]).filter(~F.col("path").contains("_SUCCESS")).select(F.regexp_extract("path", "/([01])/", 1).alias("path"), "sha256")
     found = io.changed_files(now, io.read_csv(spark, path + "-saved", "path string, sha256 string"))
     return found.agg(F.count(F.lit(1)).alias("n")).select(F.lit("files").alias("kind"), "n")
+
+
+@query("WITH x AS (SELECT r_name AS column, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 HAVING count(*) > 1) SELECT * FROM x")
+def duplicate_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the header of a CSV file repeats; the header is the region of each nation."""
+    path = scratch_path(spark, "header")
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named.agg(F.array_join(F.collect_list("r_name"), ",")).write.text(path)
+    return io.duplicate_headers(spark, path)

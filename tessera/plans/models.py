@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import models as M
+from tessera.operators.batched import Linear
 from tessera.operators.splits import expanding_folds, stratified_folds
-from tessera.plans.base import cohort, query
+from tessera.operators.textmodel import text_fitter
+from tessera.plans.base import cohort, query, table
 from tessera.sources.scratch import written
 
 _X = ["p", "x1", "x2", "x3", "x4"]
@@ -58,7 +60,7 @@ def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _parts(spark, sf_dir)
     kinds = {"numeric": (["p", "x2"], []), "entity": ([], ["drug", "target"]), "both": (["p", "x2"], ["drug", "target"])}
-    parts = [M.perceptron(train, "label", n, e, iterations=15)(test).select(F.lit(k).alias("inputs"), "id", "label", "probability") for k, (n, e) in kinds.items()]
+    parts = [M.perceptron(train, "label", n, e)(test).select(F.lit(k).alias("inputs"), "id", "label", "probability") for k, (n, e) in kinds.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -121,10 +123,23 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def segment_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _parts(spark, sf_dir)
-    return M.segment_models(train, test, "drug", "label", M.fitter(M.logistic, _X, "label"))
+    return M.segment_models(train, test, "drug", "label", Linear(tuple(_X)))
 
 
-_CANDIDATES = {"wide": M.fitter(M.logistic, _X, "label"), "narrow": M.fitter(M.logistic, ["x2"], "label")}
+#: Two penalties for each of six: column sets, with and without scaling, and with balanced classes.
+_CANDIDATES = {
+    f"{name}_c{c}": Linear(tuple(columns), c, **options)
+    for name, columns, options in (
+        ("wide", _X, {}), ("narrow", ["x2"], {}), ("scores", ["p", "x2"], {}), ("wide_scaled", _X, {"scaled": True}), ("evidence_scaled", ["x1", "x3", "x4"], {"scaled": True}), ("wide_balanced", _X, {"scaled": True, "balanced": True}),
+    )
+    for c in (0.03, 1.0)
+}
+
+
+def _rotated(parts: DataFrame, mode: str, k: int) -> DataFrame:
+    """A manifest in which each of ``k`` parts is validated by the others."""
+    each = parts.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"), "id", "fold")
+    return each.select(F.lit(mode).alias("mode"), F.col("k").alias("fold"), F.when(F.col("k") == F.col("fold"), "validation").otherwise("train").alias("role"), "id")
 
 
 @query()
@@ -137,15 +152,21 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _parts(spark, sf_dir)
-    outer = expanding_folds(train, "id", "year", [(1998, 1998), (1999, 1999)])
-    return M.nested_validate(train, outer, lambda t: expanding_folds(t, "id", "year", [(1997, 1997)]), "id", "label", _CANDIDATES)
+    outer = expanding_folds(train, "id", "year", [(1997, 1997), (1998, 1998), (1999, 1999)])
+    grouped = stratified_folds(train, "id", "label", 3, "outer")
+    outer = outer.unionByName(_rotated(grouped, "stratified", 3))
+
+    def inner(t: DataFrame) -> DataFrame:
+        return _rotated(stratified_folds(t, "id", "label", 3, "inner"), "inner", 3)
+
+    return M.nested_validate(train, written(outer), inner, "id", "label", _CANDIDATES)
 
 
 @query()
 def holdout_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _parts(spark, sf_dir)
     folds = expanding_folds(train, "id", "year", [(1998, 1999)])
-    return M.holdout(train, test, "id", "label", folds, _CANDIDATES, "narrow")
+    return M.holdout(train, test, "id", "label", folds, _CANDIDATES, "narrow_c1.0")
 
 
 @query()
@@ -191,8 +212,39 @@ def evidence_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def shuffled_folds_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _parts(spark, sf_dir)
-    parts = stratified_folds(train, "id", "label", 3, "cv")
-    manifest = parts.select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "id", "fold").select(
-        F.lit("stratified").alias("mode"), F.col("k").alias("fold"), F.when(F.col("k") == F.col("fold"), "validation").otherwise("train").alias("role"), "id"
-    )
-    return M.fold_scores(M.cross_validate(train, manifest, "id", "label", {"wide": _CANDIDATES["wide"]}))
+    manifest = _rotated(stratified_folds(train, "id", "label", 3, "cv"), "stratified", 3)
+    return M.fold_scores(M.cross_validate(train, manifest, "id", "label", _CANDIDATES))
+
+
+#: Text by itself and beside numbers, with the penalties of the text candidates; numbers alone are the reference.
+_TEXT = {
+    "numeric_reference": Linear(("n_chars", "lines", "digits"), 0.3, scaled=True, label="quality"),
+    "text_only_c10": text_fitter("quality", "text", c=10.0),
+    "text_numeric_c1": text_fitter("quality", "text", ("n_chars", "lines", "digits"), c=1.0),
+    "text_numeric_c10": text_fitter("quality", "text", ("n_chars", "lines", "digits"), c=10.0),
+}
+
+
+def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = docs.withColumn("lines", F.size(F.split("text", "\n"))).withColumn("digits", F.length(F.regexp_replace("text", "[^0-9]", "")) / F.col("n_chars"))
+    return written(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+
+
+@query()
+def text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document scored by a model over terms and numbers that did not see it."""
+    return M.out_of_fold(_labelled_texts(spark, sf_dir), "doc_id", "quality", _TEXT["text_numeric_c1"], 3).select("doc_id", "quality", "probability")
+
+
+@query()
+def text_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _TEXT["text_numeric_c10"](_labelled_texts(spark, sf_dir))
+    return M.top_coefficients(model, model.names, spark)
+
+
+@query()
+def text_nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled_texts(spark, sf_dir)
+    outer = written(_rotated(stratified_folds(rows, "doc_id", "quality", 2, "outer").withColumnRenamed("doc_id", "id"), "stratified", 2))
+    return M.nested_validate(rows, outer, lambda t: _rotated(stratified_folds(t, "doc_id", "quality", 2, "inner").withColumnRenamed("doc_id", "id"), "inner", 2), "doc_id", "quality", _TEXT)

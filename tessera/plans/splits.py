@@ -30,10 +30,15 @@ def rolling_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.expanding_folds(_known(spark, sf_dir), "id", "year", _WINDOWS)
 
 
-@query(_FOLDS + "SELECT mode, fold, role, count(*) AS n, 1::BIGINT AS classes FROM m WHERE id % 2 = 0 AND false GROUP BY ALL")
+#: Windows of which the first has one year to train on and the last is past the end; parts by priority lack a class or rows.
+_GUARDED = """, w(fold, a, b) AS (VALUES (0, 1993, 1993), (1, 1996, 1997), (2, 1998, 1999)), k AS (SELECT id, year, label FROM c WHERE label >= 0 AND price > 250000 AND (label = 0 OR year > 1993 OR price > 500000)),
+  m AS (SELECT 'temporal' AS mode, fold, CASE WHEN year < a THEN 'train' ELSE 'validation' END AS role, id, label FROM k JOIN w ON year <= b) """
+
+
+@query(_GUARDED + "SELECT mode, fold, role, count(*) AS n, count(DISTINCT label) AS classes FROM m GROUP BY ALL HAVING count(*) < 1000 OR count(DISTINCT label) < 2")
 def fold_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _known(spark, sf_dir)
-    return X.fold_guard(X.expanding_folds(c, "id", "year", _WINDOWS), c, "id", "label")
+    c = _known(spark, sf_dir).filter("price > 250000 AND (label = 0 OR year > 1993 OR price > 500000)")
+    return X.fold_guard(X.expanding_folds(c, "id", "year", [(1993, 1993), (1996, 1997), (1998, 1999)]), c, "id", "label", 1000)
 
 
 @query(" SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('f:' || id::VARCHAR), 1, 8))::BIGINT, id) - 1) % 5)::INT AS fold FROM c WHERE label >= 0")
@@ -50,6 +55,11 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.group_folds(_known(spark, sf_dir), "customer", "label", 3, "g")
 
 
+@query()
+def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.stratified_group_folds(_known(spark, sf_dir), "customer", "label", 3, "g")
+
+
 @query(", s AS (SELECT year, row_number() OVER (ORDER BY year) - 1 AS i, count(*) OVER () AS n FROM c WHERE year IS NOT NULL) SELECT DISTINCT year AS boundary FROM s WHERE i = n // 2 OR i = 3 * n // 4")
 def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.inner_boundaries(cohort(spark, sf_dir), "year")
@@ -89,6 +99,11 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.review_queue(review_sample(spark, sf_dir), ["label"], "id", "https://example.org/", ["reviewer", "verdict"])[0]
 
 
+@query(_SAMPLE + "SELECT id, label FROM f UNION ALL SELECT id, label FROM r")
+def review_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.review_queue(review_sample(spark, sf_dir), ["label"], "id", "https://example.org/", ["reviewer", "verdict"])[1]
+
+
 @query(" SELECT id, label, CASE WHEN drug = 'unmapped' THEN 'unknown' ELSE lower(drug) END AS drug, lower(target) AS target, CASE WHEN drug = 'unmapped' THEN 'unknown' ELSE lower(drug) END || ' | ' || lower(target) AS pair FROM c WHERE year <= 1999 AND label >= 0")
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cohort(spark, sf_dir).select("id", "year", "label", "drug", "target")

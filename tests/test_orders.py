@@ -115,3 +115,46 @@ def test_tfidf_against_plain_python(spark):
         want |= {(i, t): 2 * v / norm for t, v in x.items()}
     got = {(r.id, r.term): r.weight for r in text.tfidf(spark.createDataFrame(docs, "id int, text string"), "id", "text", top=6, stop_words=stops, weight=2.0).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_stratified_group_folds_are_as_even_as_a_greedy_deal(spark, seed):
+    import random
+    import statistics
+
+    r = random.Random(seed)
+    groups = {f"g{i}": (r.choice([1, 1, 1, 2, 5, 30]), r.random()) for i in range(150)}
+    data = [(g, int(r.random() < share)) for g, (n, share) in groups.items() for _ in range(n)]
+    df = spark.createDataFrame(data, "g string, y int").repartition(5)
+    got = splits.stratified_group_folds(df, "g", "y", 4, "s").collect()
+    assert sorted(x.g for x in got) == sorted(groups)
+    counts = {g: [0, 0] for g in groups}
+    for g, y in data:
+        counts[g][y] += 1
+    assert all(x.n == sum(counts[x.g]) and x.positives == counts[x.g][1] for x in got)
+
+    def spread(folds):
+        held = [[sum(counts[g][c] for g, f in folds.items() if f == k) for c in (0, 1)] for k in range(4)]
+        totals = [sum(h[c] for h in held) for c in (0, 1)]
+        return sum(statistics.pstdev([h[c] / totals[c] for h in held]) for c in (0, 1))
+
+    # plain greedy over the groups: those whose classes differ most first, each where the shares then vary least
+    totals = [sum(c[k] for c in counts.values()) for k in (0, 1)]
+    held, plain = [[0, 0] for _ in range(4)], {}
+    for g in sorted(counts, key=lambda g: -statistics.pstdev(counts[g])):
+        def after(k, g=g):
+            new = [[h[c] + (counts[g][c] if f == k else 0) for c in (0, 1)] for f, h in enumerate(held)]
+            return sum(statistics.pstdev([h[c] / totals[c] for h in new]) for c in (0, 1)), sum(held[k])
+
+        plain[g] = min(range(4), key=after)
+        for c in (0, 1):
+            held[plain[g]][c] += counts[g][c]
+    assert spread({x.g: x.fold for x in got}) <= spread(plain) * 1.05 + 0.002
+
+
+def test_stratified_group_folds_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, 1), (None, 0), ("a", None), ("b", 1)], "g string, y int")
+    got = {x.g: x.n for x in splits.stratified_group_folds(df, "g", "y", 2, "s").collect()}
+    assert got == {None: 2, "a": 1, "b": 1}
+    assert splits.stratified_group_folds(df.filter("false"), "g", "y", 2, "s").count() == 0
+    assert splits.deal_profiles([(1, 1, 10)], 3) == [[4, 3, 3]] and splits.deal_profiles([(1, 1, 10)], 3, 2) == [[4, 3, 3]] and sum(splits.deal_profiles([(0, 1, 1), (3, 0, 2)], 5)[1]) == 2
