@@ -17,6 +17,9 @@ from tessera.operators.prefix import column_medians
 from tessera.operators.text import Terms, fit_terms, spread, term_weights
 from tessera.sources.scratch import scratch_path
 
+#: Rows that a task of a fit's pass has at least, where there are so many.
+LEAST = 2000
+
 
 @dataclass(frozen=True)
 class Numbers:
@@ -92,7 +95,8 @@ def term_vectors(df: DataFrame, label: str, terms: Terms, numbers: Numbers, text
     path = scratch_path(df.sparkSession, "vectors")
     out = rows.select("label", stored.alias("features"))
     out.write.parquet(path)
-    return df.sparkSession.read.schema(StructType([out.schema["label"], StructField("features", VectorUDT())])).parquet(path)
+    read = df.sparkSession.read.schema(StructType([out.schema["label"], StructField("features", VectorUDT())])).parquet(path)
+    return read.coalesce(max(1, min(read.rdd.getNumPartitions(), read.count() // LEAST)))  # a pass of a fit over few rows costs its tasks
 
 
 def fit_text(train: DataFrame, label: str, text: str, numeric: Sequence[str] = (), c: float = 1.0, min_df: int = 2, top: int = 5000, weight: float = 3.0, stop_words: Sequence[str] | None = None, iterations: int = 200) -> TextModel:

@@ -221,7 +221,6 @@ _TEXT = {
     "numeric_reference": Linear(("n_chars", "lines", "digits"), 0.3, scaled=True, label="quality"),
     "text_only_c10": text_fitter("quality", "text", c=10.0),
     "text_numeric_c1": text_fitter("quality", "text", ("n_chars", "lines", "digits"), c=1.0),
-    "text_numeric_c10": text_fitter("quality", "text", ("n_chars", "lines", "digits"), c=10.0),
 }
 
 
@@ -239,7 +238,7 @@ def text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _TEXT["text_numeric_c10"](_labelled_texts(spark, sf_dir))
+    model = _TEXT["text_numeric_c1"](_labelled_texts(spark, sf_dir))
     return M.top_coefficients(model, model.names, spark)
 
 
