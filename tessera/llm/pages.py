@@ -31,10 +31,13 @@ ZONES = set("nav footer aside form menu button select textarea fieldset dialog".
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = set("article main".split())
 ZONE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|comments?|disqus|respond|repl(?:y|ies)|nav\w*|menu\w*|breadcrumbs?|pag(?:er|ination)|sidebars?|side|aside|widgets?|footer|masthead|topbar|header|related|recommend\w*|share\w*|sharing|social|subscri\w*|newsletter|signup|login|popup|modal|overlay|copyright|legal|skip|toolbar|tags)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|comments?|commentlist|disqus|respond|repl(?:y|ies)|nav\w*|menu\w*|breadcrumbs?|pag(?:er|ination)|sidebars?|aside|widgets?|footer|masthead|topbar|header|related|recommend\w*|share\w*|sharing|social|subscri\w*|newsletter|signup|login|popup|modal|overlay|copyright|legal|skip|toolbar|tags)(?:$|[_-])|^(?:left|right)?[_-]?side$",
     re.I,
 )
 ZONE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Parts of a name that say what a page or its layout has, or hasn't, and not what an element is.
+MODIFIERS = set("has no with without is not show hide hidden".split())
+LAYOUTS = set("layout page template grid".split())
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,7 +50,10 @@ for _n, _words in enumerate(STOP_WORDS.values()):
 LONG, STOPS, LINKS, SHORT = 70, 0.12, 0.33, 200
 
 
-Block = tuple[str, int, bool, int, bool]
+#: What an element is in that isn't main text: a form, something by its name, something by its tag or role.
+FORM, NAMED, TAGGED = 1, 2, 3
+
+Block = tuple[str, int, int, int, bool]
 
 # One token from "<" on: a comment, what browsers treat as one, or a tag with its attributes. No part of
 # a match is given back, so a page is read in time linear in its length.
@@ -66,12 +72,24 @@ def decoded(text: str) -> str:
     return unescape(ENDLESS.sub("\ufffd", text)) if "&" in text else text
 
 
+def names_zone(token: str, in_content: bool) -> bool:
+    """Whether a class or id says that an element isn't main text; in an article a header is part of it."""
+    found = ZONE_NAME.search(token)
+    if not found:
+        return False
+    parts = [x for x in re.split("[_-]+", token.lower()) if x]
+    at = len([x for x in re.split("[_-]+", token[: found.end()].lower()) if x])
+    if parts[-1] in LAYOUTS or any(x in MODIFIERS for x in parts[: max(0, at - 1)]):
+        return False
+    return not (in_content and parts[at - 1] == "header")
+
+
 class Blocks:
     """Blocks of a page in order: [text, characters in links, zone, content part, code or table]."""
 
     def __init__(self, html: str) -> None:
         self.out: list[Block] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, skipped, zone, content part
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, zone, content part
         self.count: Counter[str] = Counter()  # open elements by tag
         self.text: list[str] = []
         self.linked = 0
@@ -97,8 +115,8 @@ class Blocks:
         self.data(html[at:])
         self.end_block()
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -122,12 +140,19 @@ class Blocks:
             have.setdefault(name.lower(), decoded("".join(value)))
         named = f"{have.get('class', '')} {have.get('id', '')}".strip()
         hidden = "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "").lower()
-        if tag in CONTENT or (not part and CONTENT_NAME.search(named) and not ZONE_NAME.search(named)):
+        out_of_place = any(names_zone(x, part > 0) for x in named.split())
+        if tag in CONTENT or (not part and CONTENT_NAME.search(named) and not out_of_place):
             self.parts += 1
             part = self.parts
-        out_of_place = tag in ZONES or (tag == "header" and not part) or have.get("role", "").lower() in ZONE_ROLES
-        if tag not in ("html", "body", *CONTENT):
-            zone = zone or out_of_place or bool(named and ZONE_NAME.search(named))
+            if zone == FORM or (zone == NAMED and tag == "main"):  # a form may be around a page, and names around its main part say little
+                zone = 0
+        role = have.get("role", "").lower()
+        if tag == "form" or role == "form":
+            zone = max(zone, FORM)
+        elif tag in ZONES or (tag == "header" and not part) or role in ZONE_ROLES:
+            zone = TAGGED
+        elif out_of_place and tag not in ("html", "body", *CONTENT):
+            zone = max(zone, NAMED)
         self.open.append((tag, skipped or hidden or tag in SKIPPED, zone, part))
         self.count[tag] += 1
 

@@ -203,3 +203,37 @@ def test_long_texts_are_decontaminated_in_pieces(spark):
 
 def re_starts(joined):
     return [k + 1 for k, c in enumerate(joined[:-1]) if c == " "]
+
+
+PROSE = ["The quick fox was in the house and it had been there for a long time with all of its friends and they were happy.", "It is not the case that this was easy for them but they did it in the end and that is what we have to say."]
+OTHER = "Read more of what is in the shop and see all of the offers that we have for you on this day and on the next one."
+ARTICLE = "".join(f"<p>{p}</p>" for p in PROSE)
+#: Pages as site builders make them, with what is main text marked by hand: the prose, and where it says so a title.
+TEMPLATES = {
+    "layout that has a sidebar": (f'<div class="layout has-sidebar"><div id="content">{ARTICLE}</div><div class="sidebar"><p>{OTHER}</p></div></div>', False),
+    "site without a sidebar": (f'<div class="site no-sidebar"><article>{ARTICLE}</article></div>', False),
+    "page with comments": (f'<div class="single with-comments"><article>{ARTICLE}</article><div class="comments"><p>{OTHER}</p></div></div>', False),
+    "side by side": (f'<article><div class="side-by-side">{ARTICLE}</div></article>', False),
+    "form around main": (f'<form id="aspnetForm"><main>{ARTICLE}</main></form>', False),
+    "form around content": (f'<form id="form1"><div id="content">{ARTICLE}</div><div class="footer"><p>{OTHER}</p></div></form>', False),
+    "title in an entry header": (f'<article><div class="entry-header"><h1>A title</h1></div>{ARTICLE}</article>', True),
+    "title in a header": (f"<article><header><h1>A title</h1></header>{ARTICLE}</article>", True),
+    "comments in a list": (f'<article>{ARTICLE}</article><ol class="commentlist"><li><p>{OTHER}</p></li></ol>', False),
+    "comments in the article": (f'<article>{ARTICLE}<ol class="comment-list"><li><p>{OTHER}</p></li></ol></article>', False),
+    "comments as articles": (f'<article>{ARTICLE}</article><section id="comments"><article class="comment"><p>{OTHER}</p></article></section>', False),
+    "related articles": (f'<article>{ARTICLE}</article><section class="related-posts"><article><p>{OTHER}</p></article></section>', False),
+    "layout with the sidebar's side": (f'<div class="sidebar-right-layout"><main>{ARTICLE}</main><aside><p>{OTHER}</p></aside></div>', False),
+    "named wrapper around main": (f'<div class="site-header-overlay"><main>{ARTICLE}</main></div><div class="cookie-notice"><p>{OTHER}</p></div>', False),
+    "comment form": (f'<main>{ARTICLE}<form class="comment-form"><p>{OTHER}</p></form></main>', False),
+    "newsletter in the article": (f'<article>{ARTICLE}<div class="newsletter-signup"><p>{OTHER}</p></div></article>', False),
+    "left side": (f'<div id="left-side"><p>{OTHER}</p></div><div class="post">{ARTICLE}</div>', False),
+    "banner by role": (f'<div role="banner"><p>{OTHER}</p></div><div role="main" class="main">{ARTICLE}</div>', False),
+    "article in an aside": (f"<main>{ARTICLE}</main><aside><article><p>{OTHER}</p></article></aside>", False),
+    "promoted box": (f'<div class="entry">{ARTICLE}<div class="promo-box"><p>{OTHER}</p></div></div>', False),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_main_text_of_common_templates(name):
+    html, titled = TEMPLATES[name]
+    assert main_text(f"<html><body><nav><a href=x>{OTHER}</a></nav>{html}</body></html>") == (["A title"] if titled else []) + PROSE
