@@ -2,8 +2,9 @@
 
 Dictionaries are the user's: lists of (pattern, value...) in order of preference. Up to
 ``INLINE`` entries they become a literal array and the match stays in the scan's stage.
-Tables of patterns are broadcast up to ``SMALL`` rows, which are counted; larger ones are
-joined on the first characters of what is contained. Empty patterns match nothing.
+Tables of patterns are broadcast up to ``SMALL`` rows, which are counted; larger ones go to the tasks as an index
+(``dictionary``), and those too large for that are joined on the first characters of what is
+contained. Empty patterns match nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import any_of
+from tessera.operators.dictionary import MOST, MOST_BYTES, Dictionary, pattern_hits
 
 INLINE = 1000
 SMALL = 500
@@ -39,16 +41,34 @@ def longest_match(text: Column, patterns: Sequence[str], values: Sequence[str] |
     return first_match(text, [p for p, _ in pairs], [v for _, v in pairs], default)
 
 
+def dictionary_of(b: DataFrame, part: str) -> tuple[list[str], Dictionary] | None:
+    """The distinct values of ``part`` in order, and their index; None if they are too many or too long for one."""
+    size = b.select(part).distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(part)).alias("bytes")).first()
+    if size["n"] > MOST or (size["bytes"] or 0) > MOST_BYTES:
+        return None
+    parts = sorted(r[0] for r in b.select(part).distinct().collect())
+    return parts, Dictionary.of([p.encode() for p in parts])
+
+
 def containing(a: DataFrame, text: str, b: DataFrame, part: str) -> DataFrame:
     """Rows of ``a`` and ``b`` where ``text`` contains ``part``, which is not empty; no column name may be in both.
 
-    A small ``b`` is broadcast. Otherwise the first GRAM characters of ``part`` (all of a shorter
+    A small ``b`` is broadcast. One that fits into a ``Dictionary`` is looked up in the tasks, and only rows
+    of ``a`` with what they contain meet ``b``. Beyond that the first GRAM characters of ``part`` (all of a shorter
     one) meet the distinct grams of ``text`` in an equi-join.
     """
     held = F.contains(text, part)
     b = b.filter(F.col(part) != "")
     if b.limit(SMALL + 1).count() <= SMALL:
         return a.join(F.broadcast(b), held)
+    found = dictionary_of(b, part)
+    if found is not None:
+        parts, index = found
+        numbers = a.sparkSession.createDataFrame(list(enumerate(parts)), f"_k int, `{part}` string")
+        rows = a.select(F.struct("*").alias("_a"), F.col(text).alias("_t"))
+        hit = pattern_hits(rows, "_t", index, "_hits").select("_a", F.explode("_hits").alias("_k"))
+        held_by = b.select(F.struct(*b.columns).alias("_b"), F.col(part).alias("_p")).join(numbers.toDF("_k", "_p"), "_p").drop("_p")
+        return hit.join(held_by, "_k").select("_a.*", "_b.*")
 
     def grams(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
@@ -58,12 +78,27 @@ def containing(a: DataFrame, text: str, b: DataFrame, part: str) -> DataFrame:
     return a.withColumn("_gram", F.explode(every)).join(headed, (F.col("_gram") == F.col("_head")) & held).drop("_gram", "_head")
 
 
-def match_table(df: DataFrame, id_: str, text: str, patterns: DataFrame) -> DataFrame:
-    """(id, value) by a dictionary table (pos, pattern, value): the first pattern contained."""
-    named = patterns.select("pos", F.lower("pattern").alias("_p"), "value")
-    hits = containing(df.select(id_, F.lower(F.coalesce(text, F.lit(""))).alias("_t")), "_t", named, "_p")
-    best = hits.groupBy(id_).agg(F.min(F.struct("pos", "value")).alias("_b")).select(id_, F.col("_b.value").alias("value"))
-    return df.select(id_).join(best, id_, "left")
+def match_table(df: DataFrame, id_: str, text: str, patterns: DataFrame, longest: bool = False) -> DataFrame:
+    """(id, value) by a dictionary table (pos, pattern, value): the first pattern contained, or the longest (then the first).
+
+    With up to MOST patterns a row finds the best of those it contains by itself, whatever their number; no row is grouped.
+    """
+    order = [F.col("pos")] if not longest else [-F.length("_p"), F.col("pos")]
+    named = patterns.select("pos", F.lower("pattern").alias("_p"), "value").filter("_p <> ''")
+    lowered = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    best_of = named.groupBy("_p").agg(F.min(F.struct(F.struct(*order).alias("order"), "value")).alias("_b"))
+    count = named.limit(MOST + 1).count()
+    found = dictionary_of(named, "_p") if SMALL < count <= MOST else None
+    if found is None:
+        hits = containing(df.select(id_, lowered.alias("_t")), "_t", best_of, "_p")
+        best = hits.groupBy(id_).agg(F.min("_b").alias("_b")).select(id_, F.col("_b.value").alias("value"))
+        return df.select(id_).join(best, id_, "left")
+    ranked = best_of.select("_p", "_b.order", "_b.value").collect()  # as many as the dictionary has
+    ranked.sort(key=lambda r: tuple(r["order"]))
+    index = Dictionary.of([r["_p"].encode() for r in ranked])  # numbers in order of preference
+    values = df.sparkSession.createDataFrame([(i, r["value"]) for i, r in enumerate(ranked)], f"_k int, value {named.schema['value'].dataType.simpleString()}")
+    hit = pattern_hits(df.select(id_, lowered.alias("_t")), "_t", index, "_hits").select(id_, F.get("_hits", F.lit(0)).alias("_k"))
+    return hit.join(values, "_k", "left").select(id_, "value")
 
 
 def mixed_match(df: DataFrame, rules: DataFrame, on: str, text: str, out: str, default: float) -> DataFrame:

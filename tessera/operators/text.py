@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-import json
 import math
-import zlib
-from collections.abc import Callable, Sequence
+import re
+from collections import Counter
+from collections.abc import Container, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tessera.functions.columns import any_of, count_of
+from tessera.sources.arrow import map_arrow
+
+#: A word of TF-IDF, and how many terms a task counts at a time.
+WORD = re.compile(r"\w\w+")
+HELD = 300_000
 
 # Words of the endpoint classifier, of its result-title variant, and codes.
 SURVIVAL = ("overall survival", "mortality", "time to death")
@@ -92,37 +101,20 @@ def completed_without_results(status: Column, posted: Column) -> Column:
     return ((status == "COMPLETED") & (posted.isNull() | (posted == ""))).cast("int")
 
 
-def tokens(text: Column, stop_words: Sequence[str]) -> Column:
-    """Lower-cased runs of two or more word characters, without stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, wherever the optimizer moves the whole."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def term_counts(words: Column) -> Column:
-    """Distinct uni- and bigrams of an array of words as structs (term, tf) in order of the term, counted within the row."""
-
-    def grams(w: Column) -> Column:
-        first = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
-        return F.sort_array(F.concat(w, F.transform(first, lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))))
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-        return _let(starts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).alias("tf"))))
-
-    return _let(words, lambda w: _let(grams(w), runs))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores where a small table has fewer; for work that is dear by the row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def term_counts(text: str, stop_words: Container[str]) -> Counter[str]:
+    """How often a text has each word, lower-cased, of two or more word characters that is no stop word, and each two such words in a row."""
+    words = [w for w in WORD.findall(text.lower()) if w not in stop_words]
+    out = Counter(words)
+    out.update(map(" ".join, pairwise(words)))
+    return out
+
+
 @dataclass(frozen=True)
 class Terms:
     """A vocabulary with its weights, learned from some rows; a term's place is its index."""
@@ -131,28 +123,37 @@ class Terms:
     idf: tuple[float, ...]
     stop_words: tuple[str, ...]
 
-    def lookup(self, term: Column) -> Column:
-        """The struct (t, i, w) of ``term``, null where it is none: a constant hash table, which Catalyst folds from one literal."""
-        size = 1 << max(1, 2 * len(self.terms) - 1).bit_length()
-        slots: list[list[dict]] = [[] for _ in range(size)]
-        for i, (t, w) in enumerate(zip(self.terms, self.idf, strict=True)):
-            slots[zlib.crc32(t.encode()) % size].append({"t": t, "i": i, "w": w})
-        table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,i:int,w:double>>>")
-        slot = (F.crc32(term) % size).cast("int")
-        return F.get(F.filter(F.get(table, slot), lambda x: x["t"] == term), F.lit(0))
-
 
 def fit_terms(train: DataFrame, text: str, min_df: int = 2, top: int = 5000, stop_words: Sequence[str] | None = None) -> Terms:
     """The vocabulary of ``train`` alone: uni- and bigrams in ``min_df`` rows or more, the ``top`` most frequent, ties by the term.
 
-    A term weighs ln((1 + rows) / (1 + rows with it)) + 1. Terms are counted within their row, so a row sends each
-    of its terms once, and partial sums by term are what is exchanged. The vocabulary, which ``top`` bounds, comes to the driver.
-    Null and empty texts have no terms but count as rows.
+    A term weighs ln((1 + rows) / (1 + rows with it)) + 1. Tasks count terms, up to HELD at a time, so what is exchanged
+    are partial sums by term. The vocabulary, which ``top`` bounds, comes to the driver. Null and empty texts have no
+    terms but count as rows.
     """
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
-    counts = term_counts(tokens(F.col(text), stops))
-    each = spread(train.select(text)).select(F.explode_outer(counts).alias("x")).select("x.*").filter("term IS NOT NULL")  # a plain explode would count twice
-    found = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    known = frozenset(stops)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = Counter[str](), Counter[str]()
+
+        def flush() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array(rows.values(), pa.int64()), pa.array([total[t] for t in rows], pa.int64())], ["term", "df", "total"])
+            rows.clear()
+            total.clear()
+            return found
+
+        for batch in parts:
+            for value in batch.column(0).to_pylist():
+                bag = term_counts(value or "", known)
+                rows.update(bag.keys())
+                total.update(bag)
+                if len(rows) > HELD:
+                    yield flush()
+        yield flush()
+
+    each = map_arrow(spread(train.select(F.col(text).cast("string"))), batches, "term string, df bigint, total bigint")
+    found = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).filter(F.col("df") >= min_df)
     kept = found.orderBy(F.col("total").desc(), "term").limit(top).collect()
     n = train.count()
     return Terms(tuple(r["term"] for r in kept), tuple(math.log((1 + n) / (1 + r["df"])) + 1 for r in kept), tuple(stops))
@@ -164,22 +165,34 @@ def term_weights(df: DataFrame, terms: Terms, text: str, name: str = "weights",
     A row is weighed on its own, by a vocabulary that other rows may have taught: no exchange. Terms that
     the vocabulary lacks count for nothing; a row without any has an empty array.
     """
-
-    def weighed(x: Column) -> Column:
-        return F.struct(x["e"]["i"].alias("index"), x["e"]["t"].alias("term"), ((1 + F.log(x["tf"].cast("double"))) * x["e"]["w"]).alias("weight"))
-
-    def scaled(raw: Column) -> Column:
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
-        return _let(norm, lambda n: F.transform(raw, lambda x: F.struct(x["index"].alias("index"), x["term"].alias("term"), (x["weight"] / n * weight).alias("weight"))))
-
-    met = F.transform(term_counts(tokens(F.col(text), terms.stop_words)), lambda x: F.struct(terms.lookup(x["term"]).alias("e"), x["tf"].alias("tf")))
-    raw = F.array_sort(F.transform(F.filter(met, lambda x: x["e"].isNotNull()), weighed))
-    return df.withColumn(name, _let(raw, scaled))
+    fields = [f.name for f in df.schema]
+    kind = pa.list_(pa.struct([("index", pa.int32()), ("term", pa.string()), ("weight", pa.float64())]))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, known = {t: i for i, t in enumerate(terms.terms)}, frozenset(terms.stop_words)
+        idf, every = np.array(terms.idf), pa.array(terms.terms, pa.string())
+        for batch in parts:
+            index, times, size = [], [], []
+            for value in batch.column("_text").to_pylist():
+                here = sorted((place[t], n) for t, n in term_counts(value or "", known).items() if t in place)
+                index += [i for i, _ in here]
+                times += [n for _, n in here]
+                size.append(len(here))
+            at, size = np.array(index, np.int32), np.array(size, np.int64)
+            raw = (1 + np.log(np.array(times, np.float64))) * idf[at]
+            row = np.repeat(np.arange(len(size)), size)
+            scaled = raw / np.sqrt(np.bincount(row, raw * raw, len(size)))[row] * weight
+            found = pa.StructArray.from_arrays([pa.array(at), every.take(pa.array(at)), pa.array(scaled)], names=["index", "term", "weight"])
+            offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), pa.ListArray.from_arrays(offsets, found).cast(kind)], [*fields, name])
+
+    item = StructType([StructField("index", IntegerType()), StructField("term", StringType()), StructField("weight", DoubleType())])
+    rows = df.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
+    return map_arrow(rows, batches, StructType([*df.schema.fields, StructField(name, ArrayType(item))]))
 
 
 def tfidf(df: DataFrame, id_: str, text: str, min_df: int = 2, top: int = 5000, stop_words: Sequence[str] | None = None, weight: float = 1.0) -> DataFrame:
     """(id, term, weight) of the rows by the vocabulary that they teach themselves; see ``fit_terms`` and ``term_weights``."""
     terms = fit_terms(df, text, min_df, top, stop_words)
     rows = term_weights(spread(df.select(F.col(id_).alias("_id"), F.col(text).alias("_t"))), terms, "_t", "_x", weight)
-    each = rows.select(F.col("_id").alias(id_), F.explode_outer("_x").alias("x")).select(id_, "x.term", "x.weight")
-    return each.filter("term IS NOT NULL")  # a plain explode would weigh twice
+    return rows.select(F.col("_id").alias(id_), F.explode("_x").alias("x")).select(id_, "x.term", "x.weight")

@@ -12,6 +12,7 @@ from tessera.operators import match as M
 from tessera.operators import text as T
 from tessera.operators.evidence import list_join
 from tessera.plans.base import cohort, query, rounded, table
+from tessera.sources.scratch import written
 from tessera.sources.io import studies_of_columns
 
 
@@ -139,6 +140,31 @@ def match_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.match_table(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), words)
 
 
+_WORDS_OF_ITEMS = """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS k FROM benchmark), d AS (SELECT k, row_number() OVER (ORDER BY md5(k), k) AS pos FROM w),
+    h AS (SELECT doc_id, k, pos FROM documents JOIN d ON contains(lower(text), k))"""
+
+
+def _words_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, pattern, value) of the words of the benchmark, some thousands, in an order of their own."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("pattern")).distinct()
+    return written(words.select(F.struct(F.md5("pattern"), F.col("pattern")).alias("pos"), "pattern", F.col("pattern").alias("value")))
+
+
+@query(_WORDS_OF_ITEMS + " SELECT documents.doc_id, first, longest FROM documents LEFT JOIN (SELECT doc_id, arg_min(k, pos) AS first, arg_min(k, (-length(k), pos)) AS longest FROM h GROUP BY doc_id) USING (doc_id)")
+def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the longest entry of a large dictionary that each document contains (J6, J7)."""
+    docs, words = table(spark, sf_dir, "documents"), _words_of_items(spark, sf_dir)
+    first = M.match_table(docs, "doc_id", "text", words).withColumnRenamed("value", "first")
+    return first.join(M.match_table(docs, "doc_id", "text", words, longest=True).withColumnRenamed("value", "longest"), "doc_id")
+
+
+@query(_WORDS_OF_ITEMS + " SELECT k AS pattern, count(*) AS n FROM h GROUP BY k")
+def dictionary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents contain each entry of a large dictionary, of those that any contains."""
+    docs = table(spark, sf_dir, "documents").select(F.lower("text").alias("_t"))
+    return M.containing(docs, "_t", _words_of_items(spark, sf_dir).select("pattern"), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """WITH r(p_type, pos, k, s) AS (VALUES ('ECONOMY', 0, 'ring', 0.9), ('ECONOMY', 1, 'small', 0.7), ('SMALL', 0, 'bolt', 0.6), ('PROMO', 0, 'red', 0.4)),
     h AS (SELECT p_partkey, arg_min(s, pos) AS s FROM part JOIN r USING (p_type) WHERE contains(lower(p_name), k) GROUP BY 1)
@@ -307,8 +333,8 @@ def tfidf_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, known = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id")
     fitted = T.fit_terms(docs.join(known, "doc_id", "left_semi"), "text")
     out = T.term_weights(T.spread(docs).join(known, "doc_id", "left_anti"), fitted, "text", weight=3.0)
-    each = out.select("doc_id", F.explode_outer("weights").alias("x")).select("doc_id", F.col("x.index").cast("long").alias("index"), "x.term", "x.weight")
-    return rounded(each.filter("term IS NOT NULL"), "weight", digits=5)
+    each = out.select("doc_id", F.explode("weights").alias("x")).select("doc_id", F.col("x.index").cast("long").alias("index"), "x.term", "x.weight")
+    return rounded(each, "weight", digits=5)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ def test_weighing_exchanges_nothing(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_counts_leave_tasks_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(t,) for t in sentences(80, 4)], "t string")
+    whole = text.fit_terms(rows, "t", top=70, stop_words=STOPS)
+    monkeypatch.setattr(text, "HELD", 20)
+    assert text.fit_terms(rows, "t", top=70, stop_words=STOPS) == whole
+
+
 def test_no_terms_at_all(spark):
     rows = spark.createDataFrame([(None, 1), ("", 0)], "t string, label int")
     fitted = text.fit_terms(rows, "t")
