@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,10 +35,24 @@ def fold_guard(manifest: DataFrame, labels: DataFrame, id_: str, label: str, lea
     return joined.groupBy("mode", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).filter((F.col("n") < least) | (F.col("classes") < 2))
 
 
+def _numbered(df: DataFrame, by: Sequence[str], hashed: str, ties: Sequence[str], buckets: int = 1024) -> DataFrame:
+    """``df`` with ``_i``, the place (from 0) of each row in its group in the order of a 32-bit hash, nulls first.
+
+    A group is cut into equal ranges of the hash, each numbered on its own and moved on by the sizes of those before.
+    """
+    cut = df.withColumn("_b", F.floor(F.col(hashed) / (2**32 // buckets)))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*[F.col(c).asc_nulls_first() for c in (hashed, *ties)]))
+    before = F.sum("_m").over(Window.partitionBy(*by).orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cut.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_m")).select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_b")]
+    placed = cut.withColumn("_p", inside).alias("l").join(offsets.alias("r"), reduce(Column.__and__, same)).select("l.*", "_o")
+    return placed.withColumn("_i", F.col("_p") - 1 + F.col("_o")).drop("_b", "_p", "_o")
+
+
 def stratified_folds(df: DataFrame, id_: str, label: str, k: int, seed: str) -> DataFrame:
     """(id, label, fold): each class dealt over the folds in a seeded order."""
-    placed = ordinal(df.select(id_, label).withColumn("_h", hash_order(F.col(id_), seed)), [label], "_h", "_n", ties=[id_])
-    return placed.select(id_, label, F.pmod(F.col("_n") - 1, F.lit(k)).cast("int").alias("fold"))
+    placed = _numbered(df.select(id_, label).withColumn("_h", hash_order(F.col(id_), seed)), [label], "_h", [id_])
+    return placed.select(id_, label, F.pmod("_i", F.lit(k)).cast("int").alias("fold"))
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: str) -> DataFrame:
@@ -48,26 +63,16 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: str) -> Dat
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("positives"))
     sizes = sizes.withColumn("stratum", (F.col("positives") * 2 > F.col("n")).cast("int"))
-    ranked = sizes.withColumn("_o", F.struct((-F.col("n")).alias("n"), hash_order(F.col(group), seed).alias("h"), F.col(group).alias("g")))
-    sizes = ordinal(ranked, ["stratum"], "_o", "_i")
-    i = F.col("_i") - 1
+    sizes = written(sizes.withColumn("_h", hash_order(F.col(group), seed)))
+    larger = F.sum("_m").over(Window.partitionBy("stratum").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.groupBy("stratum", "n").agg(F.count(F.lit(1)).alias("_m")).select("stratum", "n", F.coalesce(larger, F.lit(0)).alias("_larger"))
+    same = F.col("l.stratum").eqNullSafe(F.col("r.stratum")) & (F.col("l.n") == F.col("r.n"))
+    sizes = _numbered(sizes, ["stratum", "n"], "_h", [group]).alias("l").join(offsets.alias("r"), same).select("l.*", "_larger")
+    i = F.col("_i") + F.col("_larger")
     forth, place = F.pmod(F.floor(i / k), F.lit(2)) == 0, F.pmod(i, F.lit(k))
     return sizes.select(group, "stratum", "n", F.when(forth, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
-def _numbered(df: DataFrame, by: Sequence[str], hashed: str, ties: Sequence[str], buckets: int = 64) -> DataFrame:
-    """``df`` with ``_i``, the place (from 0) of each row in its group in the order of a 32-bit hash.
-
-    A group is cut into equal ranges of the hash, each numbered on its own and moved on by the sizes of those before.
-    """
-    cut = df.withColumn("_b", F.floor(F.col(hashed) / (2**32 // buckets)))
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(hashed, *ties))
-    before = F.sum("_m").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cut.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_m")).select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_o"))
-    placed = cut.withColumn("_p", inside).join(offsets, [*by, "_b"])
-    return placed.withColumn("_i", F.col("_p") - 1 + F.col("_o")).drop("_b", "_p", "_o")
-
-
 def deal_profiles(profiles: Sequence[tuple[int, int, int]], k: int, singly: int = 5000) -> list[list[int]]:
     """For each (negatives, positives, groups) how many of its groups each of ``k`` folds gets.
 
