@@ -135,19 +135,21 @@ def fit_terms(train: DataFrame, text: str, min_df: int = 2, top: int = 5000, sto
     known = frozenset(stops)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, total = Counter[str](), Counter[str]()
+        rows, more = Counter[str](), Counter[str]()  # rows with a term, and how often it stands in them beyond once
 
         def flush() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array(rows.values(), pa.int64()), pa.array([total[t] for t in rows], pa.int64())], ["term", "df", "total"])
+            found = pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array(rows.values(), pa.int64()), pa.array([n + more[t] for t, n in rows.items()], pa.int64())], ["term", "df", "total"])
             rows.clear()
-            total.clear()
+            more.clear()
             return found
 
         for batch in parts:
             for value in batch.column(0).to_pylist():
                 bag = term_counts(value or "", known)
                 rows.update(bag.keys())
-                total.update(bag)
+                for t, n in bag.items():
+                    if n > 1:
+                        more[t] += n - 1
                 if len(rows) > HELD:
                     yield flush()
         yield flush()
