@@ -205,9 +205,9 @@ def re_starts(joined):
     return [k + 1 for k, c in enumerate(joined[:-1]) if c == " "]
 
 
-PROSE = ["The quick fox was in the house and it had been there for a long time with all of its friends and they were happy.", "It is not the case that this was easy for them but they did it in the end and that is what we have to say."]
+PARAGRAPHS = ["The quick fox was in the house and it had been there for a long time with all of its friends and they were happy.", "It is not the case that this was easy for them but they did it in the end and that is what we have to say."]
 OTHER = "Read more of what is in the shop and see all of the offers that we have for you on this day and on the next one."
-ARTICLE = "".join(f"<p>{p}</p>" for p in PROSE)
+ARTICLE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
 #: Pages as site builders make them, with what is main text marked by hand: the prose, and where it says so a title.
 TEMPLATES = {
     "layout that has a sidebar": (f'<div class="layout has-sidebar"><div id="content">{ARTICLE}</div><div class="sidebar"><p>{OTHER}</p></div></div>', False),
@@ -236,4 +236,4 @@ TEMPLATES = {
 @pytest.mark.parametrize("name", TEMPLATES)
 def test_main_text_of_common_templates(name):
     html, titled = TEMPLATES[name]
-    assert main_text(f"<html><body><nav><a href=x>{OTHER}</a></nav>{html}</body></html>") == (["A title"] if titled else []) + PROSE
+    assert main_text(f"<html><body><nav><a href=x>{OTHER}</a></nav>{html}</body></html>") == (["A title"] if titled else []) + PARAGRAPHS
