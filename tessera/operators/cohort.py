@@ -82,19 +82,23 @@ def flatten_studies(studies: DataFrame, phases: Sequence[str] = ("PHASE2",), typ
 def protocol_text(studies: DataFrame, types: Sequence[str] = ("DRUG", "BIOLOGICAL")) -> DataFrame:
     """(nct_id, structured_text, eligibility_text, protocol_text, protocol_missing) from allowed fields alone.
 
-    Titles, summaries, outcomes, status and results are never read. Types match in exact
+    Conditions and names are joined by `` ; ``, and so is the eligibility to them; what is empty is
+    ``missingprotocol``. Titles, summaries, outcomes, status and results are never read. Types match in exact
     case here. Literal ``\\n`` and ``\\t`` become spaces.
     """
     p = "protocolSection."
-    items = F.transform(F.filter(p + "armsInterventionsModule.interventions", lambda x: x["type"].isin(*types)), lambda x: x["name"])
+    items = F.transform(F.filter(p + "armsInterventionsModule.interventions", lambda x: x["type"].isin(*types)), lambda x: F.coalesce(x["name"], F.lit("")))
     empty = F.array().cast("array<string>")
     parts = F.concat(F.coalesce(F.col(p + "conditionsModule.conditions"), empty), F.coalesce(items, empty))
-    structured = F.array_join(parts, " ")
     clean = F.replace(F.replace(_text(p + "eligibilityModule.eligibilityCriteria"), F.lit("\\n"), F.lit(" ")), F.lit("\\t"), F.lit(" "))
-    out = studies.select(F.col(p + "identificationModule.nctId").alias("nct_id"), structured.alias("structured_text"), clean.alias("eligibility_text"))
-    both = F.trim(F.concat_ws(" ", "structured_text", "eligibility_text"))
-    out = out.withColumn("protocol_missing", (both == "").cast("int"))
-    return out.withColumn("protocol_text", F.when(both == "", "missingprotocol").otherwise(both))
+    out = studies.select(F.col(p + "identificationModule.nctId").alias("nct_id"), F.array_join(parts, " ; ").alias("structured_text"), clean.alias("eligibility_text"))
+    both = F.regexp_replace(F.concat("structured_text", F.lit(" ; "), "eligibility_text"), "^[ ;]+|[ ;]+$", "")
+    missing = ((F.col("structured_text") == "") & (F.col("eligibility_text") == "")).cast("int")
+
+    def filled(c: Column) -> Column:
+        return F.when(c == "", "missingprotocol").otherwise(c)
+
+    return out.select("nct_id", filled(F.col("structured_text")).alias("structured_text"), filled(F.col("eligibility_text")).alias("eligibility_text"), filled(both).alias("protocol_text"), missing.alias("protocol_missing"))
 
 
 def keep_keywords(df: DataFrame, text: str, words: Sequence[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ITEMS = """WITH i AS (SELECT l_orderkey AS id, l_linenumber AS n, CASE l_returnflag WHEN 'A' THEN 'DRUG' WHEN 'N' THEN 'Biological' ELSE 'OTHER' END AS type, 'part ' || l_partkey AS name, l_quantity::INT AS q FROM lineitem),
   g AS (SELECT id, string_agg(name, '|' ORDER BY n, type, name) FILTER (type <> 'OTHER') AS names, string_agg('m' || q || '  day', '|' ORDER BY n, type, name, q::VARCHAR) AS outcomes,
-    string_agg(name, ' ' ORDER BY n, type, name) FILTER (type = 'DRUG') AS drugs FROM i GROUP BY id) """
+    string_agg(name, ' ; ' ORDER BY n, type, name) FILTER (type = 'DRUG') AS drugs FROM i GROUP BY id) """
 
 
 @query(
@@ -56,8 +56,8 @@ def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _ITEMS
-    + """SELECT o_orderkey::VARCHAR AS nct_id, o_orderpriority || ' ' || o_orderstatus || coalesce(' ' || drugs, '') AS structured_text, 'age ' || o_orderpriority AS eligibility_text,
-    o_orderpriority || ' ' || o_orderstatus || coalesce(' ' || drugs, '') || ' age ' || o_orderpriority AS protocol_text, 0 AS protocol_missing FROM orders LEFT JOIN g ON o_orderkey = id"""
+    + """SELECT o_orderkey::VARCHAR AS nct_id, o_orderpriority || ' ; ' || o_orderstatus || coalesce(' ; ' || drugs, '') AS structured_text, 'age ' || o_orderpriority AS eligibility_text,
+    o_orderpriority || ' ; ' || o_orderstatus || coalesce(' ; ' || drugs, '') || ' ; age ' || o_orderpriority AS protocol_text, 0 AS protocol_missing FROM orders LEFT JOIN g ON o_orderkey = id"""
 )
 def protocol_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.protocol_text(studies(spark, sf_dir))

@@ -130,7 +130,11 @@ def test_text_allow_list(spark):
                 "armsInterventionsModule": {"interventions": [{"type": "DRUG", "name": "d"}, {"type": "DEVICE", "name": "x"}]}, "eligibilityModule": {"eligibilityCriteria": "a\\nb"}}}
 
     a, b = (cohort.protocol_text(spark.createDataFrame([study(t, s)], cohort.STUDY)).first() for t, s in (("one", "COMPLETED"), ("two", "WITHDRAWN")))
-    assert a == b and a.protocol_text == "c d a b"
+    assert a == b and a.protocol_text == "c ; d ; a b"
+    bare = {"protocolSection": {"identificationModule": {"nctId": "n2"}}}
+    only = {"protocolSection": {"identificationModule": {"nctId": "n3"}, "eligibilityModule": {"eligibilityCriteria": " ; a"}}}
+    got = {r.nct_id: tuple(r)[1:] for r in cohort.protocol_text(spark.createDataFrame([bare, only], cohort.STUDY)).collect()}
+    assert got == {"n2": ("missingprotocol", "missingprotocol", "missingprotocol", 1), "n3": ("missingprotocol", " ; a", "a", 0)}
 
 
 def test_selection_settles_ties(spark):
