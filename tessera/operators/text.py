@@ -21,7 +21,7 @@ from tessera.sources.arrow import map_arrow
 
 #: A word of TF-IDF, and how many terms a task counts at a time.
 WORD = re.compile(r"\w\w+")
-HELD = 300_000
+HELD = 100_000
 
 # Words of the endpoint classifier, of its result-title variant, and codes.
 SURVIVAL = ("overall survival", "mortality", "time to death")
@@ -144,8 +144,8 @@ def fit_terms(train: DataFrame, text: str, min_df: int = 2, top: int = 5000, sto
             return found
 
         for batch in parts:
-            for value in batch.column(0).to_pylist():
-                bag = term_counts(value or "", known)
+            for value in batch.column(0):
+                bag = term_counts(value.as_py() or "", known)
                 rows.update(bag.keys())
                 for t, n in bag.items():
                     if n > 1:
