@@ -1,25 +1,50 @@
-"""Removal of repeated runs of lines, found by overlapping chunks of a few lines."""
+"""Removal of repeated runs of lines, found by content-defined chunks and then by the few lines inside them."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
 
+#: Lines that the rolling hash sees, and lines between two boundaries on average (a power of two).
+WINDOW, SPACING = 3, 8
+
+
+def rolling(hashes: str, i: Column, window: int) -> Column:
+    """The cyclic polynomial of the ``window`` line hashes that end with line ``i``: each is turned left once a step."""
+
+    def turned(k: int) -> Column:
+        h = F.get(hashes, i - k)
+        return F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k)) if k else h
 
-def line_chunks(rows: DataFrame, n: int) -> DataFrame:
-    """(doc_id, row, start, text) of (doc_id, row, text): every ``n`` lines that follow each other, from each line on.
+    return reduce(lambda a, b: a.bitwiseXOR(b), [turned(k) for k in range(window)])
 
-    A chunk depends on its own lines alone, so lines put in or taken out elsewhere change no
-    other chunk, and a run of ``n`` lines or more gives the same chunks wherever it stands.
+
+def line_chunks(rows: DataFrame, n: int, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
+    """(doc_id, row, start, h, parts) of (doc_id, row, text): content-defined chunks of lines.
+
+    A boundary stands where the rolling hash of the last ``window`` lines is 0 modulo ``spacing``, so lines put in or
+    taken out move no boundary beyond the next ``window`` lines, and a long run is cut alike wherever it stands.
+    A chunk goes on over the first ``n - 1`` lines of the next, so every ``n`` lines that follow each other lie
+    in one chunk whole. ``h`` has 128 bits of the chunk's bytes; ``parts`` the 64-bit hashes of its ``n`` lines from each line on.
     """
     lines = rows.select("doc_id", "row", F.split("text", "\n", -1).alias("lines")).filter(F.size("lines") >= n)
+    lines = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    starts = F.sequence(F.lit(0), F.size("lines") - n)
+    lines = lines.withColumn("parts", F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(n)])))
+    mask = F.lit(spacing - 1).cast("long")
+    cut = F.filter(starts, lambda i: (i == 0) | ((i >= window - 1) & (rolling("hashes", i, window).bitwiseAND(mask) == 0)))
+    lines = lines.select("doc_id", "row", "lines", "parts", cut.alias("cut"))
 
-    def cut(i: Column) -> Column:
-        return F.struct(i.alias("start"), F.array_join(F.slice("lines", i + 1, n), "\n").alias("text"))
+    def chunk(a: Column, k: Column) -> Column:
+        size = F.coalesce(F.get("cut", k + 1), F.size("parts")) - a
+        text = F.array_join(F.slice("lines", a + 1, size + (n - 1)), "\n")
+        return F.struct(a.alias("start"), hash_of(text).alias("h"), F.slice("parts", a + 1, size).alias("parts"))
 
-    return lines.select("doc_id", "row", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - n), cut)).alias("c")).select("doc_id", "row", "c.*")
+    return lines.select("doc_id", "row", F.explode(F.transform("cut", chunk)).alias("c")).select("doc_id", "row", "c.*")
 
 
 def runs(lines: Column) -> Column:
@@ -29,37 +54,46 @@ def runs(lines: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
 
 
-def hash_of(text: str) -> Column:
+def hash_of(text: Column) -> Column:
     """128 bits."""
-    return F.unhex(F.md5(text))
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_lines``, ``n_removed`` (lines), ``removed`` spans, ``text``.
 
     A run of ``least_lines`` lines or more that occurs again anywhere, the same document included,
-    stays where it occurs first (by id, then line) and goes elsewhere. All chunks of ``least_lines``
-    lines are compared, from each line on, and those that go are merged into maximal runs, so a
-    repeated run goes up to its ends. A chunk that overlaps its own first occurrence stays. Of each
-    line that goes, an equal one stays further ahead.
+    stays where it occurs first (by id, then line) and goes elsewhere. ``least_lines`` lines that overlap their
+    own first occurrence stay. Of each line that goes, an equal one stays further ahead.
+
+    Content-defined chunks are grouped by hash, so of a chunk that is repeated all over the corpus one goes on, with its first place and
+    its count. Runs may end within chunks, or be shorter than one: so the different chunks are held against each other
+    by the ``least_lines`` lines from each of their lines on, which extends what chunks share up to its
+    ends. What is found in a chunk holds for all its occurrences, and is merged into maximal runs.
 
-    Chunks are counted by their 128-bit hashes, without their texts. Places of the repeated ones are brought
-    to the documents, where their bytes are read again and compared by grouping by (hash, bytes):
-    texts that share a hash are told apart. Groupings send one row for each chunk and task.
+    Up to there hashes decide, without texts. Places found are then brought to the documents, where their bytes are
+    read again and compared by grouping by (hash, bytes): texts that share a hash are told apart, and nothing goes that is not
+    equal. Groupings send one row for each key and task; what is collected is one chunk's lines, or one document's.
 
-    Null text counts as empty. Texts of one line never lose it. A document may end empty when all its lines occur
+    A very long text is cut in one task, whose memory grows with that text; its chunks are spread. Null text counts as empty. Texts of one line never lose it. A document may end empty when all its lines occur
     earlier. Rows that repeat an id with the same text keep and lose the same lines; with other texts,
     or without an id, each is a document of its own. An empty table gives an empty result. Columns
     not named are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("row"), text.alias("text"))
-    hashed = line_chunks(rows, least_lines).select("doc_id", "row", "start", hash_of("text").alias("h"))
+    chunks = line_chunks(rows, least_lines)
     place = F.struct("doc_id", "row", "start")
-    repeated = stage(hashed.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "first"))
+    classes = chunks.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("parts", place).alias("parts"))
+    parts = stage(classes).select(F.col("h").alias("chunk"), "first", "n", F.posexplode("parts").alias("at", "h"))
+    here = F.struct("first.doc_id", "first.row", (F.col("first.start") + F.col("at")).alias("start"))
+    repeated = stage(parts.groupBy("h").agg(F.min(here).alias("first"), F.sum("n").alias("n")).filter("n > 1").select("h", "first"))
+    inside = parts.select("chunk", "at", "h").join(repeated, "h").groupBy("chunk").agg(F.collect_list(F.struct("at", "h", "first")).alias("inside"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
     later = ~(same & (F.col("start") < F.col("first.start") + least_lines))
-    met = hashed.join(repeated, "h").select("doc_id", "row", F.struct("start", "h", later.alias("later")).alias("at"))
+    met = chunks.select("doc_id", "row", "start", F.col("h").alias("chunk")).join(inside, "chunk").select("doc_id", "row", "start", F.explode("inside").alias("i"))
+    met = met.select("doc_id", "row", (F.col("start") + F.col("i.at")).alias("start"), "i.h", "i.first")
+    met = met.select("doc_id", "row", F.struct("start", "h", later.alias("later")).alias("at"))
     match = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row"))
 
     def with_places(met: DataFrame) -> DataFrame:
