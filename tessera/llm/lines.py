@@ -13,6 +13,11 @@ from tessera.llm.common import stage
 WINDOW, SPACING = 3, 8
 
 
+def text_of(lines: str, first: Column, last: Column) -> Column:
+    """These lines of a text; ``slice`` would copy the whole array for each."""
+    return F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(lines, i)), "\n")
+
+
 def rolling(hashes: str, i: Column, window: int) -> Column:
     """The cyclic polynomial of the ``window`` line hashes that end with line ``i``: each is turned left once a step."""
 
@@ -40,9 +45,9 @@ def line_chunks(rows: DataFrame, n: int, window: int = WINDOW, spacing: int = SP
     lines = lines.select("doc_id", "row", "lines", "parts", cut.alias("cut"))
 
     def chunk(a: Column, k: Column) -> Column:
-        size = F.coalesce(F.get("cut", k + 1), F.size("parts")) - a
-        text = F.array_join(F.slice("lines", a + 1, size + (n - 1)), "\n")
-        return F.struct(a.alias("start"), hash_of(text).alias("h"), F.slice("parts", a + 1, size).alias("parts"))
+        end = F.coalesce(F.get("cut", k + 1), F.size("parts")) - 1
+        inside = F.transform(F.sequence(a, end), lambda i: F.get("parts", i))
+        return F.struct(a.alias("start"), hash_of(text_of("lines", a, end + (n - 1))).alias("h"), inside.alias("parts"))
 
     return lines.select("doc_id", "row", F.explode(F.transform("cut", chunk)).alias("c")).select("doc_id", "row", "c.*")
 
@@ -101,8 +106,9 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
         return stage(rows.alias("d").join(per_doc.alias("g"), match, "left").select("d.doc_id", "d.row", "text", "found"))
 
     both = with_places(met)
-    each = both.select("doc_id", "row", F.split("text", "\n", -1).alias("lines"), F.explode("found").alias("at"))
-    each = each.select("doc_id", "row", "at.start", "at.h", F.array_join(F.slice("lines", F.col("at.start") + 1, least_lines), "\n").alias("text"))
+    each = both.filter("found is not null").select("doc_id", "row", F.split("text", "\n", -1).alias("lines"), "found")
+    read = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["h"].alias("h"), text_of("lines", x["start"], x["start"] + (least_lines - 1)).alias("text")))
+    each = each.select("doc_id", "row", F.explode(read).alias("at")).select("doc_id", "row", "at.*")
     classes = each.groupBy("h", "text").agg(F.min(place).alias("first"))
     shared = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     if not shared.isEmpty():
