@@ -179,7 +179,7 @@ def near_duplicates(
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents link when 100 x intersection >= ``percent`` x union of their sets of
-    ``size``-word shingles. Equal sets are one class, whose smallest id stands for it. Classes
+    ``size``-word shingles. Equal sets are one class, which has a number of its own. Classes
     that share a band of their signatures are candidates: at a similarity of 0.75, a pair
     shares none of 40 bands of 5 with probability 2e-5. Pairs are not listed within a
     bucket: first each member is held against the bucket's most central one (that which meets
@@ -193,17 +193,20 @@ def near_duplicates(
     repeat an id get the same component. An empty table gives an empty result. Columns not
     named are not read.
     """
-    rows_in = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stage(signatures(rows_in, size, bands, rows))
-    classes = stage(sig.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    rows_in = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
+    own = F.struct("id", "row")
+    sig = stage(signatures(rows_in.select(own.alias("doc_id"), "text"), size, bands, rows).select("doc_id.*", "n", "s1", "s2", "bands"))
+    classes = sig.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("least"), F.min(own).alias("own"), F.first("bands").alias("bands"))
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()))  # fixed once written
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
     found = stage(buckets.join(shared, "key"))
     central = found.join(found.groupBy("rep").agg(F.sum("_c").alias("_central")), "rep")
     hubs = central.groupBy("key").agg(F.max(F.struct("_central", "rep", "n")).alias("hub"))
     members = stage(found.drop("_c").join(hubs, "key"))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stage(full_sets(rows_in.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "own.*")
+    texts = rows_in.alias("r").join(wanted.alias("w"), (F.col("r.row") == F.col("w.row")) & F.col("r.id").eqNullSafe(F.col("w.id")))
+    sets = stage(full_sets(texts.select(F.col("rep").alias("doc_id"), "text"), size).dropDuplicates(["doc_id"]))
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -224,13 +227,16 @@ def near_duplicates(
     more = stage(bucket_links(apart, percent).distinct())
     if not more.isEmpty():
         groups = components(links.union(more))
-    final = classes.select("n", "s1", "s2", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    final = final.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    linked = groups.withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep")
+    reached = linked.join(linked.groupBy("component").agg(F.min("least").alias("_reached")), "component").select("rep", "_reached", F.lit(True).alias("_linked"))
+    final = classes.select("n", "s1", "s2", "rep", "least").join(reached, "rep", "left")
+    final = final.select("n", "s1", "s2", F.lit(True).alias("_set"), F.when(F.col("_linked"), F.col("_reached")).otherwise(F.col("least")).alias("_id"))
+    component = F.when(F.col("_set"), F.col("_id")).otherwise(F.col("id"))
     return sig.drop("bands").join(final, ["n", "s1", "s2"], "left").select(
-        "doc_id",
+        F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        component.alias("component_id"),
+        component.eqNullSafe(F.col("id")).alias("kept"),
     )
 
 

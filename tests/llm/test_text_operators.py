@@ -11,7 +11,7 @@ from tessera.llm import neardup, repeats
 from tessera.llm.decontaminate import contamination, contamination_digest
 from tessera.llm.exact import exact_dedup
 from tessera.llm.language import UNKNOWN, identify, learn_profiles, predict_languages
-from tessera.llm.lines import dedup_lines
+from tessera.llm.lines import dedup_lines, line_chunks
 from tessera.llm.links import components
 from tessera.llm.mixing import mix_sources
 from tessera.llm.neardup import near_duplicates
@@ -299,6 +299,32 @@ def test_many_lines(spark):
     assert second.n_lines == 30001 and "new" in second.text.split("\n") and 0 < len(second.text.split("\n")) == 30001 - second.n_removed < 12000
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    near_a, near_b = a + " more", b + " more"
+    docs = [(None, a), (None, near_a), (5, a + " other"), (9, "seven"), (9, near_b), (3, b), (9, near_b), (None, None), (None, "lone one"), (4, "")]
+    got = near_duplicates(table(spark, [(i, t, "s") for i, t in docs])).collect()
+    want = [(None, 5, False), (None, 5, False), (5, 5, True), (9, 9, True), (9, 3, False), (9, 3, False), (3, 3, True), (None, None, True), (None, None, True), (4, 4, True)]
+    assert sorted(map(repr, ((r.doc_id, r.component_id, r.kept) for r in got))) == sorted(map(repr, want))
+
+
+def test_line_chunks_keep_their_boundaries(spark):
+    lines = [f"line {i}" for i in range(400)]
+    docs = [(1, lines), (2, [*lines[:100], "put in", *lines[100:]])]
+    rows = table(spark, [(i, "\n".join(t), "s") for i, t in docs]).withColumn("row", F.lit(""))
+    cut = {i: {} for i, _ in docs}
+    for r in line_chunks(rows, 2).collect():
+        cut[r.doc_id][r.start] = (bytes(r.h), len(r.parts))
+    for i, t in docs:
+        at = 0
+        for start, (_, n) in sorted(cut[i].items()):
+            assert start == at
+            at += n
+        assert at == len(t) - 1
+    first, second = ({h for h, _ in cut[i].values()} for i in (1, 2))
+    assert 25 < len(first) < 90 and len(first - second) <= 2
+
+
 def test_personal(spark):
     docs = [
         (1, "Mr. John Smith met Mrs Anna Smith. Mail JOHN@X.COM or john@x.com."), (2, "Call +1 (323) 555-9830, card 4111 1111 1111 1111, ip 10.0.0.1"),
