@@ -82,7 +82,7 @@ def rows_of(df: DataFrame, manifest: DataFrame | None, label: str, columns: Sequ
     numbered = df.sparkSession.createDataFrame([(k, *f) for k, f in enumerate(folds)], f"_k int, mode {kinds['mode']}, fold {kinds['fold']}")
     each = manifest.join(F.broadcast(numbered), ["mode", "fold"])
     roles = [F.collect_set(F.when(F.col("role") == role, F.col("_k"))).alias(name) for role, name in (("train", "train"), ("validation", "valid"))]
-    return Rows(written(base.join(each.groupBy("id").agg(*roles), "id")), folds, tuple(columns))
+    return Rows(written(base.join(each.groupBy("id").agg(*roles).hint("merge"), "id")), folds, tuple(columns))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -175,7 +175,7 @@ def _learned(rows: Rows, pairs: list[tuple[int, Linear]]) -> Fits:
     fills = np.zeros((folds, width))
     if any(spec.scaled for _, spec in pairs):
         each = rows.table.select(F.explode("train").alias("k"), "x").select("k", F.posexplode("x").alias("j", "v"))
-        for r in medians(each, ["k", "j"], "v").collect():  # one row per fold and column
+        for r in medians(each, ["k", "j"], "v", few=True).collect():  # one row per fold and column
             fills[r["k"], r["j"]] = r["median"]
 
     def of(parts: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:

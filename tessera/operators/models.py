@@ -1,6 +1,7 @@
 """Model fits with Spark ML, their grids, validation and explanations.
 
 Linear candidates are fitted all at once (``batched``), others in a driver loop over tables written once; every fit is distributed.
+Joins by row id have a merge hint: a manifest's files are so small that Spark would send them to all executors, by way of the driver.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def regression_scores(df: DataFrame, label: str, prediction: str = "prediction")
 def calibrated(df: DataFrame, label: str, id_: str, folds: int = 3, c: float = 1.0, seed: str = "cal") -> Callable[[DataFrame], DataFrame]:
     """Mean of ``folds`` logistic models, each put through an isotonic fit on the fold it did not see."""
     parts = stratified_folds(df, id_, label, folds, seed).select(id_, "fold")
-    rows = written(df.join(parts, id_))
+    rows = written(df.join(parts.hint("merge"), id_))
     pairs = []
     for k in range(folds):
         base = logistic(rows.filter(F.col("fold") != k), label, c)
@@ -180,7 +181,7 @@ def by_auc(auc: str = "auc", brier: str = "brier", name: str = "candidate") -> l
 
 def out_of_fold(df: DataFrame, id_: str, label: str, fit: Fit, folds: int = 5, seed: str = "oof") -> DataFrame:
     """``df`` with ``probability`` of a model that did not see the row."""
-    rows = written(df.join(stratified_folds(df, id_, label, folds, seed).select(id_, "fold"), id_))
+    rows = written(df.join(stratified_folds(df, id_, label, folds, seed).select(id_, "fold").hint("merge"), id_))
     parts = [fit(rows.filter(F.col("fold") != k).drop("fold"))(rows.filter(F.col("fold") == k).drop("fold")) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -238,7 +239,7 @@ def cross_validate(df: DataFrame, manifest: DataFrame, id_: str, label: str, can
         if not fits:
             continue
         ids = {role: here.filter(F.col("role") == role).select(F.col("id").alias(id_)) for role in ("train", "validation")}
-        train, held = (written(df.join(ids[r], id_, "left_semi")) for r in ("train", "validation"))
+        train, held = (written(df.join(ids[r].hint("merge"), id_, "left_semi")) for r in ("train", "validation"))
         for name, fit in fits.items():
             out = fit(train)(held).select(F.lit(mode).alias("mode"), F.lit(fold).alias("fold"), F.lit(name).alias("candidate"), F.col(id_).alias("id"), F.col(label).alias("label"), "probability")
             parts.append(out)
@@ -267,7 +268,7 @@ def nested_validate(df: DataFrame, outer: DataFrame, inner: Callable[[DataFrame]
     manifests = []
     for k, (mode, fold) in enumerate(folds):
         here = outer.filter((F.col("mode") == mode) & (F.col("fold") == fold))
-        train = df.join(here.filter("role = 'train'").select(F.col("id").alias(id_)), id_, "left_semi")
+        train = df.join(here.filter("role = 'train'").select(F.col("id").alias(id_)).hint("merge"), id_, "left_semi")
         manifests.append(inner(train).select(F.concat(F.lit(f"{k}|"), F.col("mode").cast("string")).alias("mode"), "fold", "role", "id"))
     scores = fold_scores(cross_validate(df, written(reduce(DataFrame.unionByName, manifests)), id_, label, candidates))
     chosen = keep(choose(scores.withColumn("mode", F.substring_index("mode", "|", 1)), ("mode",))).collect()  # one row per outer fold

@@ -67,7 +67,7 @@ def cumulative(df: DataFrame, by: list[str], key: str, sums: dict[str, str], des
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     running = cut.withColumns({f"_s_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    out = running.alias("l").join(offsets.alias("r"), _matches("l", "r", [*group, "_block"])).select("l.*", *[f"_o_{n}" for n in sums])
+    out = running.alias("l").join(offsets.alias("r"), _matches("l", "r", [*group, "_block"]), "left").select("l.*", *[f"_o_{n}" for n in sums])
     out = out.withColumns({n: F.col(f"_s_{n}") + F.col(f"_o_{n}") for n in sums})
     return out.drop("_group", "_k", "_block", *[f"_s_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
@@ -99,18 +99,21 @@ def _bounds(value: Column) -> Column:
     return F.percentile_approx(value, [0.5 - 5 / SKETCH, 0.5 + 5 / SKETCH], SKETCH)
 
 
-def medians(df: DataFrame, by: list[str], column: str) -> DataFrame:
+def medians(df: DataFrame, by: list[str], column: str, few: bool = False) -> DataFrame:
     """(by, median) of the values of ``column`` but nulls and NaN: exact, the mean of the middle two of an even number.
 
     Two passes: a sketch bounds each group's median, then the values between the bounds, about a thousandth of a
-    group, are counted and ordered. No task holds the values of a group.
+    group, are counted and ordered. No task holds the values of a group. ``few`` says that there are so few groups that
+    their bounds can be sent to all executors; the rows never are (an outer join allows that for the bounds alone).
     """
     value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     rows = df.select(*by, value.alias("_x")).filter("_x IS NOT NULL").withColumn("_all", F.lit(0))
     keys = [*by, "_all"]
     found = rows.groupBy(*keys).agg(_bounds(F.col("_x")).alias("_q"), F.count(F.lit(1)).alias("_c"))
-    both = rows.alias("l").join(found.alias("r"), reduce(Column.__and__, _matches("l", "r", keys))).select("l.*", "_q", "_c")
-    return _middle(both, keys, F.col("_x"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1)), F.col("_c")).drop("_all")
+    found = F.broadcast(found) if few else found
+    both = rows.alias("l").join(found.alias("r"), reduce(Column.__and__, _matches("l", "r", keys)), "left").select("l.*", "_q", "_c")
+    high = F.coalesce(F.get("_q", F.lit(1)), F.lit(float("inf")))  # never null, else the filter by it makes the join an inner one
+    return _middle(both, keys, F.col("_x"), F.get("_q", F.lit(0)), high, F.col("_c")).drop("_all")
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float | None], dict[str, int]]:
