@@ -393,8 +393,9 @@ def continuous_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 def primary_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     row = F.struct("l_linenumber", "l_partkey", F.col("l_discount").alias("d"), F.col("l_quantity").alias("q"))
-    lines = li.groupBy(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("f")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    title = F.element_at(F.array(F.lit("Overall survival"), F.lit("ORR"), F.lit("cost")), (F.get("rows", F.lit(0))["l_partkey"] % 3 + 1).cast("int"))
+    first = F.min_by("l_partkey", F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey"))  # SQL's order, in which large part keys outweigh a line number
+    lines = li.groupBy(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("f")).agg(F.sort_array(F.collect_list(row)).alias("rows"), first.alias("part"))
+    title = F.element_at(F.array(F.lit("Overall survival"), F.lit("ORR"), F.lit("cost")), (F.col("part") % 3 + 1).cast("int"))
     outcome = F.struct(
         F.when(F.col("f") == "A", "Primary").otherwise("SECONDARY").alias("type"), title.alias("title"),
         F.transform("rows", lambda x: F.struct(F.concat(F.lit("<"), F.round(x["d"], 6).cast("string")).alias("pValue"), F.lit("n/a").alias("paramValue"))).alias("analyses"),
