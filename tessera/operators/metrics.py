@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import cumulative
+from tessera.sources.scratch import written
 
 
 def histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -43,21 +44,49 @@ def confusion(df: DataFrame, label: str, score: str, by: Sequence[str] = (), cut
     return df.groupBy(*by, F.col(label).alias("label"), (F.col(score) >= cut).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _threshold(label: str, score: str, cut: float = 0.5) -> dict[str, Column]:
-    y, hit = F.col(label) == 1, F.col(score) >= cut
-    tp, fp, fn, tn = (F.count_if(c).cast("double") for c in (y & hit, ~y & hit, y & ~hit, ~y & ~hit))
+def _bundle_totals(hist: DataFrame, keys: Sequence[str], cut: float = 0.5) -> DataFrame:
+    """(keys, n, positives, brier, f1, balanced_accuracy, and the sums that ``_ranked`` needs) from the counts of ``metric_bundle``."""
+    hit = F.col("score") >= cut
+    tp, fp, fn, tn = (F.coalesce(F.sum(F.when(c, n)), F.lit(0.0)) for c, n in ((hit, F.col("pos")), (hit, F.col("_known") - F.col("pos")), (~hit, F.col("pos")), (~hit, F.col("_known") - F.col("pos"))))
     f1 = F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
     recalls = (F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)) + F.coalesce(F.try_divide(tn, tn + fp), F.lit(0.0))) / 2
-    return {"f1": f1, "balanced_accuracy": recalls, "brier": F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))), "n": F.count(F.lit(1)), "positives": F.count_if(y)}
+    # rows without a score come first in either order, NaN last
+    ends = [F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0.0)).alias(f"_{c}_{name}") for name, of in (("null", F.col("score").isNull()), ("nan", F.isnan("score"))) for c in ("pos", "neg")]
+    return hist.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum("pos").cast("long").alias("positives"), F.try_divide(F.sum("_squares"), F.sum("_both")).alias("brier"), f1.alias("f1"), recalls.alias("balanced_accuracy"),
+        F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"), *ends,
+    )
+
+
+def _ranked(hist: DataFrame, keys: list[str], totals: DataFrame, undefined: float | None) -> DataFrame:
+    """(keys, auc, average_precision) by one running sum: what stands at a score or above is the rest of what stands up to it."""
+    run = cumulative(hist, keys, "score", {"_upto_pos": "pos", "_upto_neg": "neg"}).join(F.broadcast(totals), keys)
+
+    def above(c: str) -> Column:
+        here = F.col(f"_{c}") - F.col(f"_{c}_nan") + F.col(f"_{c}_null") - F.col(f"_upto_{c}") + F.col(c)
+        return F.when(F.col("score").isNull(), F.col(c)).when(F.isnan("score"), F.col(f"_{c}")).otherwise(here)
+
+    area, both = F.sum(F.col("pos") * (F.col("_upto_neg") - F.col("neg") / 2)), F.first("_pos") * F.first("_neg")
+    tp, fp = above("pos"), above("neg")
+    precision = F.try_divide(F.sum(F.try_divide(F.col("pos") * tp, tp + fp)), F.first("_pos"))
+    return run.groupBy(*keys).agg(F.when(both > 0, area / F.when(both > 0, both)).otherwise(F.lit(undefined).cast("double")).alias("auc"), precision.alias("average_precision"))
 
 
 def metric_bundle(df: DataFrame, label: str, score: str, by: Sequence[str] = (), undefined: float | None = None, digits: int = 6) -> DataFrame:
-    """(by, n, positives, roc_auc, pr_auc, brier, f1, balanced_accuracy), rounded."""
+    """(by, n, positives, roc_auc, pr_auc, brier, f1, balanced_accuracy), rounded.
+
+    The rows are read once: counts by distinct score are written, and all metrics come from them. Groups are few.
+    """
     keys = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    hist = histogram(base, label, score, keys)
-    plain = base.groupBy(*keys).agg(*[c.alias(n) for n, c in _threshold(label, score).items()])
-    joined = plain.join(auc_of(hist, keys, undefined), keys).join(ap_of(hist, keys), keys)
+    y, error = F.col(label), F.col(score) - F.col(label)
+    hist = base.groupBy(*keys, F.col(score).alias("score")).agg(
+        F.sum(F.when(y == 1, 1.0).otherwise(0.0)).alias("pos"), F.sum(F.when(y == 0, 1.0).otherwise(0.0)).alias("neg"),
+        F.count(F.lit(1)).alias("_n"), F.count(y).alias("_known"), F.sum(error * error).alias("_squares"), F.count(error).alias("_both"),
+    )
+    hist = written(hist)
+    totals = _bundle_totals(hist, keys)
+    joined = totals.join(_ranked(hist, keys, totals, undefined), keys)
     named = {"roc_auc": "auc", "pr_auc": "average_precision", "brier": "brier", "f1": "f1", "balanced_accuracy": "balanced_accuracy"}
     return joined.select(*by, "n", "positives", *[F.round(c, digits).alias(n) for n, c in named.items()])
 

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessera.operators import models
+from tessera.operators import metrics, models
 from tessera.operators.batched import Linear
 from tessera.operators.prefix import cumulative, medians
 from tessera.operators.splits import expanding_folds
@@ -58,3 +58,14 @@ def test_primary_result_with_part_keys_beyond_a_million(spark, tmp_path):
 def test_vector_concat_with_vectors_beyond_a_hundred_thousand(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [0.25 * (i % 7) + 0.5 * j for j in range(64)]) for i in (0, 1, 2, 100_001, 100_003)], "vec_id long, embedding array<float>")
     assert same(spark, tmp_path, "vector_concat", {"documents": spark.range(5).withColumnRenamed("id", "doc_id"), "embeddings": vectors})
+
+
+def test_metrics_read_their_rows_once_and_agree_with_the_single_ones(spark):
+    h = F.pmod(F.xxhash64("id"), F.lit(1000))
+    score = F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 70 == 1, float("nan")).otherwise(F.pmod(h, F.lit(300)) / 300.0)
+    rows = spark.range(4000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 40 != 7, (h < 300).cast("int")).alias("y"), score.alias("s"))
+    found = metrics.metric_bundle(rows, "y", "s", ["g"])
+    assert "Range" not in plan(found)
+    got = {r.g: r for r in found.collect()}
+    for name, df in (("roc_auc", metrics.roc_auc(rows, "y", "s", ["g"])), ("pr_auc", metrics.average_precision(rows, "y", "s", ["g"]))):
+        assert {g: r[name] for g, r in got.items()} == {r[0]: round(r[1], 6) for r in df.collect()}
