@@ -19,9 +19,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from tessera.functions.columns import any_of, count_of
 from tessera.sources.arrow import map_arrow
 
-#: A word of TF-IDF, and how many terms a task counts at a time.
+#: A word of TF-IDF, how many terms a task counts at a time, and how many rows it weighs at a time.
 WORD = re.compile(r"\w\w+")
 HELD = 100_000
+WEIGHED = 256
 
 # Words of the endpoint classifier, of its result-title variant, and codes.
 SURVIVAL = ("overall survival", "mortality", "time to death")
@@ -168,28 +169,32 @@ def term_weights(df: DataFrame, terms: Terms, text: str, name: str = "weights",
     the vocabulary lacks count for nothing; a row without any has an empty array.
     """
     fields = [f.name for f in df.schema]
+    place_of = fields.index(text) if text in fields and isinstance(df.schema[text].dataType, StringType) else None
     kind = pa.list_(pa.struct([("index", pa.int32()), ("term", pa.string()), ("weight", pa.float64())]))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, known = {t: i for i, t in enumerate(terms.terms)}, frozenset(terms.stop_words)
         idf, every = np.array(terms.idf), pa.array(terms.terms, pa.string())
         for batch in parts:
-            index, times, size = [], [], []
-            for value in batch.column("_text").to_pylist():
-                here = sorted((place[t], n) for t, n in term_counts(value or "", known).items() if t in place)
-                index += [i for i, _ in here]
-                times += [n for _, n in here]
-                size.append(len(here))
-            at, size = np.array(index, np.int32), np.array(size, np.int64)
-            raw = (1 + np.log(np.array(times, np.float64))) * idf[at]
-            row = np.repeat(np.arange(len(size)), size)
-            scaled = raw / np.sqrt(np.bincount(row, raw * raw, len(size)))[row] * weight
-            found = pa.StructArray.from_arrays([pa.array(at), every.take(pa.array(at)), pa.array(scaled)], names=["index", "term", "weight"])
-            offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), pa.ListArray.from_arrays(offsets, found).cast(kind)], [*fields, name])
+            for start in range(0, batch.num_rows, WEIGHED):  # what a task holds beside its batch doesn't grow with the batch
+                given = batch.column("_row").slice(start, WEIGHED).flatten()
+                index, times, size = [], [], []
+                for value in batch.column("_text").slice(start, WEIGHED) if place_of is None else given[place_of]:
+                    here = sorted((place[t], n) for t, n in term_counts(value.as_py() or "", known).items() if t in place)
+                    index += [i for i, _ in here]
+                    times += [n for _, n in here]
+                    size.append(len(here))
+                at, size = np.array(index, np.int32), np.array(size, np.int64)
+                raw = (1 + np.log(np.array(times, np.float64))) * idf[at]
+                row = np.repeat(np.arange(len(size)), size)
+                scaled = raw / np.sqrt(np.bincount(row, raw * raw, len(size)))[row] * weight
+                found = pa.StructArray.from_arrays([pa.array(at), every.take(pa.array(at)), pa.array(scaled)], names=["index", "term", "weight"])
+                offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*given, pa.ListArray.from_arrays(offsets, found).cast(kind)], [*fields, name])
 
     item = StructType([StructField("index", IntegerType()), StructField("term", StringType()), StructField("weight", DoubleType())])
-    rows = df.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
+    other = [F.col(text).cast("string").alias("_text")] if place_of is None else []  # a text that the row holds isn't sent twice
+    rows = df.select(F.struct("*").alias("_row"), *other)
     return map_arrow(rows, batches, StructType([*df.schema.fields, StructField(name, ArrayType(item))]))
 
 

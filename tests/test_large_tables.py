@@ -1,13 +1,15 @@
 """What holds however large a table is: which side of a join is sent to all executors, and what decides an order."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessera.operators import metrics, models
+from tessera.operators import metrics, models, text
 from tessera.operators.batched import Linear
 from tessera.operators.prefix import cumulative, medians
 from tessera.operators.splits import expanding_folds
+from tessera.sources.arrow import map_arrow
 from tessera.sources.scratch import written
 
 
@@ -69,3 +71,19 @@ def test_metrics_read_their_rows_once_and_agree_with_the_single_ones(spark):
     got = {r.g: r for r in found.collect()}
     for name, df in (("roc_auc", metrics.roc_auc(rows, "y", "s", ["g"])), ("pr_auc", metrics.average_precision(rows, "y", "s", ["g"]))):
         assert {g: r[name] for g, r in got.items()} == {r[0]: round(r[1], 6) for r in df.collect()}
+
+
+def test_term_weights_leave_a_task_in_small_batches(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(text, "map_arrow", lambda df, run, schema: runs.append(run) or map_arrow(df, run, schema))
+    terms = text.Terms(("alpha", "beta"), (1.0, 2.0), ())
+    df = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "none")], "id long, t string")
+    want = [(1, ["alpha", "beta"]), (2, []), (3, [])]
+    out = text.term_weights(df, terms, "t").collect()
+    number = text.term_weights(df.withColumn("n", F.lit(7)), terms, "n").collect()
+    assert sorted((r.id, [x.term for x in r.weights]) for r in out) == want and all(not r.weights for r in number)
+    words = pa.array(["alpha beta"] * 600)
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(range(600)), words], names=["id", "t"]), words], ["_row", "_text"])
+    found = list(runs[0](iter([batch])))
+    assert sum(b.num_rows for b in found) == 600 and max(b.num_rows for b in found) <= 256
+    assert [x for b in found for x in b.column(0).to_pylist()] == list(range(600)) and all(len(x) == 2 for b in found for x in b.column(2).to_pylist())
