@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     by the ``least_lines`` lines from each of their lines on, which extends what chunks share up to its
     ends. What is found in a chunk holds for all its occurrences, and is merged into maximal runs.
 
-    Up to there hashes decide, without texts. Places found are then brought to the documents, where their bytes are
+    Up to there hashes decide, without texts; chunks of one hash that differ in the hashes of their lines are classes of their own. Places found are then brought to the documents, where their bytes are
     read again and compared by grouping by (hash, bytes): texts that share a hash are told apart, and nothing goes that is not
     equal. Groupings send one row for each key and task; what is collected is one chunk's lines, or one document's.
 
@@ -89,14 +89,16 @@ def dedup_lines(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("row"), text.alias("text"))
     chunks = line_chunks(rows, least_lines)
     place = F.struct("doc_id", "row", "start")
-    classes = chunks.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("parts", place).alias("parts"))
-    parts = stage(classes).select(F.col("h").alias("chunk"), "first", "n", F.posexplode("parts").alias("at", "h"))
+    classes = stage(chunks.groupBy("h", "parts").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    alike = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    chunk = F.col("h") if alike.isEmpty() else F.struct("h", "parts")  # chunks that share a hash are told apart by their lines
+    parts = classes.select(chunk.alias("chunk"), "first", "n", F.posexplode("parts").alias("at", "h"))
     here = F.struct("first.doc_id", "first.row", (F.col("first.start") + F.col("at")).alias("start"))
     repeated = stage(parts.groupBy("h").agg(F.min(here).alias("first"), F.sum("n").alias("n")).filter("n > 1").select("h", "first"))
     inside = parts.select("chunk", "at", "h").join(repeated, "h").groupBy("chunk").agg(F.collect_list(F.struct("at", "h", "first")).alias("inside"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
     later = ~(same & (F.col("start") < F.col("first.start") + least_lines))
-    met = chunks.select("doc_id", "row", "start", F.col("h").alias("chunk")).join(inside, "chunk").select("doc_id", "row", "start", F.explode("inside").alias("i"))
+    met = chunks.select("doc_id", "row", "start", chunk.alias("chunk")).join(inside, "chunk").select("doc_id", "row", "start", F.explode("inside").alias("i"))
     met = met.select("doc_id", "row", (F.col("start") + F.col("i.at")).alias("start"), "i.h", "i.first")
     met = met.select("doc_id", "row", F.struct("start", "h", later.alias("later")).alias("at"))
     match = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row"))
