@@ -124,3 +124,16 @@ def test_top_coefficients_are_terms(spark, labelled):
     model = textmodel.fit_text(labelled, "label", "t", ["a"], top=50, stop_words=STOPS)
     top = models.top_coefficients(model, model.names, spark, 15).collect()
     assert len(top) == 30 and {r.feature for r in top} <= set(model.names) and any(r.feature.startswith("w1") for r in top if r.sign == "positive")
+
+
+def test_rare_bigrams_do_not_leave_tasks(spark, monkeypatch):
+    """Only bigrams whose bucket reaches the last word that is kept are counted one by one; the vocabulary is that of counting all."""
+    r = random.Random(21)
+    train = [" ".join(f"w{int(r.paretovariate(0.6)) % 3000:04d}" for _ in range(r.randrange(0, 80))) for _ in range(300)]
+    sent = []
+    mapped = text.map_arrow
+    monkeypatch.setattr(text, "map_arrow", lambda *args: sent.append(mapped(*args)) or sent[-1])
+    fitted = text.fit_terms(spark.createDataFrame([(t,) for t in train], "t string"), "t", top=40, stop_words=STOPS)
+    assert list(fitted.terms) == plain_weights(train, [], 40)[0] and any(" " in t for t in fitted.terms)
+    bigrams = sum(len({g for g in grams(t) if " " in g}) for t in train)
+    assert sum(x.filter("term LIKE '% %'").count() for x in sent) < bigrams / 10
