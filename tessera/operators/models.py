@@ -1,6 +1,6 @@
 """Model fits with Spark ML, their grids, validation and explanations.
 
-Linear candidates are fitted all at once (``batched``), others in a driver loop over tables written once; every fit is distributed.
+Linear candidates are fitted all at once (``batched``), others a few folds at a time over tables written once; every fit is distributed.
 Joins by row id have a merge hint: a manifest's files are so small that Spark would send them to all executors, by way of the driver.
 """
 
@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import capped
@@ -28,6 +30,14 @@ from tessera.sources.scratch import written
 
 log = logging.getLogger(__name__)
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+#: Folds that are fitted at a time. A fit's passes are short jobs, so that one fit alone leaves cores idle between them.
+AT_ONCE = 3
+
+
+def at_once[T](spark: SparkSession, jobs: Sequence[Callable[[], T]]) -> list[T]:
+    """What ``jobs`` return, in their order; the first error of one is raised."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def class_weights(df: DataFrame, label: str, kind: str = "balanced") -> DataFrame:
@@ -182,8 +192,11 @@ def by_auc(auc: str = "auc", brier: str = "brier", name: str = "candidate") -> l
 def out_of_fold(df: DataFrame, id_: str, label: str, fit: Fit, folds: int = 5, seed: str = "oof") -> DataFrame:
     """``df`` with ``probability`` of a model that did not see the row."""
     rows = written(df.join(stratified_folds(df, id_, label, folds, seed).select(id_, "fold").hint("merge"), id_))
-    parts = [fit(rows.filter(F.col("fold") != k).drop("fold"))(rows.filter(F.col("fold") == k).drop("fold")) for k in range(folds)]
-    return reduce(DataFrame.unionByName, parts)
+
+    def part(k: int) -> DataFrame:
+        return fit(rows.filter(F.col("fold") != k).drop("fold"))(rows.filter(F.col("fold") == k).drop("fold"))
+
+    return reduce(DataFrame.unionByName, at_once(df.sparkSession, [partial(part, k) for k in range(folds)]))
 
 
 def two_stage(train: DataFrame, test: DataFrame, id_: str, label: str, first: Fit, second: Callable[[Sequence[str]], Fit], columns: Sequence[str], folds: int = 3) -> DataFrame:
@@ -223,8 +236,8 @@ def segment_models(train: DataFrame, test: DataFrame, segment: str, label: str,
 def cross_validate(df: DataFrame, manifest: DataFrame, id_: str, label: str, candidates: Mapping[str, Fit], pairs: Sequence[tuple[tuple, str]] | None = None) -> DataFrame:
     """(mode, fold, candidate, id, label, probability): each candidate fitted on every fold's train rows alone.
 
-    ``Linear`` candidates of all folds are fitted at once, others one after another. ``pairs`` ((mode, fold), candidate)
-    are those to fit; all if not given.
+    ``Linear`` candidates of all folds are fitted at once, others a few folds at a time; what a candidate's ``sharing`` keeps
+    (as a vocabulary of a fold's train rows) serves all candidates of that fold. ``pairs`` ((mode, fold), candidate) are those to fit; all if not given.
     """
     linear = {n: fit for n, fit in candidates.items() if isinstance(fit, Linear)}
     wanted = lambda fold, name: pairs is None or (fold, name) in pairs
@@ -233,16 +246,20 @@ def cross_validate(df: DataFrame, manifest: DataFrame, id_: str, label: str, can
         parts.append(validate_all(df, manifest, id_, label, linear, None if pairs is None else [p for p in pairs if p[1] in linear]))
     others = {n: fit for n, fit in candidates.items() if n not in linear}
     folds = [tuple(r) for r in manifest.select("mode", "fold").distinct().orderBy("mode", "fold").collect()] if others else []
-    for mode, fold in folds:
+
+    def fitted(mode: object, fold: object, fits: Mapping[str, Fit]) -> list[DataFrame]:
         here = manifest.filter((F.col("mode") == mode) & (F.col("fold") == fold))
-        fits = {n: fit for n, fit in others.items() if wanted((mode, fold), n)}
-        if not fits:
-            continue
         ids = {role: here.filter(F.col("role") == role).select(F.col("id").alias(id_)) for role in ("train", "validation")}
         train, held = (written(df.join(ids[r].hint("merge"), id_, "left_semi")) for r in ("train", "validation"))
+        shared, out = {}, []
         for name, fit in fits.items():
-            out = fit(train)(held).select(F.lit(mode).alias("mode"), F.lit(fold).alias("fold"), F.lit(name).alias("candidate"), F.col(id_).alias("id"), F.col(label).alias("label"), "probability")
-            parts.append(out)
+            score = (fit.sharing(shared) if hasattr(fit, "sharing") else fit)(train)
+            out.append(score(held).select(F.lit(mode).alias("mode"), F.lit(fold).alias("fold"), F.lit(name).alias("candidate"), F.col(id_).alias("id"), F.col(label).alias("label"), "probability"))
+        return out
+
+    fits = [(f, {n: fit for n, fit in others.items() if wanted(f, n)}) for f in folds]
+    for found in at_once(df.sparkSession, [partial(fitted, *f, here) for f, here in fits if here]):
+        parts += found
     return reduce(DataFrame.unionByName, parts)
 
 

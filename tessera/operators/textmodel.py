@@ -99,15 +99,19 @@ def term_vectors(df: DataFrame, label: str, terms: Terms, numbers: Numbers, text
     return read.coalesce(max(1, min(read.rdd.getNumPartitions(), read.count() // LEAST)))  # a pass of a fit over few rows costs its tasks
 
 
-def fit_text(train: DataFrame, label: str, text: str, numeric: Sequence[str] = (), c: float = 1.0, min_df: int = 2, top: int = 5000, weight: float = 3.0, stop_words: Sequence[str] | None = None, iterations: int = 200) -> TextModel:
+def fit_text(train: DataFrame, label: str, text: str, numeric: Sequence[str] = (), c: float = 1.0, min_df: int = 2, top: int = 5000, weight: float = 3.0, stop_words: Sequence[str] | None = None, iterations: int = 200, shared: dict | None = None) -> TextModel:
     """L2 logistic regression over the TF-IDF weights of ``text`` and, beside them, scaled ``numeric`` columns.
 
     Vocabulary, idf, medians and scales come from ``train`` alone. With numbers the terms weigh ``weight`` times as
     much, without them once. Missing numbers take the train median and a 0/1 column where train lacks some.
-    Labels other than 0 and 1 are not for training. An error if there is neither a term nor a number.
+    Labels other than 0 and 1 are not for training. An error if there is neither a term nor a number. ``shared`` keeps
+    the vocabulary for other fits on the same train rows.
     """
     train = train.filter(F.col(label).isin(0, 1))
-    terms, numbers = fit_terms(train, text, min_df, top, stop_words), fit_numbers(train, numeric)
+    shared, key = {} if shared is None else shared, (label, text, min_df, top, None if stop_words is None else tuple(stop_words))
+    if key not in shared:
+        shared[key] = fit_terms(train, text, min_df, top, stop_words)
+    terms, numbers = shared[key], fit_numbers(train, numeric)
     if not terms.terms and not numbers.names:
         raise ValueError("no term and no number to fit on")
     scale = weight if numbers.names else 1.0
@@ -116,5 +120,8 @@ def fit_text(train: DataFrame, label: str, text: str, numeric: Sequence[str] = (
 
 
 def text_fitter(label: str, text: str, numeric: Sequence[str] = (), **options: object) -> Fit:
-    """``fit_text`` as a candidate for the runners of ``models``."""
-    return lambda train: fit_text(train, label, text, numeric, **options)
+    """``fit_text`` as a candidate for the runners of ``models``; its ``sharing`` is one that shares vocabularies."""
+    sharing = lambda shared: lambda train: fit_text(train, label, text, numeric, **options, shared=shared)
+    fit = lambda train: sharing({})(train)
+    fit.sharing = sharing
+    return fit

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import threading
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -12,19 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow``, wherever the session was started: the package's code, no data, goes to the workers as a zip file."""
     context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).parents[2]
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            for source in sorted(root.glob("tessera/**/*.py")):
-                z.write(source, source.relative_to(root))
-        path = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera.zip"
-        path.write_bytes(held.getvalue())
-        context.addPyFile(str(path))
-        _shipped.add(context.applicationId)
+    with _shipping:  # fits may run in threads
+        if context.applicationId not in _shipped:
+            root = Path(__file__).parents[2]
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                for source in sorted(root.glob("tessera/**/*.py")):
+                    z.write(source, source.relative_to(root))
+            path = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera.zip"
+            path.write_bytes(held.getvalue())
+            context.addPyFile(str(path))
+            _shipped.add(context.applicationId)
     return df.mapInArrow(run, schema)

@@ -137,3 +137,16 @@ def test_rare_bigrams_do_not_leave_tasks(spark, monkeypatch):
     assert list(fitted.terms) == plain_weights(train, [], 40)[0] and any(" " in t for t in fitted.terms)
     bigrams = sum(len({g for g in grams(t) if " " in g}) for t in train)
     assert sum(x.filter("term LIKE '% %'").count() for x in sent) < bigrams / 10
+
+
+def test_candidates_of_a_fold_share_a_vocabulary(spark, labelled, monkeypatch):
+    learned = []
+    fit = textmodel.fit_terms
+    monkeypatch.setattr(textmodel, "fit_terms", lambda *args: learned.append(fit(*args)) or learned[-1])
+    folds = labelled.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), "id").select(F.lit("m").alias("mode"), "fold", F.when(F.col("id") % 2 == F.col("fold"), "validation").otherwise("train").alias("role"), "id")
+    candidates = {"text": textmodel.text_fitter("label", "t", top=30, iterations=5), "both": textmodel.text_fitter("label", "t", ["a"], top=30, iterations=5)}
+    got = models.cross_validate(labelled, folds, "id", "label", candidates)
+    assert len(learned) == 2 and {(r.fold, r.candidate): r["count"] for r in got.groupBy("fold", "candidate").count().collect()} == {(f, c): 150 for f in (0, 1) for c in candidates}
+    alone = candidates["both"](labelled.filter("id % 2 = 1"))(labelled.filter("id % 2 = 0"))
+    both = got.filter("fold = 0 AND candidate = 'both'").join(alone.select("id", F.col("probability").alias("p")), "id")
+    assert both.count() == 150 and both.filter("abs(probability - p) > 1e-9").isEmpty()
