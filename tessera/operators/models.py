@@ -7,6 +7,7 @@ Joins by row id have a merge hint: a manifest's files are so small that Spark wo
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
@@ -158,26 +159,50 @@ def trainable(train: DataFrame, test: DataFrame, label: str, least_train: int =
     return n >= least_train and m >= least_test and 0 < p < n and 0 < q < m
 
 
-def grid(train: DataFrame, test: DataFrame, labels: Sequence[str], sets: Mapping[str, Sequence[str]], models: Mapping[str, tuple[Callable[..., Model], dict]]) -> DataFrame:
+def grid(train: DataFrame, test: DataFrame, labels: Sequence[str], sets: Mapping[str, Sequence[str]], models: Mapping[str, tuple[Callable[..., Model], dict]], report: bool = False) -> DataFrame:
     """(label, features, model, metrics) of every combination that has rows and classes enough.
 
-    A combination whose fit or scores fail is left out and named in the log; an error only if none is left.
+    A combination whose fit or scores fail (a score that is null or NaN too) is left out and named in the log; an error only if
+    none is left. With ``report`` every combination has a row: one that fails, or whose label lacks rows or classes, has no metrics
+    but says why in ``error``, which is null for all others. ``whole`` refuses results with such rows.
     """
-    rows = []
+    rows, missing = [], []
+
+    def leave_out(label: str, set_name: str, name: str, why: str) -> None:
+        log.warning("left out %s, %s, %s: %s", label, set_name, name, why)
+        missing.append((label, set_name, name, why))
+
     for label in labels:
         a, b = (written(df.filter(F.col(label).isin(0, 1))) for df in (train, test))
-        if not trainable(a, b, label):
-            continue
+        fine = trainable(a, b, label)
         for set_name, columns in sets.items():
             for name, (make, options) in models.items():
+                if not fine:
+                    leave_out(label, set_name, name, "rows or classes are too few")
+                    continue
                 try:
-                    found = metric_bundle(fitter(make, columns, label, **options)(a)(b), label, "probability")
-                    rows.append(written(found.select(F.lit(label).alias("label"), F.lit(set_name).alias("features"), F.lit(name).alias("model"), "*")))
+                    scores = fitter(make, columns, label, **options)(a)(b).withColumn("probability", F.coalesce("probability", F.lit(float("nan"))))
+                    found = written(metric_bundle(scores, label, "probability").select(F.lit(label).alias("label"), F.lit(set_name).alias("features"), F.lit(name).alias("model"), "*"))
+                    if math.isnan(found.first()["brier"]):
+                        raise ValueError("not all scores are numbers")
+                    rows.append(found)
                 except Exception as e:  # a fit may fail in many ways; the others go on
-                    log.warning("left out %s, %s, %s: %s", label, set_name, name, str(e).partition("\n")[0])
+                    leave_out(label, set_name, name, f"{type(e).__name__}: {e}".partition("\n")[0])
     if not rows:
         raise ValueError("no label has rows and classes enough, or all fits failed")
-    return reduce(DataFrame.unionByName, rows)
+    found = reduce(DataFrame.unionByName, rows)
+    if not report:
+        return found
+    failed = train.sparkSession.createDataFrame(missing, "label string, features string, model string, error string")
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+
+
+def whole(results: DataFrame) -> DataFrame:
+    """The results of ``grid`` with ``report``, without ``error``; an error that names the combinations that failed, if any did."""
+    failed = [f"{r['label']}, {r['features']}, {r['model']}: {r['error']}" for r in results.filter("error IS NOT NULL").collect()]  # one row per combination at most
+    if failed:
+        raise ValueError(f"the grid is not whole; {'; '.join(failed)}")
+    return results.drop("error")
 
 
 def best(results: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -98,13 +98,15 @@ _SETS = {"composite": ["p", "x2"], "hybrid": _X}
 
 @query()
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of every combination; one that failed has no metrics and says why in ``error``."""
     train, test = _parts(spark, sf_dir)
-    return M.grid(train, test, ["label"], _SETS, _MODELS)
+    return M.grid(train, test, ["label"], _SETS, _MODELS, report=True)
 
 
 @query()
 def best_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.best(grid(spark, sf_dir), ["label"], M.by_auc("roc_auc", "brier", "model"))
+    """The best of all combinations; an error if any failed, as the best of the others may not be the best."""
+    return M.best(M.whole(grid(spark, sf_dir)), ["label"], M.by_auc("roc_auc", "brier", "model"))
 
 
 @query()

@@ -148,6 +148,32 @@ def test_grid_goes_on_after_a_failed_fit(data, caplog):
         models.grid(train, test, ["y"], {"one": ["x"]}, {"broken": (broken, {})})
 
 
+def test_a_failed_combination_is_no_result(data, monkeypatch):
+    from tessera.plans import models as plans
+
+    def broken(df, label):
+        raise RuntimeError("no convergence")
+
+    def nan_scores(df, label):
+        return "nan"
+
+    scored = models.scored
+    monkeypatch.setattr(models, "scored", lambda model, df: df.withColumn("probability", F.when(F.col("id") != 200, 0.5).otherwise(None)) if model == "nan" else scored(model, df))
+    monkeypatch.setattr(plans, "_parts", lambda spark, folder: tuple(data.withColumn("label", F.col("y")).filter(where) for where in ("year < 2003", "year = 2003")))
+    monkeypatch.setattr(plans, "_SETS", {"one": ["x"], "two": ["x", "z"]})
+    monkeypatch.setattr(plans, "_MODELS", {"broken": (broken, {}), "logistic": (models.logistic, {}), "nan": (nan_scores, {})})
+    got = {(r.features, r.model): r for r in plans.grid(data.sparkSession, "").collect()}
+    assert len(got) == 6 and all((r.roc_auc is None) == (r.error is not None) == (m != "logistic") for (_, m), r in got.items())
+    assert "no convergence" in got["one", "broken"].error and "not all scores" in got["two", "nan"].error
+    with pytest.raises(ValueError, match="label, one, broken: .*no convergence"):
+        plans.best_of_grid(data.sparkSession, "")
+    monkeypatch.setattr(plans, "_MODELS", {"logistic": (models.logistic, {})})
+    best = plans.best_of_grid(data.sparkSession, "").collect()
+    assert [(r.label, r.model) for r in best] == [("label", "logistic")] and best[0].roc_auc == max(r.roc_auc for r in got.values() if r.roc_auc)
+    few = models.grid(data.filter("year < 2003").withColumn("one", F.lit(1)), data.filter("year = 2003").withColumn("one", F.lit(1)), ["one", "y"], {"one": ["x"]}, {"logistic": (models.logistic, {})}, report=True)
+    assert {r.label: r.error for r in few.collect()} == {"y": None, "one": "rows or classes are too few"}
+
+
 def test_segments_and_subsets_need_rows_and_classes(data):
     rare = data.withColumn("s", F.when(F.col("id") % 60 == 0, "rare").otherwise(F.col("s")))
     train, test = rare.filter("year < 2003"), rare.filter("year = 2003")
