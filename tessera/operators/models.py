@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import capped
-from tessera.operators.batched import Linear, validate_all
+from tessera.operators.batched import Linear, nested_all, validate_all
 from tessera.operators.features import impute, scale
 from tessera.operators.metrics import metric_bundle
 from tessera.operators.prefix import medians
-from tessera.operators.splits import stratified_folds
+from tessera.operators.splits import Stratified, stratified_folds
 from tessera.sources.scratch import written
 
 log = logging.getLogger(__name__)
@@ -295,8 +295,11 @@ def fold_scores(predictions: DataFrame) -> DataFrame:
 
 
 def choose(scores: DataFrame, by: Sequence[str] = ("mode",)) -> DataFrame:
-    """(by, candidate, auc, brier): the best mean AUC, then the lowest Brier, then the name."""
-    means = scores.groupBy(*by, "candidate").agg(F.avg("auc").alias("auc"), F.avg("brier").alias("brier"))
+    """(by, candidate, auc, brier): the best mean AUC, then the lowest Brier, then the name.
+
+    Means have 12 digits, so that equal ones are equal in whatever order the folds are added up.
+    """
+    means = scores.groupBy(*by, "candidate").agg(F.round(F.avg("auc"), 12).alias("auc"), F.round(F.avg("brier"), 12).alias("brier"))
     return best(means, by, by_auc())
 
 
@@ -304,8 +307,12 @@ def nested_validate(df: DataFrame, outer: DataFrame, inner: Callable[[DataFrame]
     """Outer predictions of the candidate that inner folds of the outer train rows chose.
 
     The inner folds of all outer folds are validated together. ``keep`` stores the table (mode, candidate, auc, brier) of choices,
-    ``mode`` being the number of the outer fold (e.g. writes and rereads it), before any outer fold is scored.
+    ``mode`` being the number of the outer fold (e.g. writes and rereads it), before any outer fold is scored. With ``Stratified`` inner folds and
+    ``Linear`` candidates alone no manifest of the inner folds is made: their numbers stand beside each row.
     """
+    if isinstance(inner, Stratified) and (inner.id_, inner.label) == (id_, label) and all(isinstance(fit, Linear) for fit in candidates.values()):
+        chosen_of = lambda scores: {int(r["mode"]): r["candidate"] for r in keep(choose(scores)).collect()}  # noqa: E731 one row per outer fold
+        return nested_all(df, outer, inner.k, inner.seed, id_, label, candidates, chosen_of)
     folds = [tuple(r) for r in outer.select("mode", "fold").distinct().orderBy("mode", "fold").collect()]
     manifests = []
     for k, (mode, fold) in enumerate(folds):

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,6 +56,43 @@ def stratified_folds(df: DataFrame, id_: str, label: str, k: int, seed: str) ->
     return placed.select(id_, label, F.pmod("_i", F.lit(k)).cast("int").alias("fold"))
 
 
+def stratified_parts(df: DataFrame, id_: str, label: str, k: int, seed: str, subsets: Mapping[str, Column], buckets: int = 1024) -> DataFrame:
+    """``df`` with a column for each of ``subsets``: the fold that ``stratified_folds`` gives the row among those of the subset, null for others.
+
+    One order of the rows serves all subsets. What is sent to all executors is ``buckets`` rows a class.
+    """
+    cut = df.withColumns({name: F.coalesce(c, F.lit(False)).cast("int") for name, c in subsets.items()}).withColumn("_h", hash_order(F.col(id_), seed))
+    cut = cut.withColumn("_b", F.floor(F.col("_h") / (2**32 // buckets)))
+    inside = Window.partitionBy(label, "_b").orderBy(F.col("_h").asc_nulls_first(), F.col(id_).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(label).orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(label, "_b").agg(*[F.sum(c).alias(c) for c in subsets])
+    offsets = totals.select(label, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_o") for c in subsets])
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (label, "_b")]
+    placed = cut.withColumns({f"{c}_p": F.sum(c).over(inside) for c in subsets}).alias("l").join(F.broadcast(offsets).alias("r"), reduce(Column.__and__, same)).select("l.*", *[f"{c}_o" for c in subsets])
+    dealt = placed.withColumns({c: F.when(F.col(c) == 1, F.pmod(F.col(f"{c}_p") - 1 + F.col(f"{c}_o"), F.lit(k)).cast("int")) for c in subsets})
+    return dealt.drop("_h", "_b", *[f"{c}_{x}" for c in subsets for x in "po"])
+
+
+@dataclass(frozen=True)
+class Stratified:
+    """``k`` stratified folds of whatever rows it is called with, each validated by the others, as a manifest."""
+
+    id_: str
+    label: str
+    k: int
+    seed: str
+    mode: str = "inner"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return rotated(stratified_folds(df, self.id_, self.label, self.k, self.seed).withColumnRenamed(self.id_, "id"), self.mode, self.k)
+
+
+def rotated(parts: DataFrame, mode: str, k: int) -> DataFrame:
+    """A manifest in which each of ``k`` parts, (id, fold), is validated by the others."""
+    each = parts.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"), "id", "fold")
+    return each.select(F.lit(mode).alias("mode"), F.col("k").alias("fold"), F.when(F.col("k") == F.col("fold"), "validation").otherwise("train").alias("role"), "id")
+
+
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: str) -> DataFrame:
     """(group, fold): no group is split, classes and sizes near even.
 

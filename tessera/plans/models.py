@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import models as M
 from tessera.operators.batched import Linear
-from tessera.operators.splits import expanding_folds, stratified_folds
+from tessera.operators.splits import Stratified, expanding_folds, rotated, stratified_folds
 from tessera.operators.textmodel import text_fitter
 from tessera.plans.base import cohort, query, table
 from tessera.sources.scratch import written
@@ -138,12 +138,6 @@ _CANDIDATES = {
 }
 
 
-def _rotated(parts: DataFrame, mode: str, k: int) -> DataFrame:
-    """A manifest in which each of ``k`` parts is validated by the others."""
-    each = parts.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"), "id", "fold")
-    return each.select(F.lit(mode).alias("mode"), F.col("k").alias("fold"), F.when(F.col("k") == F.col("fold"), "validation").otherwise("train").alias("role"), "id")
-
-
 @query()
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _parts(spark, sf_dir)
@@ -156,12 +150,9 @@ def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _parts(spark, sf_dir)
     outer = expanding_folds(train, "id", "year", [(1997, 1997), (1998, 1998), (1999, 1999)])
     grouped = stratified_folds(train, "id", "label", 3, "outer")
-    outer = outer.unionByName(_rotated(grouped, "stratified", 3))
-
-    def inner(t: DataFrame) -> DataFrame:
-        return _rotated(stratified_folds(t, "id", "label", 3, "inner"), "inner", 3)
+    outer = outer.unionByName(rotated(grouped, "stratified", 3))
 
-    return M.nested_validate(train, written(outer), inner, "id", "label", _CANDIDATES)
+    return M.nested_validate(train, written(outer), Stratified("id", "label", 3, "inner"), "id", "label", _CANDIDATES)
 
 
 @query()
@@ -214,7 +205,7 @@ def evidence_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def shuffled_folds_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _parts(spark, sf_dir)
-    manifest = _rotated(stratified_folds(train, "id", "label", 3, "cv"), "stratified", 3)
+    manifest = rotated(stratified_folds(train, "id", "label", 3, "cv"), "stratified", 3)
     return M.fold_scores(M.cross_validate(train, manifest, "id", "label", _CANDIDATES))
 
 
@@ -247,5 +238,5 @@ def text_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled_texts(spark, sf_dir)
-    outer = written(_rotated(stratified_folds(rows, "doc_id", "quality", 2, "outer").withColumnRenamed("doc_id", "id"), "stratified", 2))
-    return M.nested_validate(rows, outer, lambda t: _rotated(stratified_folds(t, "doc_id", "quality", 2, "inner").withColumnRenamed("doc_id", "id"), "inner", 2), "doc_id", "quality", _TEXT)
+    outer = written(rotated(stratified_folds(rows, "doc_id", "quality", 2, "outer").withColumnRenamed("doc_id", "id"), "stratified", 2))
+    return M.nested_validate(rows, outer, Stratified("doc_id", "quality", 2, "inner"), "doc_id", "quality", _TEXT)

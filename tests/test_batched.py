@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bootstrap, models, prefix
-from tessera.operators.batched import Linear, fit_all, rows_of, validate_all
-from tessera.operators.splits import expanding_folds, stratified_folds
+from tessera.operators import batched, bootstrap, models, prefix
+from tessera.operators.batched import Linear, fit_all, nested_rows, ranked, rows_of, validate_all
+from tessera.operators.splits import Stratified, expanding_folds, rotated, stratified_folds
+from tessera.sources.scratch import written
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +95,74 @@ def test_nested_choice_uses_inner_folds_of_each_outer_fold(data):
     assert {(r.fold, r.candidate): r["count"] for r in got.groupBy("fold", "candidate").count().collect()} == {(0, "good"): 80, (1, "good"): 80}
 
 
+CANDIDATES = {
+    "wide": Linear(("x", "z"), 0.5, scaled=True, label="y"), "same": Linear(("x", "z"), 0.5, scaled=True, label="y"), "narrow": Linear(("x",), 0.1, label="y"),
+    "balanced": Linear(("x", "z", "w"), 2.0, balanced=True, label="y"), "constant": Linear(("w",), label="y"), "line": Linear(("x", "z"), ridge=True, scaled=True, label="y"),
+}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"SAMPLE": 60, "RANGE": 30, "HELD": 50}])
+def test_stratified_inner_folds_equal_a_manifest_of_them(spark, data, monkeypatch, sizes):
+    """Inner parts, ranked scores and choices as by the plain way, however small the sample, the ranges and the batches are."""
+    outer = written(expanding_folds(data, "id", "year", [(2003, 2003), (2004, 2004)]).unionByName(rotated(stratified_folds(data, "id", "y", 3, "o"), "s", 3)))
+    inner, kept, tables = Stratified("id", "y", 3, "i"), [], []
+    plain = models.nested_validate(data, outer, lambda t: inner(t), "id", "y", CANDIDATES, lambda x: kept.append(x.collect()) or x)
+    want = {(r["mode"], r.fold, r.id): (r.candidate, r.label, r.probability) for r in plain.collect()}
+    for name, value in sizes.items():
+        monkeypatch.setattr(batched, name, value)
+    monkeypatch.setattr(batched, "written", lambda df: tables.append(written(df)) or tables[-1])
+    found = models.nested_validate(data, outer, inner, "id", "y", CANDIDATES, lambda x: kept.append(x.collect()) or x)
+    got = {(r["mode"], r.fold, r.id): (r.candidate, r.label, r.probability) for r in found.collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()} and len(got) == 80 + 80 + 400
+    assert [got[k][2] for k in want] == pytest.approx([v[2] for v in want.values()], abs=1e-7)
+    assert sorted(kept[0]) == sorted(kept[1]) and len(kept[0]) == 5
+    # rows are written twice whatever the number of folds and candidates, and nothing else is
+    assert [t.count() for t in tables] == [400, 400]
+
+
+def test_folds_beyond_one_word_of_membership(data):
+    outer = written(rotated(stratified_folds(data, "id", "y", 20, "o"), "s", 20))
+    rows, m = nested_rows(data, outer, 4, "i", "y", ("x",))
+    table = rows.table.toArrow()
+    ids = table.column("id").to_numpy()
+    train, valid = (batched._members(table.column(c).combine_chunks(), len(rows.folds)) for c in ("train", "valid"))
+    assert (m, len(rows.folds), train.shape, valid.sum()) == (20, 100, (400, 100), 400 + 19 * 400)
+    for k in (0, 7, 19):
+        here = outer.filter(F.col("fold") == k)
+        inner = Stratified("id", "y", 4, "i")(data.join(here.filter("role = 'train'").select("id"), "id", "left_semi")).collect()
+        for j in range(4):
+            for role, members in (("train", train), ("validation", valid)):
+                assert set(ids[members[:, 20 + 4 * k + j]]) == {r.id for r in inner if (r.fold, r.role) == (j, role)}
+        assert {"train": set(ids[train[:, k]]), "validation": set(ids[valid[:, k]])} == {role: {r.id for r in here.collect() if r.role == role} for role in ("train", "validation")}
+
+
+def test_ranked_scores_equal_the_metrics_of_all_predictions(spark, data, monkeypatch):
+    outer = written(expanding_folds(data, "id", "year", [(2003, 2004)]))
+    manifest = written(Stratified("id", "y", 4, "i")(data.filter("year < 2003")))
+    want = {(r.fold, r.candidate): (r.auc, r.brier) for r in models.fold_scores(models.cross_validate(data, manifest, "id", "y", CANDIDATES)).collect()}
+    monkeypatch.setattr(batched, "RANGE", 7)
+    rows, m = nested_rows(data, outer, 4, "i", "y", ("x", "z", "w"))
+    pairs = [(k, name) for k in range(m, len(rows.folds)) for name in CANDIDATES]
+    got = ranked(rows, fit_all(rows, [(k, CANDIDATES[name]) for k, name in pairs])).select("i", F.round("auc", 6).alias("auc"), F.round("brier", 6).alias("brier")).collect()
+    found = {(rows.folds[pairs[r.i][0]][1], pairs[r.i][1]): (r.auc, r.brier) for r in got}
+    assert found.keys() == want.keys() and len(want) == 24
+    assert [x for k in want for x in found[k]] == pytest.approx([x for k in want for x in want[k]], abs=2e-6)
+
+
+def test_equal_rows_score_equally_and_equal_means_tie(spark, data):
+    fits = fit_all(rows_of(data, None, "y", ("x", "z", "w")), [(0, Linear(("x", "z"), label="y")), (0, Linear(("x", "z"), 0.1, scaled=True, label="y"))])
+    x = np.random.default_rng(1).normal(size=(1, 3)).repeat(1003, 0)
+    assert all(len(np.unique(fits.scores(i, x[:n]))) == 1 for i in (0, 1) for n in (1, 7, 1003))
+    assert len({fits.scores(1, x[:n])[0] for n in (1, 7, 1003)}) == 1
+    scores = [("m", k, c, a, b) for c, b, each in (("first", 0.3, (0.1, 0.2, 0.3)), ("second", 0.2, (0.3, 0.2, 0.1))) for k, a in enumerate(each)]
+    assert models.choose(spark.createDataFrame(scores, "mode string, fold int, candidate string, auc double, brier double").coalesce(1)).first().candidate == "second"
+
+
+def test_labels_that_are_missing_are_an_error(data):
+    with pytest.raises(ValueError, match="not finite"):
+        fit_all(rows_of(data.withColumn("y", F.when(F.col("id") != 5, F.col("y"))), None, "y", ("x",)), [(0, Linear(("x",), label="y"))])
+
+
 def test_segments_at_once_equal_one_by_one(data):
     train, test = data.filter("year < 2003"), data.filter("year >= 2003")
     a, b = (models.segment_models(train, test, "s", "y", fit, 10, 5).orderBy("s").collect() for fit in (Linear(("x", "z"), label="y"), models.fitter(models.logistic, ["x", "z"], "y")))
